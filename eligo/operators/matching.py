@@ -90,9 +90,9 @@ def meets_gender() -> Column:
 
 
 def fails_category() -> Column:
-    """Only a list of nothing but SC and ST shuts others out."""
-    outside = s("cat_bound") & _given("social_category") & ~_in(s("cats_lc"), "social_category")
-    return outside & s("sc_st_only")
+    """Only a list of nothing but SC and ST shuts out, and then neither SC nor ST."""
+    own = F.lower(c("social_category"))
+    return s("cat_bound") & s("sc_st_only") & _given("social_category") & ~own.isin("sc", "st")
 
 
 def meets_category() -> Column:
