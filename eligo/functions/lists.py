@@ -82,16 +82,3 @@ def social_categories(items: Column, text: Column, whole_words: bool = False) ->
 
 def business_types(items: Column, text: Column, whole_words: bool = False) -> Column:
     return _sorted_set(_mapped(items, K.BUSINESS_TYPES), _scan(text, K.BUSINESS_TYPES, whole_words))
-
-
-def struct_list(schema, *cases: tuple[Column, dict[str, Column]]) -> Column:
-    """Structs of the cases whose condition holds, in the order given.
-
-    Fields a case does not name are null; every struct gets ``schema``.
-    """
-    def build(values: dict[str, Column]) -> Column:
-        return F.struct(*[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-        ])
-
-    return F.array_compact(F.array(*[F.when(cond, build(v)) for cond, v in cases]))

@@ -70,13 +70,7 @@ def age_max(text: Column, ages_only: bool = False) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
 
 
-def plain_float(c: Column) -> Column:
+def plain_float_sql(sql: str) -> str:
     """A double as text without an exponent: ``500000.0``, ``7.25``."""
-    digits = c.cast("decimal(38,10)").cast("string")
-    short = F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", ".0")
-    return short
-
-
-def grouped(c: Column) -> Column:
-    """A whole number with commas between thousands."""
-    return F.format_number(c, 0)
+    digits = f"cast(cast({sql} as decimal(38,10)) as string)"
+    return f"regexp_replace(regexp_replace({digits}, '0+$', ''), '[.]$', '.0')"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eligo import constants as K
 
 
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 # fixed value: what counts as white space at the ends of a text
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -33,7 +34,12 @@ def filled(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Null becomes '', runs of white space one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
+
+
+def clean_sql(sql: str) -> str:
+    """:func:`clean` as SQL, for wide projections."""
+    return f"trim(regexp_replace(coalesce({sql}, ''), r'{SPACES}', ' '))"
 
 
 def slug(name: Column) -> Column:

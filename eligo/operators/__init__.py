@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """``df`` with exactly the schema's columns; absent ones are null."""
     have = set(df.columns)
-    return df.select(*[
-        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.selectExpr(*[
+        f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()}) as `{f.name}`"
         for f in schema.fields
     ])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eligo import constants as K
 from eligo import schemas as S
@@ -17,121 +18,111 @@ c = F.col
 
 # ---- structured children, built from the canonical columns -----------------
 
-def rule_list(source: Column) -> Column:
-    """At most nine atomic eligibility rules of a canonical record."""
-    head = F.left(source, F.lit(200))
-    extracted = F.concat(F.lit("Extracted from: "), head)
+def _structs(schema: StructType, cases: list[tuple[str, dict[str, str]]]) -> Column:
+    """Structs of the cases whose condition holds, in the order given.
 
-    def rule(cond, kind, op, field, required, text=head, value=None, values=None):
-        fields = {
-            "rule_type": F.lit(kind), "operator": F.lit(op), "field": F.lit(field),
-            "logical_group": F.lit("AND"), "required": F.lit(required), "source_text": text,
+    Conditions and fields are SQL over the canonical columns; a field that a
+    case does not name is null.
+    """
+    def build(fields: dict[str, str]) -> str:
+        return ", ".join(
+            f"'{f.name}', cast({fields.get(f.name, 'null')} as {f.dataType.simpleString()})" for f in schema.fields)
+
+    whens = ", ".join(f"case when {cond} then named_struct({build(fields)}) end" for cond, fields in cases)
+    return F.expr(f"array_compact(array({whens}))")
+
+
+def rule_list(source: str) -> Column:
+    """At most nine atomic eligibility rules of a canonical record.
+
+    ``source`` names the column with the text the rules were read from.
+    """
+    head, extracted = f"left({source}, 200)", f"concat('Extracted from: ', left({source}, 200))"
+
+    def rule(cond, kind, op, field, required, value="null", values="null", text=head):
+        return cond, {
+            "rule_type": f"'{kind}'", "operator": f"'{op}'", "field": f"'{field}'", "value": value,
+            "value_list": values, "logical_group": "'AND'", "required": str(required).lower(),
+            "source_text": text,
         }
-        if value is not None:
-            fields["value"] = value
-        if values is not None:
-            fields["value_list"] = values
-        return cond, fields
-
-    def listed(name: str) -> Column:
-        return F.size(c(name)) > 0
-
-    restricted = listed("gender_eligibility") & ~F.array_contains("gender_eligibility", "Any")
-    return L.struct_list(
-        S.RULE,
-        rule(N.nonzero(c("age_min")), "age", "gte", "age", True, extracted, c("age_min").cast("string")),
-        rule(N.nonzero(c("age_max")), "age", "lte", "age", True, extracted, c("age_max").cast("string")),
-        rule(restricted, "gender", "in", "gender", True, values=c("gender_eligibility")),
-        rule(listed("social_categories"), "social_category", "in", "social_category", False,
-             values=c("social_categories")),
-        rule(N.nonzero(c("income_limit")), "income", "lte", "annual_income", True,
-             value=N.plain_float(c("income_limit"))),
-        rule(c("udyam_required"), "udyam", "eq", "is_udyam_registered", False, value=F.lit("true")),
-        rule(c("disability_eligibility"), "disability", "eq", "is_differently_abled", False,
-             value=F.lit("true")),
-        rule(listed("states"), "state", "in", "state", True, F.lit("Geographic scope"),
-             values=c("states")),
-        rule(listed("business_types"), "business_type", "in", "business_type", False,
-             values=c("business_types")),
-    )
+
+    restricted = "size(gender_eligibility) > 0 and not array_contains(gender_eligibility, 'Any')"
+    return _structs(S.RULE, [
+        rule("age_min <> 0", "age", "gte", "age", True, "age_min", text=extracted),
+        rule("age_max <> 0", "age", "lte", "age", True, "age_max", text=extracted),
+        rule(restricted, "gender", "in", "gender", True, values="gender_eligibility"),
+        rule("size(social_categories) > 0", "social_category", "in", "social_category", False,
+             values="social_categories"),
+        rule("income_limit <> 0", "income", "lte", "annual_income", True, N.plain_float_sql("income_limit")),
+        rule("udyam_required", "udyam", "eq", "is_udyam_registered", False, "'true'"),
+        rule("disability_eligibility", "disability", "eq", "is_differently_abled", False, "'true'"),
+        rule("size(states) > 0", "state", "in", "state", True, values="states", text="'Geographic scope'"),
+        rule("size(business_types) > 0", "business_type", "in", "business_type", False,
+             values="business_types"),
+    ])
 
 
 def benefit_list() -> Column:
     """At most four benefits from the money columns."""
     def money(col, kind, text):
-        return N.nonzero(c(col)), {
-            "benefit_type": F.lit(kind), "amount": c(col),
-            "description": F.concat(F.lit(text), N.grouped(c(col))),
+        return f"{col} <> 0", {
+            "benefit_type": f"'{kind}'", "amount": col,
+            "description": f"concat('{text}', format_number({col}, 0))",
         }
 
     def share(col, kind, text):
-        return N.nonzero(c(col)), {
-            "benefit_type": F.lit(kind), "percentage": c(col),
-            "description": F.concat(F.lit(text), N.plain_float(c(col)), F.lit("%")),
+        return f"{col} <> 0", {
+            "benefit_type": f"'{kind}'", "percentage": col,
+            "description": f"concat('{text}', {N.plain_float_sql(col)}, '%')",
         }
 
-    return L.struct_list(
-        S.BENEFIT,
+    return _structs(S.BENEFIT, [
         money("loan_amount_max", "loan", "Loan up to ₹"),
         share("subsidy_percentage", "subsidy", "Capital subsidy up to "),
         money("grant_amount", "grant", "Grant of ₹"),
         share("interest_subvention", "interest_subvention", "Interest subvention of "),
-    )
+    ])
 
 
 def document_list() -> Column:
     """At most ten documents an applicant needs, four of them always."""
     def doc(cond, name, mandatory=True, conditional=False, condition=None):
-        fields = {
-            "document_name": name if isinstance(name, Column) else F.lit(name),
-            "mandatory": F.lit(mandatory), "conditional": F.lit(conditional),
+        return cond, {
+            "document_name": name, "mandatory": str(mandatory).lower(),
+            "conditional": str(conditional).lower(),
+            "condition": f"'{condition}'" if condition else "null",
         }
-        if condition:
-            fields["condition"] = F.lit(condition)
-        return cond, fields
-
-    cats = L.or_empty(c("social_categories"))
-    reserved = F.arrays_overlap(cats, F.array(*[F.lit(x) for x in ("SC", "ST", "OBC")]))
 
-    def on(name: str) -> Column:
-        return F.coalesce(c(name), F.lit(False))
-
-    return L.struct_list(
-        S.DOCUMENT,
-        *[doc(F.lit(True), name) for name in K.BASE_DOCUMENTS],
-        doc(reserved,
-            F.concat(F.lit("Caste / Community Certificate ("), F.array_join(cats, "/"), F.lit(")")),
+    caste = "concat('Caste / Community Certificate (', array_join(social_categories, '/'), ')')"
+    return _structs(S.DOCUMENT, [
+        *[doc("true", f"'{name}'") for name in K.BASE_DOCUMENTS],
+        doc("arrays_overlap(social_categories, array('SC', 'ST', 'OBC'))", caste,
             condition="Required for SC/ST/OBC applicants"),
-        doc(on("disability_eligibility"), "Disability Certificate (UDID / Medical Board)", False, True,
+        doc("disability_eligibility", "'Disability Certificate (UDID / Medical Board)'", False, True,
             "Required for PwD/Divyang applicants"),
-        doc(on("udyam_required"), "Udyam Registration Certificate",
+        doc("udyam_required", "'Udyam Registration Certificate'",
             condition="Obtain free at udyamregistration.gov.in"),
-        doc(on("startup_requirements"), "Startup Registration / DPIIT Recognition", False, True),
-        doc(on("farmer_requirements"), "Land Records / Khasra-Khatauni"),
-        doc(N.nonzero(c("income_limit")), "Income Certificate (from competent authority)"),
-    )
+        doc("startup_requirements", "'Startup Registration / DPIIT Recognition'", False, True),
+        doc("farmer_requirements", "'Land Records / Khasra-Khatauni'"),
+        doc("income_limit <> 0", "'Income Certificate (from competent authority)'"),
+    ])
 
 
 def quality_score() -> Column:
     """0 to 100 points for what a canonical record has filled in."""
-    def points(cond: Column, n: int) -> Column:
-        return F.when(cond, n).otherwise(0)
-
-    targeted = (
-        N.nonzero(c("age_min")) | (F.size("social_categories") > 0) | (F.size("gender_eligibility") > 0)
-    )
-    total = (
-        points(X.filled(c("name")), 15)
-        + points(F.length("description") > 50, 15)
-        + points(X.filled(c("ministry")), 10)
-        + points(F.length("eligibility_text") > 30, 15)
-        + points(X.filled(c("benefits_text")) | (F.size("benefits_structured") > 0), 10)
-        + points(X.filled(c("official_application_url")), 10)
-        + points(X.filled(c("official_source_url")), 10)
-        + points(targeted, 10)
-        + points(c("source_type") == "api", 5)
-    )
-    return F.least(total, F.lit(100))
+    points = [
+        ("name <> ''", 15),
+        ("length(description) > 50", 15),
+        ("ministry <> ''", 10),
+        ("length(eligibility_text) > 30", 15),
+        ("benefits_text <> '' or size(benefits_structured) > 0", 10),
+        ("official_application_url <> ''", 10),
+        ("official_source_url <> ''", 10),
+        ("age_min <> 0 or size(social_categories) > 0 or size(gender_eligibility) > 0", 10),
+        ("source_type = 'api'", 5),
+    ]
+    total = " + ".join(f"case when {cond} then {n} else 0 end" for cond, n in points)
+    return F.expr(f"least({total}, 100)")
 
 
 def initial_verification() -> Column:
@@ -141,47 +132,67 @@ def initial_verification() -> Column:
 
 # ---- the pass ---------------------------------------------------------------
 
+# canonical name -> its spellings; the first that holds a value wins
+CLEANED = {
+    "name": ["name", "title"],
+    "scheme_code": ["scheme_code", "schemeId"],
+    "description": ["description", "schemeDescription"],
+    "ministry": ["ministry", "nodal_ministry"],
+    "department": ["department"],
+    "implementing_agency": ["implementing_agency", "implementingAgency"],
+    "enterprise_size": ["enterprise_size"],
+    "benefits_text": ["benefits_text", "benefits", "schemeDetails"],
+    "application_url": ["application_url", "applyLink"],
+    "application_steps": ["application_steps", "howToApply"],
+    "source_name": ["source_name", "_source_id"],
+    "source_url": ["source_url", "_source_url"],
+}
+AS_GIVEN = {
+    "raw_short_name": ["short_name"],
+    "raw_status": ["status"],
+    "raw_funding_type": ["funding_type"],
+    "raw_level": ["government_level"],
+    "raw_scope": ["rural_urban_scope"],
+    "raw_eligibility": ["eligibility_text"],
+    "raw_age_min": ["age_min"],
+    "raw_age_max": ["age_max"],
+    "loan_amount_min": ["loan_amount_min"],
+    "loan_amount_max": ["loan_amount_max", "max_funding_amount"],
+    "subsidy_amount": ["subsidy_amount"],
+    "subsidy_percentage": ["subsidy_percentage"],
+    "grant_amount": ["grant_amount"],
+    "interest_subvention": ["interest_subvention"],
+    "raw_income": ["income_limit", "annualIncome"],
+    "raw_official_application_url": ["official_application_url"],
+    "raw_official_source_url": ["official_source_url"],
+}
+LISTS = {
+    "raw_states": ["states", "state"],
+    "raw_genders": ["gender_eligibility", "gender"],
+    "raw_categories": ["social_categories", "caste"],
+    "raw_beneficiaries": ["beneficiary_types", "targetBeneficiary"],
+    "raw_business": ["business_types", "sector", "categories"],
+}
+
+
 def resolve_aliases(raw: DataFrame) -> DataFrame:
     """One column per meaning: the first spelling that holds a value wins."""
-    df = conform(raw, S.RAW)
-    return df.select(
-        "ingest_ord", "content_hash", "_source_id",
-        X.clean(X.text_or(c("name"), c("title"))).alias("name"),
-        X.text_or(c("short_name")).alias("raw_short_name"),
-        X.clean(X.text_or(c("scheme_code"), c("schemeId"))).alias("scheme_code"),
-        X.text_or(c("status")).alias("raw_status"),
-        X.clean(X.text_or(c("description"), c("schemeDescription"))).alias("description"),
-        X.clean(X.text_or(c("ministry"), c("nodal_ministry"))).alias("ministry"),
-        X.clean(c("department")).alias("department"),
-        X.clean(X.text_or(c("implementing_agency"), c("implementingAgency"))).alias("implementing_agency"),
-        c("funding_type").alias("raw_funding_type"),
-        c("government_level").alias("raw_level"),
-        L.first_list(c("states"), c("state")).alias("raw_states"),
-        X.text_or(c("rural_urban_scope")).alias("raw_scope"),
-        L.first_list(c("gender_eligibility"), c("gender")).alias("raw_genders"),
-        L.first_list(c("social_categories"), c("caste")).alias("raw_categories"),
-        c("disability_eligibility").alias("raw_disability"),
-        L.first_list(c("beneficiary_types"), c("targetBeneficiary")).alias("raw_beneficiaries"),
-        X.text_or(c("eligibility_text")).alias("raw_eligibility"),
-        X.text_or(c("age_min")).alias("raw_age_min"),
-        X.text_or(c("age_max")).alias("raw_age_max"),
-        "loan_amount_min",
-        X.text_or(c("loan_amount_max"), c("max_funding_amount")).alias("loan_amount_max"),
-        "subsidy_amount", "subsidy_percentage", "grant_amount", "interest_subvention",
-        "collateral_requirement",
-        X.text_or(c("income_limit"), c("annualIncome")).alias("raw_income"),
-        L.first_list(c("business_types"), c("sector"), c("categories")).alias("raw_business"),
-        *[F.coalesce(c(f), F.lit(False)).alias(f) for f in K.FLAG_WORDS],
-        X.clean(c("enterprise_size")).alias("enterprise_size"),
-        X.clean(X.text_or(c("benefits_text"), c("benefits"), c("schemeDetails"))).alias("benefits_text"),
-        X.clean(X.text_or(c("application_url"), c("applyLink"))).alias("application_url"),
-        X.text_or(c("official_application_url")).alias("raw_official_application_url"),
-        X.clean(X.text_or(c("application_steps"), c("howToApply"))).alias("application_steps"),
-        X.clean(X.text_or(c("source_name"), c("_source_id"))).alias("source_name"),
-        X.clean(X.text_or(c("source_url"), c("_source_url"))).alias("source_url"),
-        X.text_or(c("official_source_url")).alias("raw_official_source_url"),
-        X.clean(F.coalesce(X.text_or(c("source_type")), F.lit("unknown"))).alias("source_type"),
-    )
+    def given(names):
+        return "coalesce(" + ", ".join(f"nullif(`{n}`, '')" for n in names) + ")"
+
+    def listed(names):
+        some = ", ".join(f"case when size(`{n}`) > 0 then `{n}` end" for n in names)
+        return f"coalesce({some}, cast(array() as array<string>))"
+
+    return conform(raw, S.RAW).selectExpr(
+        "ingest_ord", "content_hash", "_source_id", "collateral_requirement",
+        *[f"{X.clean_sql(given(names))} as {out}" for out, names in CLEANED.items()],
+        *[f"{given(names)} as {out}" for out, names in AS_GIVEN.items()],
+        *[f"{listed(names)} as {out}" for out, names in LISTS.items()],
+        "coalesce(disability_eligibility, false) as raw_disability",
+        *[f"coalesce({f}, false) as {f}" for f in K.FLAG_WORDS],
+        f"{X.clean_sql(chr(96) + 'source_type' + chr(96))} as raw_source_type",
+    ).withColumn("source_type", F.expr("coalesce(nullif(raw_source_type, ''), 'unknown')")).drop("raw_source_type")
 
 
 def _bad_age() -> Column:
@@ -219,7 +230,7 @@ def normalize(raw: DataFrame, whole_words: bool = False) -> DataFrame:
         X.rural_urban(F.coalesce(c("raw_scope"), c("description"))).alias("rural_urban_scope"),
         L.genders(c("raw_genders"), c("elig")).alias("gender_eligibility"),
         L.social_categories(c("raw_categories"), c("elig"), whole_words).alias("social_categories"),
-        (F.coalesce(c("raw_disability"), F.lit(False)) | X.has_any(c("raw_eligibility"), K.DISABILITY_WORDS))
+        (c("raw_disability") | X.has_any(c("raw_eligibility"), K.DISABILITY_WORDS))
         .alias("disability_eligibility"),
         L.trim_items(c("raw_beneficiaries")).alias("beneficiary_types"),
         F.when(c("raw_age_min").isNotNull(), N.parse_int(c("raw_age_min")))
@@ -246,7 +257,7 @@ def normalize(raw: DataFrame, whole_words: bool = False) -> DataFrame:
         initial_verification().alias("verification_status"),
     )
     df = df.withColumns({
-        "eligibility_rules": rule_list(c("elig")),
+        "eligibility_rules": rule_list("elig"),
         "benefits_structured": benefit_list(),
         "financial_benefit": N.nonzero(c("loan_amount_max")) | N.nonzero(c("subsidy_percentage"))
         | N.nonzero(c("grant_amount")),

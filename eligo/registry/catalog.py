@@ -51,7 +51,7 @@ def with_children(s):
     })
     return s.withColumns({
         "benefits_structured": N.benefit_list(), "documents": N.document_list(),
-        "eligibility_rules": N.rule_list(c("eligibility_text")),
+        "eligibility_rules": N.rule_list("eligibility_text"),
     })
 
 

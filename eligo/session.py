@@ -27,6 +27,8 @@ def build_session(app: str = "eligo", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # plans here are wide: do not look up the call site of every column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
