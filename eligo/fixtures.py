@@ -76,6 +76,46 @@ select page_id, url,
  cast(case page_id % 7 when 0 then 404 when 1 then 503 when 2 then 304 else 200 end as int) as status,
  case when page_id % 29 = 3 then 'Timeout' else null end as error,
  html as content from pages""",
+    # API payloads: list envelopes of every kind, bare lists, malformed text
+    "f_json": """
+select p_partkey as page_id, concat('https://api.example.org/p/', cast(p_partkey as varchar(20))) as url, source_id,
+ cast(200 as int) as status, cast(null as varchar(10)) as error,
+ case when source_id = 'apisetu_myscheme' then
+   case p_partkey % 7 when 0 then concat('[', r1, ',', r2, ']') when 1 then concat('{"schemes":[', r1, ']}')
+    when 2 then concat('{"schemes":[],"data":[', r1, ',5,', r2, ']}') when 3 then concat('{"results":[', r2, ']}')
+    when 4 then concat('{"schemes":null,"items":[', r1, ',"x"]}') when 5 then '{"schemes":[' else concat('{"schemes":"none","data":[', r1, ']}') end
+  when source_id = 'data_gov_in' then
+   case p_partkey % 4 when 0 then concat('{"records":[', o1, ']}') when 1 then concat('{"records":[],"data":[', o1, ',', o2, ']}')
+    when 2 then concat('[', o1, ']') else 'no json' end
+  else case p_partkey % 4 when 0 then concat('[', g1, ',7,', g1, ']') when 1 then g1 when 2 then '12' else '{"title":' end
+ end as content
+from (select p_partkey,
+ case p_partkey % 3 when 0 then 'apisetu_myscheme' when 1 then 'data_gov_in' else 'partner_feed' end as source_id,
+ concat('{"schemeName":"', p_name, ' ', p_brand, '","schemeId":"S', cast(p_partkey as varchar(20)), '","level":"', case p_partkey % 4 when 0 then 'Union' when 1 then 'State plan' when 2 then 'UT' else '' end,
+  '","minAge":', cast(18 + p_size % 10 as varchar(5)), ',"annualIncome":', cast(p_size * 10000 as varchar(20)), ',"caste":["SC",null," ', p_type, ' "],"gender":"Female; Any","state":"State1, State2","disability":0,"pwd":',
+  case when p_size % 2 = 0 then '"no"' else 'false' end, ',"status":"Paused","ministry":"","nodal_ministry":"Ministry of ', p_type, '","applicationUrl":"https://apply.example.org/', cast(p_partkey as varchar(20)), '"}') as r1,
+ concat('{"name":"", "title":"', p_name, ' second","id":', cast(p_partkey as varchar(20)), ',"description":"About ', p_name, '","targetBeneficiary":["Women","PwD"],"status":"expired","udyamRequired":true,"officialUrl":"https://gov.example.org/"}') as r2,
+ concat('{"SchemeName":"', p_name, ' open","Ministry":"Ministry of ', p_type, '","description":"", "Description":"Data on ', p_name, '","Benefits":"Credit"}') as o1,
+ concat('{"scheme_name":"', p_brand, ' data","eligibility":"Age 21 years and above"}') as o2,
+ concat('{"title":"', p_name, ' feed","loan_amount_max":', cast(p_size * 100000 as varchar(20)), '.0,"udyam_required":', case when p_size % 2 = 0 then 'true' else 'false' end, ',"state":["Goa"," Kerala "],"benefits":"Credit line","gender":"women/men"}') as g1
+ from part) x""",
+    # pages laid out as card and link listings
+    "f_cards": """
+select page_id, url, 'myscheme_web' as source_id, cast(200 as int) as status, cast(null as varchar(10)) as error,
+ replace(replace(replace(html, '<article>', '<article data-scheme="1">'), '<h1>', '<h2>'), '</h1>', '</h2>') as content from pages""",
+    "f_lists": """
+select page_id, url, 'india_gov_schemes' as source_id, cast(200 as int) as status, cast(null as varchar(10)) as error,
+ replace(html, '<nav><ul>', '<nav><ul class="menu scheme-list">') as content from pages""",
+    "f_entries": """
+select page_id, case page_id % 10 when 0 then 'apisetu_myscheme' when 1 then 'myscheme_web' when 2 then 'india_gov_schemes' when 3 then 'data_gov_in' when 4 then 'national_services_portal' when 5 then 'msme_ministry' when 6 then 'mudra_portal' when 7 then 'standupmitra' when 8 then 'kvic' else 'retired_portal' end as source_id,
+ @SPLIT(case when page_id % 10 in (4, 8) then '' else concat(url, ',', url, '/more') end) as urls from pages""",
+    # a second batch: half as it was, a fifth changed, and new records
+    "f_batch2": """
+select * from (select ingest_ord, name, scheme_code, status, government_level, eligibility_text, loan_amount_max, application_url, source_type, ministry,
+ case when ingest_ord % 5 = 0 then concat(description, ' (revised)') else description end as description, source_id, state_text, subsidy_percentage,
+ collateral_requirement, gender_text, caste_text, sector_text from f_raw where ingest_ord % 2 = 0 or ingest_ord % 5 = 0) u
+ union all select * from (select ingest_ord + 100000000, concat(name, ' Next'), '' as scheme_code, status, government_level, eligibility_text, loan_amount_max, application_url, source_type, ministry,
+ description, source_id, state_text, subsidy_percentage, collateral_requirement, gender_text, caste_text, sector_text from f_raw where ingest_ord % 3 = 1) v""",
     "f_known": """
 select url, case when page_id % 6 = 0 then 'stale' else @SHA(html) end as content_hash from pages where page_id % 2 = 0""",
     "f_links": """
@@ -107,9 +147,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _spell(FIXTURES[name], _SPARK)
-    used = [t for t in _TABLES if re.search(rf"\b(?:from|join) {t}\b", sql)]
-    return spark.sql(re.sub(r"\b(from|join) (\w+)\b", r"\1 {\2}", sql),
-                     **{t: table(spark, sf_dir, t) for t in used})
+    used = {t: table(spark, sf_dir, t) for t in _TABLES if re.search(rf"\b(?:from|join) {t}\b", sql)}
+    used |= {f: fixture(spark, sf_dir, f) for f in FIXTURES if re.search(rf"\bfrom {f}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(from|join) ({'|'.join(used)})\b", r"\1 {\2}", sql), **used)
 
 
 def duck(name: str) -> str:

@@ -76,10 +76,11 @@ def genders(items: str, text: str) -> str:
 
 RURAL = """case when {r} and not {u} then 'rural' when {u} and not {r} then 'urban' else 'both' end""".format(
     r="contains(lower({x}),'rural')", u="contains(lower({x}),'urban')")
-# the canonical record in SQL; each step reads the one before
-CANON = f"""with a as (select *, {clean('name')} nm, {clean('description')} ds, {clean('ministry')} mi from f_raw),
-b as (select *, coalesce(nullif(eligibility_text,''), ds) el from a),
-n as (select ingest_ord as n, nm as name,
+def canon_sql(source: str = "f_raw", x: str = "") -> str:
+    """The canonical records of ``source`` as CTEs that end in ``nk<x>``; each reads the one before."""
+    return f"""a{x} as (select *, {clean('name')} nm, {clean('description')} ds, {clean('ministry')} mi from {source}),
+b{x} as (select *, coalesce(nullif(eligibility_text,''), ds) el from a{x}),
+n{x} as (select ingest_ord as n, nm as name,
  case when regexp_matches(nm, '{K.ACRONYM}') then regexp_extract(nm, '{K.ACRONYM}', 1)
   when len(string_split(nm, ' ')) > 4 then array_to_string(string_split(nm, ' ')[1:4], ' ') || '...' else nm end short_name,
  {slug('nm')} slug, {clean('scheme_code')} scheme_code,
@@ -98,17 +99,20 @@ n as (select ingest_ord as n, nm as name,
  el, {clean('el')} eligibility_text, '' benefits_text, {clean('application_url')} application_url, {clean('application_url')} official_application_url,
  source_id, source_id as source_name, 'https://feed.example.org/' || ingest_ord as source_url, 'https://feed.example.org/' || ingest_ord as official_source_url, source_type,
  case when source_type = 'api' and source_id in ('apisetu_myscheme','data_gov_in') then 'OFFICIAL_NEEDS_REVIEW' else 'SECONDARY_NEEDS_VERIFICATION' end verification_status
- from b),
-nq as (select *, coalesce(loan_amount_max,0) <> 0 or coalesce(subsidy_percentage,0) <> 0 financial_benefit,
+ from b{x}),
+nq{x} as (select *, coalesce(loan_amount_max,0) <> 0 or coalesce(subsidy_percentage,0) <> 0 financial_benefit,
  cast(least(100, case when name <> '' then 15 else 0 end + case when len(description) > 50 then 15 else 0 end + case when ministry <> '' then 10 else 0 end
  + case when len(eligibility_text) > 30 then 15 else 0 end + case when coalesce(loan_amount_max,0) <> 0 or coalesce(subsidy_percentage,0) <> 0 then 10 else 0 end
  + case when official_application_url <> '' then 10 else 0 end + case when official_source_url <> '' then 10 else 0 end + 10
- + case when source_type = 'api' then 5 else 0 end) as bigint) data_quality_score from n),
-nk as (select *, case when trim(scheme_code) <> '' and government_level <> '' then 'code:' || trim(scheme_code) || ':' || government_level
+ + case when source_type = 'api' then 5 else 0 end) as bigint) data_quality_score from n{x}),
+nk{x} as (select *, case when trim(scheme_code) <> '' and government_level <> '' then 'code:' || trim(scheme_code) || ':' || government_level
  else 'name:' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\bpradhan\\s+mantri\\b', 'pm', 'g'),
- '\\b(scheme|programme|yojana|mission)\\b', '', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ':' || left(trim(lower(ministry)), 50) end dedup_key from nq)
+ '\\b(scheme|programme|yojana|mission)\\b', '', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ':' || left(trim(lower(ministry)), 50) end dedup_key from nq{x})
 """
 
+
+CANON = "with " + canon_sql()
+
 RULES_SQL = """select n, 1 o, 'age' rule_type, 'gte' op, cast(cast(age_min as bigint) as varchar) val, true req, 'Extracted from: ' || left(el, 200) src from nk where age_min <> 0
  union all select n, 2, 'age', 'lte', cast(cast(age_max as bigint) as varchar), true, 'Extracted from: ' || left(el, 200) from nk where age_max <> 0
  union all select n, 3, 'gender', 'in', array_to_string(gender_eligibility,'/'), true, left(el, 200) from nk where not list_contains(gender_eligibility, 'Any')

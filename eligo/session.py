@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_OWN_DIRS: dict[str, str] = {}  # of local sessions that name none
+
+
 def build_session(app: str = "eligo", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     """A session tuned for the operators here; cluster settings win over these.
@@ -49,9 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="eligo-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="eligo-")
+    return _OWN_DIRS[app]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

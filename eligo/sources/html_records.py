@@ -8,7 +8,6 @@ through Arrow, and only pages that hold such a listing at all.
 from __future__ import annotations
 
 import html.entities
-import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,7 +27,18 @@ MIN_LINK_TEXT = 5         # fixed value: shorter link texts are navigation
 # ---- page text as JVM expressions -------------------------------------------
 
 _CUT = "\x01"
-_NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+# common names first: a look-up walks the list
+_COMMON = ["amp", "nbsp", "quot", "lt", "gt", "apos", "rsquo", "lsquo", "rdquo", "ldquo", "ndash", "mdash"]
+_NAMES = _COMMON + [k[:-1] for k in html.entities.html5 if k.endswith(";") and k[:-1] not in _COMMON]
+
+
+def _entity_map() -> Column:
+    """Entity names to characters, a constant that Spark folds once."""
+    def spelled(text: str) -> str:
+        return "".join(f"\\U{ord(ch):08X}" for ch in text)
+
+    pairs = ", ".join(f"'{n}', '{spelled(html.entities.html5[n + ';'])}'" for n in _NAMES)
+    return F.expr(f"map({pairs})")
 
 
 def visible(page: Column) -> Column:
@@ -39,7 +49,7 @@ def visible(page: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references decoded: named, decimal and hexadecimal."""
-    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    names = _entity_map()
 
     def code_point(n: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
@@ -62,11 +72,10 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.concat(parts[0], F.array_join(tail, ""))).otherwise(text)
 
 
-def text_of(fragment: Column, joiner: str) -> Column:
-    """Stripped pieces of text between tags, blank ones dropped, joined."""
+def pieces(fragment: Column) -> Column:
+    """Stripped pieces of text between tags, blank ones dropped."""
     marked = unescape(F.regexp_replace(fragment, r"<[!/?A-Za-z][^>]*>", _CUT))
-    pieces = F.transform(F.split(marked, _CUT), X.strip)
-    return F.array_join(F.filter(pieces, lambda p: p != ""), joiner)
+    return F.filter(F.transform(F.split(marked, _CUT), X.strip), lambda p: p != "")
 
 
 def element(page: Column, tag: str, attrs: str = "") -> Column:
@@ -91,30 +100,38 @@ def element(page: Column, tag: str, attrs: str = "") -> Column:
     return F.when(page.rlike(opened), inner)
 
 
-def heading(page: Column) -> Column:
-    """Text of the first h1, else of the title."""
-    return F.coalesce(X.text_or(text_of(element(page, "h1"), "")), X.text_or(text_of(element(page, "title"), "")))
-
-
-def main_text(page: Column) -> Column:
-    """Text of the main block: main, content div, article or body."""
-    block = F.coalesce(
+def main_block(page: Column) -> Column:
+    """The main block: main, content div, article or body."""
+    return F.coalesce(
         element(page, "main"),
         element(page, "div", r"(?=[^>]*\bid\s*=\s*[\"']?content[\"'\s>])"),
         element(page, "div", r"(?=[^>]*\bclass\s*=\s*(?:content[\s>]|[\"'](?:[^\"']*\s)?content(?:\s[^\"']*)?[\"']))"),
         element(page, "article"),
         element(page, "body"),
+        F.lit(""),
     )
-    return F.left(F.coalesce(text_of(block, " "), F.lit("")), F.lit(DESCRIPTION_LIMIT))
 
 
 def ministry_page(payloads: DataFrame) -> DataFrame:
-    """One record per page that has a heading."""
+    """One record per page that has a heading (the first h1, else the title).
+
+    The three fragments of a page are cleaned by one expression, and records
+    come out of a generator, so that neither the name test nor the later
+    columns make Spark work a page's text out again.
+    """
     pages = payloads.withColumn("_page", visible(decoded(c("content")))).drop("content")
-    rows = with_ord(pages.withColumns({
-        "record_index": F.lit(0), "name": heading(c("_page")), "description": main_text(c("_page")),
-    }).drop("_page"))
-    return conform(rows.where(X.filled(c("name"))).select(
+    page, parts = c("_page"), c("_parts")
+    cut = F.array(
+        F.coalesce(element(page, "h1"), F.lit("")), F.coalesce(element(page, "title"), F.lit("")), main_block(page))
+    pages = pages.withColumn("_parts", F.transform(cut, pieces)).drop("_page")
+    record = F.struct(
+        F.lit(0).alias("record_index"),
+        F.when(F.size(parts[0]) > 0, F.array_join(parts[0], "")).otherwise(F.array_join(parts[1], "")).alias("name"),
+        F.left(F.array_join(parts[2], " "), F.lit(DESCRIPTION_LIMIT)).alias("description"),
+    )
+    keep = [n for n in pages.columns if n != "_parts"]
+    rows = with_ord(pages.select(*keep, F.inline(F.filter(F.array(record), lambda r: r["name"] != ""))))
+    return conform(rows.select(
         "ingest_ord", _hash_of(rows).alias("content_hash"),
         F.lit("ministry").alias("_source_id"), c("url").alias("_source_url"),
         "name", "description", c("url").alias("application_url"), c("url").alias("official_source_url"),

@@ -16,46 +16,57 @@ c = F.col
 FALSY = ["null", '""', "0", "0.0", "-0.0", "false", "[]", "{}"]
 
 
-def _get(v: Column, key: str, kind: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", kind)
+def _list(v: Column) -> Column:
+    """A list's values; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _given(v: Column, key: str) -> Column:
-    """True where a key holds something: not null, blank, zero, false or empty."""
-    return F.coalesce(~F.to_json(_get(v, key, "variant")).isin(FALSY), F.lit(False))
+def _dict(v: Column) -> Column:
+    """An object's members; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def text(v: Column, *keys: str) -> Column:
-    """First given value among the keys, as text."""
-    return F.coalesce(*[F.when(_given(v, k), _get(v, k, "string")) for k in keys])
+def _holds(v: Column) -> Column:
+    return ~F.to_json(v).isin(FALSY)
 
 
-def amount(v: Column, *keys: str) -> Column:
-    """First given value; a number is spelled without an exponent."""
-    def one(k: str) -> Column:
-        number = F.when(~F.to_json(_get(v, k, "variant")).startswith('"'), _get(v, k, "decimal(38,6)"))
-        return F.when(_given(v, k), F.coalesce(number.cast("string"), _get(v, k, "string")))
+def given(members: Column) -> Column:
+    """The members of an object that hold something, with their values spelled out.
 
-    return F.coalesce(*[one(k) for k in keys])
+    Null, blank, zero, false and empty values count as not given. A value keeps
+    its text (numbers without an exponent), its items if it is a list, and
+    whether it was a quoted text. Worked out once per object; the fields below
+    are look-ups in this map.
+    """
+    def spell(_, x: Column) -> Column:
+        js, text = F.to_json(x), x.cast("string")
+        number = js.rlike("^-?[0-9]") & js.contains("E")
+        return F.struct(
+            F.when(number, x.cast("double").cast("decimal(38,6)").cast("string")).otherwise(text).alias("text"),
+            F.when(js.startswith("["), F.try_variant_get(x, "$", "array<string>")).alias("items"),
+            js.startswith('"').alias("quoted"),
+        )
 
+    return F.transform_values(F.map_filter(members, lambda _, x: _holds(x)), spell)
 
-def items(v: Column, *keys: str, separators: str = "[,;/]") -> Column:
+
+def text(m: Column, *keys: str) -> Column:
+    """First given value among the keys, as text."""
+    return F.coalesce(*[m[k]["text"] for k in keys])
+
+
+def items(m: Column, *keys: str, separators: str = "[,;/]") -> Column:
     """First given value as a list: a list's items, or the parts of a text."""
     def one(k: str) -> Column:
-        # a text would also read as a list of one, so texts are told apart first
-        is_text = F.coalesce(F.to_json(_get(v, k, "variant")).startswith('"'), F.lit(False))
-        parts = F.when(is_text, L.split_text(_get(v, k, "string"), separators)).otherwise(
-            F.coalesce(_get(v, k, "array<string>"), L.empty()))
-        return F.when(_given(v, k), parts)
+        v = m[k]
+        parts = F.when(v["quoted"], L.split_text(v["text"], separators)).otherwise(L.empty())
+        return F.when(v.isNotNull(), F.coalesce(v["items"], parts))
 
     return F.coalesce(*[one(k) for k in keys], L.empty())
 
 
-def flag(v: Column, *keys: str) -> Column:
-    out = F.lit(False)
-    for k in keys:
-        out = out | _given(v, k)
-    return out
+def flag(m: Column, *keys: str) -> Column:
+    return F.coalesce(*[m[k] for k in keys]).isNotNull()
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
@@ -63,29 +74,24 @@ def parsed(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("doc", F.try_parse_json(decoded(c("content"))))
 
 
-def _is_list(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
-
-
-def _is_dict(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
-
-
 def unwrap(docs: DataFrame, keys: list[str], bare_list: bool = True) -> DataFrame:
     """One row per object of a list envelope: (.., record_index, rec).
 
     The list is the document itself or its first given key; a key that holds
     something else than a list gives no record and hides the keys after it.
     """
-    d = c("doc")
-    inner = F.coalesce(*[F.when(_given(d, k), F.struct(_get(d, k, "array<variant>").alias("list"))) for k in keys])
-    bare = F.try_variant_get(d, "$", "array<variant>") if bare_list else F.lit(None).cast("array<variant>")
-    records = F.when(_is_list(d), bare).when(_is_dict(d), inner["list"])
-    return (
-        docs.withColumn("_records", records).drop("doc", "content")
-        .select("*", F.posexplode("_records").alias("record_index", "rec")).drop("_records")
-        .where(_is_dict(c("rec")))
-    )
+    top = docs.withColumn("_members", _dict(c("doc")))
+    listed = F.array(*[c("_members")[k] for k in keys])
+    first = F.get(F.filter(listed, _holds), 0)
+    bare = _list(c("doc")) if bare_list else F.lit(None).cast("array<variant>")
+    return objects(top.withColumn("_records", F.coalesce(_list(first), bare)).drop("_members"))
+
+
+def objects(docs: DataFrame) -> DataFrame:
+    """One row per object among the ``_records`` of a document, with its given values."""
+    each = docs.drop("doc", "content").select("*", F.posexplode("_records").alias("record_index", "rec"))
+    members = each.drop("_records").withColumn("rec", _dict(c("rec"))).where(c("rec").isNotNull())
+    return members.withColumn("rec", given(c("rec")))
 
 
 def with_ord(df: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def portal_api(payloads: DataFrame) -> DataFrame:
         items(r, "caste", "socialCategory").alias("social_categories"),
         text(r, "minAge", "ageMin").alias("age_min"),
         text(r, "maxAge", "ageMax").alias("age_max"),
-        amount(r, "annualIncome", "incomeLimit").alias("income_limit"),
+        text(r, "annualIncome", "incomeLimit").alias("income_limit"),
         flag(r, "disability", "pwd").alias("disability_eligibility"),
         text(r, "eligibility", "eligibilityCriteria").alias("eligibility_text"),
         text(r, "benefits", "schemeDetails").alias("benefits_text"),
@@ -148,30 +154,17 @@ def open_data_api(payloads: DataFrame) -> DataFrame:
     ), S.RAW)
 
 
-_AMOUNTS = {"loan_amount_min", "loan_amount_max", "max_funding_amount", "subsidy_amount",
-            "subsidy_percentage", "grant_amount", "interest_subvention", "income_limit", "annualIncome"}
-
-
 def generic(payloads: DataFrame) -> DataFrame:
     """Any other JSON: each object is a record, its known keys are kept."""
     docs = parsed(payloads)
-    d = c("doc")
-    records = F.when(_is_list(d), F.try_variant_get(d, "$", "array<variant>")).when(_is_dict(d), F.array(d))
-    rows = with_ord(
-        docs.withColumn("_records", records).drop("content", "doc")
-        .select("*", F.posexplode("_records").alias("record_index", "rec"))
-        .where(_is_dict(c("rec")))
-    )
+    one = F.when(_dict(c("doc")).isNotNull(), F.array(c("doc")))
+    records = F.coalesce(_list(c("doc")), one)
+    rows = with_ord(objects(docs.withColumn("_records", records)))
     r = c("rec")
     own = {"ingest_ord", "content_hash", "_source_url"}
-
-    def read(f) -> Column:
-        if f.name in _AMOUNTS:
-            return amount(r, f.name)
-        kind = f.dataType.simpleString()
-        return {"boolean": flag, "array<string>": items}.get(kind, text)(r, f.name)
-
+    readers = {"boolean": flag, "array<string>": items}
     return conform(rows.select(
         "ingest_ord", _hash_of(rows).alias("content_hash"), c("url").alias("_source_url"),
-        *[read(f).alias(f.name) for f in S.RAW.fields if f.name not in own],
+        *[readers.get(f.dataType.simpleString(), text)(r, f.name).alias(f.name)
+          for f in S.RAW.fields if f.name not in own],
     ), S.RAW)
