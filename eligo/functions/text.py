@@ -22,6 +22,10 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def strip_sql(sql: str) -> str:
+    return "btrim({}, '{}')".format(sql, "".join(f"\\u{ord(ch):04x}" for ch in BLANKS))
+
+
 def text_or(*cols: Column) -> Column:
     """First value that is neither null nor empty, else null."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])

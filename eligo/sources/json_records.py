@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligo import schemas as S
-from eligo.functions import lists as L
 from eligo.functions import text as X
 from eligo.operators import conform
 from eligo.sources.fetches import decoded
@@ -50,23 +49,26 @@ def given(members: Column) -> Column:
     return F.transform_values(F.map_filter(members, lambda _, x: _holds(x)), spell)
 
 
-def text(m: Column, *keys: str) -> Column:
+# Field readers: SQL over ``rec``, the map of given values.
+
+def text(*keys: str) -> str:
     """First given value among the keys, as text."""
-    return F.coalesce(*[m[k]["text"] for k in keys])
+    return "coalesce(" + ", ".join(f"rec['{k}'].text" for k in keys) + ", null)"
 
 
-def items(m: Column, *keys: str, separators: str = "[,;/]") -> Column:
+def items(*keys: str, separators: str = "[,;/]") -> str:
     """First given value as a list: a list's items, or the parts of a text."""
-    def one(k: str) -> Column:
-        v = m[k]
-        parts = F.when(v["quoted"], L.split_text(v["text"], separators)).otherwise(L.empty())
-        return F.when(v.isNotNull(), F.coalesce(v["items"], parts))
+    def one(k: str) -> str:
+        parts = f"transform(split(rec['{k}'].text, '{separators}'), x -> {X.strip_sql('x')})"
+        return (f"case when rec['{k}'].items is not null then rec['{k}'].items "
+                f"when rec['{k}'].quoted then filter({parts}, x -> x <> '') "
+                f"when rec['{k}'] is not null then cast(array() as array<string>) end")
 
-    return F.coalesce(*[one(k) for k in keys], L.empty())
+    return "coalesce(" + ", ".join(one(k) for k in keys) + ", cast(array() as array<string>))"
 
 
-def flag(m: Column, *keys: str) -> Column:
-    return F.coalesce(*[m[k] for k in keys]).isNotNull()
+def flag(*keys: str) -> str:
+    return "(" + " or ".join(f"rec['{k}'] is not null" for k in keys) + ")"
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
@@ -105,66 +107,66 @@ def _hash_of(df: DataFrame) -> Column:
     return c("content_hash") if "content_hash" in df.columns else F.lit(None).cast("string")
 
 
+def _records(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Raw records from field definitions in SQL."""
+    out = rows.withColumn("content_hash", _hash_of(rows))
+    return conform(out.selectExpr(
+        "ingest_ord", "content_hash", "url as _source_url", *[f"{sql} as `{n}`" for n, sql in fields.items()]), S.RAW)
+
+
 def portal_api(payloads: DataFrame) -> DataFrame:
     """The listing API: 22 fields, each with its spellings."""
     rows = with_ord(unwrap(parsed(payloads), ["schemes", "data", "results", "items"]))
-    r = c("rec")
-    return conform(rows.select(
-        "ingest_ord", _hash_of(rows).alias("content_hash"),
-        F.lit("apisetu_myscheme").alias("_source_id"), c("url").alias("_source_url"),
-        text(r, "schemeName", "name", "title").alias("name"),
-        text(r, "schemeId", "scheme_id", "id").alias("scheme_code"),
-        text(r, "schemeDescription", "description").alias("description"),
-        text(r, "ministry", "nodal_ministry").alias("ministry"),
-        text(r, "department").alias("department"),
-        text(r, "implementingAgency", "implementing_agency").alias("implementing_agency"),
-        X.api_level(text(r, "level", "schemeType")).alias("government_level"),
-        items(r, "state", "states", "applicableStates", separators=",").alias("states"),
-        items(r, "targetBeneficiary", "beneficiary").alias("beneficiary_types"),
-        items(r, "gender").alias("gender_eligibility"),
-        items(r, "caste", "socialCategory").alias("social_categories"),
-        text(r, "minAge", "ageMin").alias("age_min"),
-        text(r, "maxAge", "ageMax").alias("age_max"),
-        text(r, "annualIncome", "incomeLimit").alias("income_limit"),
-        flag(r, "disability", "pwd").alias("disability_eligibility"),
-        text(r, "eligibility", "eligibilityCriteria").alias("eligibility_text"),
-        text(r, "benefits", "schemeDetails").alias("benefits_text"),
-        text(r, "applicationUrl", "applyLink").alias("application_url"),
-        text(r, "officialUrl", "applicationUrl").alias("official_application_url"),
-        items(r, "sector", "categories").alias("business_types"),
-        flag(r, "udyamRequired").alias("udyam_required"),
-        X.api_status(text(r, "status")).alias("status"),
-        F.lit("api").alias("source_type"),
-    ), S.RAW)
+    return _records(rows, {
+        "_source_id": "'apisetu_myscheme'",
+        "name": text("schemeName", "name", "title"),
+        "scheme_code": text("schemeId", "scheme_id", "id"),
+        "description": text("schemeDescription", "description"),
+        "ministry": text("ministry", "nodal_ministry"),
+        "department": text("department"),
+        "implementing_agency": text("implementingAgency", "implementing_agency"),
+        "government_level": text("level", "schemeType"),
+        "states": items("state", "states", "applicableStates", separators=","),
+        "beneficiary_types": items("targetBeneficiary", "beneficiary"),
+        "gender_eligibility": items("gender"),
+        "social_categories": items("caste", "socialCategory"),
+        "age_min": text("minAge", "ageMin"),
+        "age_max": text("maxAge", "ageMax"),
+        "income_limit": text("annualIncome", "incomeLimit"),
+        "disability_eligibility": flag("disability", "pwd"),
+        "eligibility_text": text("eligibility", "eligibilityCriteria"),
+        "benefits_text": text("benefits", "schemeDetails"),
+        "application_url": text("applicationUrl", "applyLink"),
+        "official_application_url": text("officialUrl", "applicationUrl"),
+        "business_types": items("sector", "categories"),
+        "udyam_required": flag("udyamRequired"),
+        "status": text("status"),
+        "source_type": "'api'",
+    }).withColumns({
+        "government_level": X.api_level(c("government_level")), "status": X.api_status(c("status")),
+    })
 
 
 def open_data_api(payloads: DataFrame) -> DataFrame:
     """The open-data API: records or data, five fields."""
     rows = with_ord(unwrap(parsed(payloads), ["records", "data"], bare_list=False))
-    r = c("rec")
-    return conform(rows.select(
-        "ingest_ord", _hash_of(rows).alias("content_hash"),
-        F.lit("data_gov_in").alias("_source_id"), c("url").alias("_source_url"),
-        text(r, "scheme_name", "SchemeName", "title").alias("name"),
-        text(r, "ministry", "Ministry").alias("ministry"),
-        text(r, "description", "Description").alias("description"),
-        text(r, "benefits", "Benefits").alias("benefits_text"),
-        text(r, "eligibility", "Eligibility").alias("eligibility_text"),
-        F.lit("api").alias("source_type"),
-    ), S.RAW)
+    return _records(rows, {
+        "_source_id": "'data_gov_in'",
+        "name": text("scheme_name", "SchemeName", "title"),
+        "ministry": text("ministry", "Ministry"),
+        "description": text("description", "Description"),
+        "benefits_text": text("benefits", "Benefits"),
+        "eligibility_text": text("eligibility", "Eligibility"),
+        "source_type": "'api'",
+    })
 
 
 def generic(payloads: DataFrame) -> DataFrame:
     """Any other JSON: each object is a record, its known keys are kept."""
     docs = parsed(payloads)
     one = F.when(_dict(c("doc")).isNotNull(), F.array(c("doc")))
-    records = F.coalesce(_list(c("doc")), one)
-    rows = with_ord(objects(docs.withColumn("_records", records)))
-    r = c("rec")
+    rows = with_ord(objects(docs.withColumn("_records", F.coalesce(_list(c("doc")), one))))
     own = {"ingest_ord", "content_hash", "_source_url"}
     readers = {"boolean": flag, "array<string>": items}
-    return conform(rows.select(
-        "ingest_ord", _hash_of(rows).alias("content_hash"), c("url").alias("_source_url"),
-        *[readers.get(f.dataType.simpleString(), text)(r, f.name).alias(f.name)
-          for f in S.RAW.fields if f.name not in own],
-    ), S.RAW)
+    return _records(rows, {
+        f.name: readers.get(f.dataType.simpleString(), text)(f.name) for f in S.RAW.fields if f.name not in own})
