@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eligo.functions import lists as L
 from eligo.functions import text as X
-from eligo.operators.dedup import with_key
+from eligo.operators.dedup import best_per_key, with_key
 from eligo.operators.normalize import snapshot
 
 c = F.col
@@ -27,14 +27,14 @@ def keyed(catalog: DataFrame) -> DataFrame:
 def plan(batch: DataFrame, catalog: DataFrame, incremental: bool = True) -> DataFrame:
     """The batch with ``action``: insert, update or skip.
 
-    Both sides have one row per key, so the join has no hot key, and only key,
-    id, hash and version of the catalog are read. A record is skipped when its
-    content hash is known and unchanged.
+    Both sides come down to one row per key, so the join has no hot key, and
+    only key, id, hash and version of the catalog are read. A record is skipped
+    when its content hash is known and unchanged.
     """
-    stored = keyed(catalog).select(
+    stored = best_per_key(keyed(catalog).select(
         "dedup_key", c("id").alias("_id"), c("content_hash").alias("_hash"),
         (c("data_version") if "data_version" in catalog.columns else F.lit(1)).alias("_version"),
-    )
+    ), ["dedup_key"], [c("_id").asc()])
     same = F.coalesce(c("content_hash") == c("_hash"), F.lit(False)) & F.lit(incremental)
     action = F.when(c("_id").isNull(), "insert").when(same, "skip").otherwise("update")
     joined = batch.join(stored, "dedup_key", "left")

@@ -94,12 +94,16 @@ def stats(st: Stages) -> DataFrame:
             count("inserted", new), count("updated", c("action") == "update"),
             count("skipped_records", c("action") == "skip"),
             count("embedded", new & vectors.worth_embedding())))
-    # each part is a single row; they are laid side by side as scalars
-    one = rows[0]
-    for part in rows[1:]:
-        one = one.withColumns({n: part.select(n).scalar() for n in part.columns})
-    parts = [c(n) for n in ("skipped_fetches", "skipped_records") if n in one.columns]
-    return one.withColumn("skipped", sum(parts[1:], parts[0])).drop("skipped_fetches", "skipped_records")
+    names = [n for part in rows for n in part.columns]
+    long = None
+    for part in rows:
+        pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in part.columns)
+        tall = part.selectExpr(f"stack({len(part.columns)}, {pairs}) as (name, value)")
+        long = tall if long is None else long.unionByName(tall)
+    # a dozen rows, turned back into one
+    one = long.agg(*[F.max(F.when(c("name") == n, c("value"))).alias(n) for n in names])
+    skipped = [c(n) for n in ("skipped_fetches", "skipped_records") if n in names]
+    return one.withColumn("skipped", sum(skipped[1:], skipped[0])).drop("skipped_fetches", "skipped_records")
 
 
 def error_messages(st: Stages) -> DataFrame:

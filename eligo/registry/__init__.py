@@ -1,12 +1,8 @@
 """Registered queries with their SQL checks."""
 
-import importlib
-
+from eligo.registry import catalog, ingest, matching, normalize, search, sources
 from eligo.registry.common import Registry
 
 REGISTRY = Registry()
-for part in ("sources", "normalize", "ingest", "search", "catalog", "matching"):
-    try:
-        importlib.import_module(f"eligo.registry.{part}").register(REGISTRY)
-    except ModuleNotFoundError as e:
-        print(e)
+for part in (sources, normalize, ingest, search, catalog, matching):
+    part.register(REGISTRY)
