@@ -106,8 +106,9 @@ def stats(st: Stages) -> DataFrame:
     return one.withColumn("skipped", sum(skipped[1:], skipped[0])).drop("skipped_fetches", "skipped_records")
 
 
-def error_messages(st: Stages) -> DataFrame:
-    return st.fetched.where("outcome = 'failed'").select("url", fetches.failure_message().alias("message"))
+def error_messages(fetched: DataFrame) -> DataFrame:
+    """What went wrong, of classified fetches."""
+    return fetched.where("outcome = 'failed'").select("url", fetches.failure_message().alias("message"))
 
 
 def output_tables(st: Stages, catalog: DataFrame, now, model=None, model_name: str = vectors.HASHED) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligo.fixtures import fixture, table, with_duck
+from eligo.session import tune
 
 Query = Callable[["Tables"], DataFrame]
 c = F.col
@@ -17,7 +18,7 @@ class Tables:
     """The given tables and the fixtures derived from them, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return fixture(self.spark, self.sf_dir, name) if name.startswith("f_") else table(self.spark, self.sf_dir, name)

@@ -37,7 +37,18 @@ def build_session(app: str = "eligo", master: str | None = None,
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return tune(b.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the operators need of any session, also one made elsewhere.
+
+    The record columns depend on each other many levels deep. Deriving filters
+    from them takes the optimizer minutes and finds none that prune a scan, so
+    that one rule is off; predicate and column push-down are not affected.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
