@@ -53,13 +53,17 @@ def stages(payloads: DataFrame, catalog: DataFrame | None = None, dim: DataFrame
            cut: bool = False) -> Stages:
     """Composes the job without running it.
 
-    With ``cut`` the checked records are written to the shared folder and read
-    back, so that the later stages, used several times, do not parse again.
+    With ``cut`` the raw and the checked records are written to the shared
+    folder and read back. Payloads are then parsed once, however often the
+    later stages are used, and the wide record columns are planned once instead
+    of once per parser, since projections move below a union.
     """
     if dim is not None:
         payloads = ranked_sources(payloads, dim)
     fetched = fetches.classify(payloads, known)
     parsed = dispatch.parse(fetched.where("outcome = 'ok'"), parsers)
+    if cut:
+        parsed = cut_lineage(parsed, "parsed")
     normalized = normalize.normalize(parsed)
     if category:
         normalized = normalized.where(normalize.matches_category(category))
@@ -75,8 +79,8 @@ def stages(payloads: DataFrame, catalog: DataFrame | None = None, dim: DataFrame
 def stats(st: Stages) -> DataFrame:
     """One row of counters. Each stage is counted where it stands.
 
-    The parsed count needs its own pass over the payloads; all later counters
-    read the checked records.
+    The fetch counters read the payloads again, their content only where hashes
+    are compared; all later ones read the written records.
     """
     def count(name: str, cond=None):
         return F.count_if(cond if cond is not None else F.lit(True)).alias(name)

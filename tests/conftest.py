@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     SparkSession.builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config(
         "spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    s = build_session("tests", master="local[8]", shuffle_partitions=8)
+    s = build_session("tests", master="local[8]", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

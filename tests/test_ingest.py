@@ -20,7 +20,7 @@ def record(i, **more):
 def payloads(spark, *rows):
     return spark.createDataFrame([
         (u, "apisetu_myscheme", status, bytearray(json.dumps(body), "utf-8") if body is not None else None, None, None)
-        for u, status, body in rows], PAYLOAD)
+        for u, status, body in rows], PAYLOAD).coalesce(1)
 
 
 @pytest.fixture

@@ -9,7 +9,7 @@ PAYLOAD = "url string, source_id string, status int, content binary, content_typ
 
 
 def payloads(spark, *rows):
-    return spark.createDataFrame([(u, s, 200, bytearray(c, "utf-8"), None, None) for u, s, c in rows], PAYLOAD)
+    return spark.createDataFrame([(u, s, 200, bytearray(c, "utf-8"), None, None) for u, s, c in rows], PAYLOAD).coalesce(1)
 
 
 def parsed(spark, *rows):
