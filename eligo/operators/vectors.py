@@ -170,24 +170,14 @@ class _Best:
             if len(order) == self.k:
                 self.floor[j] = s[order[-1]]
 
-    def rows(self, query_ids: list):
-        for qid, s, i in zip(query_ids, self.sims, self.ids):
-            if len(i):
-                yield pd.DataFrame({"query_id": qid, "scheme_id": i, "similarity": s})
-
-
-def _query_blocks(queries: DataFrame, block: int):
-    """Query vectors in blocks of a fixed size; one block is in memory at a time."""
-    ids, vecs = [], []
-    for row in queries.select(c("query_id").cast("string"), "embedding").toLocalIterator():
-        if row.embedding is not None and any(row.embedding):
-            ids.append(row.query_id)
-            vecs.append(row.embedding)
-        if len(ids) == block:
-            yield ids, vecs
-            ids, vecs = [], []
-    if ids:
-        yield ids, vecs
+    def frame(self, query_ids: list) -> pd.DataFrame:
+        asked = np.repeat(np.array(query_ids, dtype=object), np.array([len(i) for i in self.ids], dtype=int))
+        found = np.concatenate([np.empty(0, dtype=object), *self.ids])
+        return pd.DataFrame({
+            "query_id": pd.Series(asked, dtype=object),
+            "scheme_id": pd.Series(found, dtype=object),
+            "similarity": np.concatenate([np.empty(0), *self.sims]),
+        })
 
 
 def _scan(corpus: DataFrame, query_ids: list, vecs, k: int, cells=None) -> DataFrame:
@@ -213,7 +203,7 @@ def _scan(corpus: DataFrame, query_ids: list, vecs, k: int, cells=None) -> DataF
                 for j, p in enumerate(probes):
                     sims[~np.isin(own, p), j] = -np.inf
             best.add(sims, pdf["scheme_id"].to_numpy()[ok].astype(str))
-        yield from best.rows(query_ids)
+        yield best.frame(query_ids)
 
     cols = ["scheme_id", "embedding"] + (["cell"] if probes is not None else [])
     rows = corpus.where(c("embedding").isNotNull() & (F.size("embedding") == dim)).select(*cols)
@@ -241,22 +231,71 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = K.SEARCH_LIMIT,
 
     ``queries`` has query_id and embedding, ``corpus`` scheme_id and embedding
     with one row per scheme (see :func:`one_per_model`). Vectors of length zero
-    and null ones match nothing. More queries than a block take one more scan
-    of the corpus per block.
+    and null ones match nothing.
     """
     return _search(queries, corpus, k, block, None)
 
 
-def _search(queries, corpus, k, block, probes_of) -> DataFrame:
-    hits = None
-    for ids, vecs in _query_blocks(queries, block):
-        part = _scan(corpus, ids, vecs, k, probes_of(vecs) if probes_of else None)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = queries.sparkSession.createDataFrame([], _HITS)
+def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, probes_of) -> DataFrame:
+    """Up to ``block`` queries go to the tasks as they are; more are joined block by block.
+
+    The test reads one row more than a block holds, so what reaches the driver
+    has that bound whatever the number of queries.
+    """
+    asked = queries.where(c("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select(
+        c("query_id").cast("string").alias("query_id"), "embedding")
+    head = asked.limit(block + 1).collect()
+    if not head:
+        return _rank(queries.sparkSession.createDataFrame([], _HITS), k)
+    if len(head) <= block:
+        vecs = [r.embedding for r in head]
+        hits = _scan(corpus, [r.query_id for r in head], vecs, k, probes_of(vecs) if probes_of else None)
+    else:
+        hits = _grid(asked, corpus, k, -(-asked.count() // block), probes_of)
     return _rank(hits, k)
 
 
+def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int, probes_of) -> DataFrame:
+    """Blocks of queries against blocks of the corpus, a pair of blocks per task.
+
+    Both sides are cut by a hash of their ids, so blocks are even however the
+    data is skewed; a query meets only the cells it probes, and a cell is cut
+    into as many blocks as there are shuffle partitions. A pair of blocks
+    returns at most k rows per query.
+    """
+    cuts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @F.pandas_udf("array<int>")
+    def probed(v: pd.Series) -> pd.Series:
+        return pd.Series([[int(x) for x in p] for p in probes_of(list(v))])
+
+    def block_of(col: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = asked.withColumn("probes", probed(c("embedding")) if probes_of else F.array(F.lit(0)))
+    q = q.select("query_id", "embedding", block_of("query_id", query_blocks).alias("qb"),
+                 F.explode("probes").alias("cell")).withColumn("cb", every(cuts))
+    v = corpus.where(c("embedding").isNotNull()).select(
+        "scheme_id", "embedding", (c("cell") if probes_of else F.lit(0)).alias("cell"),
+        block_of("scheme_id", cuts).alias("cb")).withColumn("qb", every(query_blocks))
+
+    def pair(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(len(qs), k)
+        if len(qs) and len(vs):
+            m, _ = _unit(_matrix(qs["embedding"]))
+            vs = vs[vs["embedding"].map(len) == m.shape[1]]
+            if len(vs):
+                unit, ok = _unit(_matrix(vs["embedding"]))
+                best.add(np.round(unit @ m.T, 6), vs["scheme_id"].to_numpy()[ok].astype(str))
+        return best.frame(list(qs["query_id"]))
+
+    keys = ("qb", "cell", "cb")
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(pair, _HITS)
+
+
 # ---- approximate search -----------------------------------------------------
 
 def planes(dim: int, bits: int, seed: int = 7) -> np.ndarray:

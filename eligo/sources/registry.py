@@ -33,7 +33,7 @@ def api_only(dim: DataFrame) -> DataFrame:
 
 def unknown_ids(requested: DataFrame, dim: DataFrame) -> DataFrame:
     """Requested source ids the registry does not have."""
-    return requested.select("source_id").distinct().join(dim, "source_id", "left_anti")
+    return requested.select("source_id").distinct().join(F.broadcast(dim), "source_id", "left_anti")
 
 
 def pick(dim: DataFrame, source_ids: list[str] | None, priority_max: int = 10) -> DataFrame:
@@ -49,10 +49,15 @@ def pick(dim: DataFrame, source_ids: list[str] | None, priority_max: int = 10) -
 
 
 def expand(dim: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per entry url, in source order, then list order."""
-    return dim.join(entries, "source_id").select(
+    """One row per entry url, in source order, then list order.
+
+    The registry is a few rows of code, so it is broadcast and no source's
+    entries have to meet in one task.
+    """
+    return entries.join(F.broadcast(dim), "source_id").select(
         "source_id", "priority", "ordinal", F.posexplode("urls").alias("url_index", "url"))
 
 
 def without_urls(dim: DataFrame, entries: DataFrame) -> DataFrame:
-    return dim.join(entries.where(F.size("urls") > 0), "source_id", "left_anti")
+    listed = entries.where(F.size("urls") > 0).select("source_id").distinct()
+    return dim.join(listed, "source_id", "left_anti")
