@@ -27,9 +27,12 @@ def refresh(fetches: DataFrame, store: ingest.Store, checkpoint: str, **options)
     Run it on a timer for a periodic refresh, or at once for a triggered one.
     Each micro-batch writes the generation of its own number: a batch that is
     run again after a failure reads the generation before it and overwrites
-    its own, so the store ends up the same.
+    its own, so the store ends up the same. A store that other runs have taken
+    further than the stream is refused rather than rolled back.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
+        if max(store.generations(), default=0) > batch_id + 1:
+            raise ValueError(f"{store.path} holds generations this stream did not write")
         ingest.run(batch, store, gen=batch_id + 1, **options)
 
     return (

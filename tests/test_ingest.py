@@ -105,3 +105,13 @@ def test_first_sightings(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("url", "content").collect()
     assert sorted(map(tuple, got)) == [("u", "a"), ("u", "b"), ("v", "a")]
+
+
+def test_a_stream_refuses_a_store_others_wrote(spark, store, tmp_path):
+    for _ in range(2):
+        store.write(len(store.generations()) + 1, {"schemes": spark.range(1)})
+    payloads(spark, A).write.parquet(str(tmp_path / "in"))
+    q = streaming.refresh(fetches.stream_fetches(spark, str(tmp_path / "in")), store, str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="did not write"):
+        q.awaitTermination()
+    assert store.generations() == [1, 2]
