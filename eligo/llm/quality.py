@@ -149,7 +149,8 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Start 0: all rows of the group. Start 1: medians, and spreads from the medians of distances to them."""
     classical = _estimates(rows.groupBy("grp").agg(*_moments())).withColumn("start", F.lit(0))
-    middle = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(DIMS)))
+    middle = cut_lineage(rows.groupBy("grp").agg(
+        *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(DIMS))), "quality-medians")
     spread = rows.join(middle, "grp").groupBy("grp").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)),
         *(F.percentile_approx(F.abs(c(x) - c(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(DIMS)))

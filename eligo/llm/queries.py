@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eligo.llm import quality
+from eligo.llm import lines, quality
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents),
+keyed as (
+  select *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+doomed as (
+  select k, max(doc_id) as last from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+judged as (
+  select keyed.*, coalesce(doc_id < last, false) as drops from keyed left join doomed using (k))
+select doc_id, count(*) as n_lines, count(*) filter (where drops) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not drops), '')) as kept_sha256
+from judged group by doc_id
+"""
+
 QUERIES: dict[str, Query] = {
+    "op4_line_dedup": op4_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
