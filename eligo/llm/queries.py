@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm import lines, quality
+from eligo.llm import jaccard, lines, quality
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+with recursive tokens as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, hash(array_to_string(w[i:i + 4], ' ')) as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from tokens where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select s from shingles group by s having count(*) > 1),
+posts as materialized (select doc_id, s from shingles join shared using (s)),
+common_grams as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common
+  from posts a join posts b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (
+  select x, y from common_grams join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * common >= 75 * (p.n + q.n - common)),
+ways as materialized (select x, y from links union all select y, x from links),
+reach as (
+  select doc_id as x, doc_id as y from documents
+  union
+  select reach.x, ways.y from reach join ways on reach.y = ways.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(reach.y) as component_id
+from documents d join reach on reach.x = d.doc_id left join sizes using (doc_id)
+group by d.doc_id, n
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,10 +73,12 @@ from judged group by doc_id
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
 }
