@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm import jaccard, lines, quality
+from eligo.llm import jaccard, lines, mixing, quality
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,15 @@ select doc_id, count(*) as n_lines, count(*) filter (where drops) as n_dropped,
 from judged group by doc_id
 """
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 SQL: dict[str, str] = {
