@@ -46,20 +46,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut at rows so that each holds about CHUNK_BYTES of ``column``, or a single longer row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut at rows so that each holds about ``limit`` bytes (of a list: entries) of ``column``, or one longer row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = text_bytes(batch.column(column))[1]
+        values = batch.column(column)
+        if pa.types.is_list(values.type):
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))])
+        else:
+            ends = text_bytes(values)[1]
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, side="right")) - 1
+            stop = int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1
             stop = min(max(stop, start + 1), start + CHUNK_ROWS, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
