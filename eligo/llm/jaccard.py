@@ -8,10 +8,11 @@ links with nothing). Two documents link when 100 * intersection >= 75 * union.
 2. Documents with equal sets are one class from here on; only one text of each is read again.
 3. The order is refined to (number of classes that hold the n-gram, n-gram). Linked sets share one of their first
    n - ceil(0.75 n) + 1 n-grams in any such order, so only these are posted, without those nobody shares.
-4. Members of a posting list are compared with one hub of the list, not with each other; groups form, and further rounds
-   take other hubs for lists that still span several groups. When few pairs across groups are left (several rounds at most
-   go by), all these are compared, so no link between groups is lost.
-5. Every comparison counts the overlap per fragment and sums per pair.
+4. Members of a posting list are compared with one hub of the list, not with each other: the overlap is counted per
+   fragment and summed per pair. Groups form, and a second round takes other hubs for lists that still span several groups.
+5. Classes on lists that span several groups even then are gathered into families by the lists they share. A family is
+   cut into blocks, and a task counts, fragment by fragment, the overlaps of all classes of two blocks as a matrix; only
+   links between groups leave it. So no link is lost, and pairs are rows only for hubs and links.
 
 Null and empty texts have the empty set. A repeated doc_id is one node per row; component_id is the smallest doc_id of the
 group, null ids not counted unless there are only such. An empty table gives an empty table. Only doc_id and text are read.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligo.llm.common import chunks, mix, ngrams, words
+from eligo.llm.common import chunks, free_names, mix, ngrams, words
 from eligo.llm.fragments import (PACKED, block_number, by_fragment, distinct_with_owner, fragment_bits, head_and_answers,
                                  pack_keys, packed, packed_table, repeated, runs, to_fragments, unpack_ascending, unpack_keys)
 from eligo.session import cut_lineage
@@ -35,8 +36,10 @@ c = F.col
 
 N = 5
 PERCENT = 75
-ROUNDS = 6
-SEGMENTS = 8  # fragments in which a pair's overlap is counted
+ROUNDS = 2
+SEGMENTS = 4  # fragments in which a pair's overlap is counted
+BLOCK = 2048  # classes of a family that meet another such block in one task
+COLUMNS = 2048  # shingles in a fragment of a block's matrix
 NO_ID = np.iinfo(np.int64).min
 _INFO = "doc_id long, n long, shared long, cls binary"
 
@@ -130,11 +133,11 @@ def _sets_to_fragments(bits: int):
 
 
 def _answer_counts(rows: pa.Table) -> pa.Table:
-    """For one fragment: per block, for each of its keys the number of classes that hold it, up to 255."""
+    """For one fragment: per block, for each of its keys the number of classes that hold it, on a fine logarithmic scale."""
     rows = rows.to_pylist()
     keys, held = [unpack_keys(r["a"]) for r in rows], [np.frombuffer(r["b"], "<u4") for r in rows]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(back, weights=np.concatenate(held))[back], 255).astype(np.uint8)
+    total = np.floor(1024 * np.log2(np.bincount(back, weights=np.concatenate(held))[back])).astype("<u2")
     cut = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
     return packed_table([(r["part"], r["block"], False, t.tobytes()) for r, t in zip(rows, cut)])
 
@@ -145,8 +148,8 @@ def _post(rows: pa.Table) -> pa.Table:
     sizes, keys = np.frombuffer(head["b"], "<u4").astype(np.int64), np.frombuffer(head["c"], "<u8")
     owners = np.repeat(np.arange(len(sizes)), sizes)
     _, back = np.unique(keys, return_inverse=True)
-    held = np.frombuffer(b"".join(r["a"] for r in answers), np.uint8)[back] if len(keys) else np.zeros(0, np.uint8)
-    several = held > 1
+    held = np.frombuffer(b"".join(r["a"] for r in answers), "<u2")[back] if len(keys) else np.zeros(0, np.uint16)
+    several = held > 0
     count = np.bincount(owners[several], minlength=len(sizes))
     length = count - _needed(sizes) + 1
     alive = (length > 0) & (sizes > 0)
@@ -238,7 +241,7 @@ def components(docs: DataFrame) -> DataFrame:
     segments = cut_lineage(alive.select("cls", "n", "keys").mapInArrow(
         _segments, "cls binary, n long, part int, seg binary"), "jaccard-segments")
     posts = cut_lineage(alive.select("cls", "n", F.explode("begin").alias("gram")), "jaccard-posts")
-    groups = _group(posts, segments, cut_lineage(alive.select("cls", c("cls").alias("label")), "groups"))
+    groups = _group(posts, segments, alive, cut_lineage(alive.select("cls", c("cls").alias("label")), "groups"))
 
     least = groups.join(classes, "cls").select("label", "least").groupBy("label").agg(F.min("least").alias("component"))
     named = classes.join(groups.join(least, "label"), "cls", "left").select(
@@ -247,39 +250,83 @@ def components(docs: DataFrame) -> DataFrame:
         "doc_id", c("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _group(posts: DataFrame, segments: DataFrame, groups: DataFrame) -> DataFrame:
-    seen, n_posts = None, posts.count()
+def _group(posts: DataFrame, segments: DataFrame, alive: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups (cls, label) of the classes that links connect."""
     alike = (100 * c("n") >= PERCENT * c("n_b")) & (100 * c("n_b") >= PERCENT * c("n"))
+    seen = None
     for turn in range(ROUNDS + 1):
         listed = posts.join(groups, "cls")
-        spans = listed.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(
-            F.sum("n").alias("n"), F.sum(c("n") * c("n")).alias("same"), F.count("*").alias("labels")).filter("labels > 1")
-        left = spans.agg(F.sum((c("n") * c("n") - c("same")) / 2)).first()[0] or 0
-        last = turn == ROUNDS or (turn > 0 and left <= 2 * n_posts)
-        if not left:
-            break
-        if last:
-            other = listed.select("gram", c("cls").alias("b"), c("n").alias("n_b"), c("label").alias("label_b"))
-            pairs = listed.join(other, "gram").filter((c("label") < c("label_b")) & alike)
-        else:
-            hubs = listed.groupBy("gram").agg(
-                F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), c("cls").alias("b"), c("n").alias("n_b"),
-                               c("label").alias("label_b"))).alias("hub"),
-                F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gram", "hub.*")
-            pairs = listed.join(hubs, "gram").filter((c("label") != c("label_b")) & alike)
-        pairs = pairs.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+        hubs = listed.groupBy("gram").agg(
+            F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), c("cls").alias("b"), c("n").alias("n_b"),
+                           c("label").alias("label_b"))).alias("hub"),
+            F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gram", "hub.*")
+        stars = listed.join(hubs, "gram").filter(c("cls") != c("b"))
+        if turn == ROUNDS:
+            return _across(cut_lineage(stars.select(c("cls").alias("a"), "b").distinct(), "jaccard-lists"), alive, groups)
+        pairs = stars.filter((c("label") != c("label_b")) & alike).select(
+            F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "jaccard-pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        if not pairs.isEmpty():
-            groups = merge_groups(groups, cut_lineage(linked(pairs, segments), "jaccard-links"))
-        if last:
-            break
+        pairs = seen = cut_lineage(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            continue
+        groups = merge_groups(groups, cut_lineage(linked(pairs, segments), "jaccard-links"))
     return groups
 
 
+def _across(same_list: DataFrame, alive: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups after all links between classes on the lists left over, given as stars (a, b)."""
+    if same_list.isEmpty():
+        return groups
+    left = same_list.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    families = merge_groups(cut_lineage(left.select("cls", c("cls").alias("label")), "jaccard-left"), same_list)
+    blocks = families.groupBy(c("label").alias("family")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = families.select("cls", c("label").alias("family")).join(blocks, "family").join(groups, "cls").join(
+        alive.select("cls", "n", "keys"), "cls").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).select(
+        "family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "n", "label", "keys")
+    links = met.groupBy("family", "low", "high").applyInArrow(_cell, "a binary, b binary")
+    return merge_groups(groups, cut_lineage(links, "jaccard-links"))
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Links between different groups among the classes of two blocks of a family."""
+    if len(rows) < 2:
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    low, high, own = (rows.column(x).to_numpy() for x in ("low", "high", "own"))
+    sets = [np.frombuffer(k, "<u8") for k in rows.column("keys").to_pylist()]
+    n = rows.column("n").to_numpy()
+    label = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+    distinct, column = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    held = np.bincount(column)
+    use = (held > 1)[column]  # in order of the shingles' place in the order
+    order = np.argsort(column[use], kind="stable")
+    column, of = (np.cumsum(held > 1) - 1)[column[use][order]], of[use][order]
+    first, second = (np.arange(len(sets)),) * 2 if low[0] == high[0] else (np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0]))
+    place = np.zeros((2, len(sets)), np.int64)
+    place[0, first], place[1, second] = np.arange(len(first)), np.arange(len(second))
+    common = np.zeros((len(first), len(second)), np.float32)
+    in_first, in_second = np.isin(of, first), np.isin(of, second)
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        partial = []
+        for side, inside, some in ((0, in_first, first), (1, in_second, second)):
+            at = np.flatnonzero(inside[a:b]) + a
+            partial.append(np.zeros((len(some), COLUMNS), np.float32))
+            partial[-1][place[side, of[at]], column[at] - start] = 1
+        rows_a, rows_b = (np.flatnonzero(x.any(1)) for x in partial)  # most classes have nothing in most fragments
+        common[np.ix_(rows_a, rows_b)] += partial[0][rows_a] @ partial[1][rows_b].T
+    ok = (100 * common >= PERCENT * (n[first][:, None] + n[second][None, :] - common)) & (label[first][:, None] != label[second][None, :])
+    i, j = np.nonzero(ok)
+    cls = np.array(rows.column("cls").to_pylist(), object)
+    # one link for each pair of groups is enough
+    _, once = np.unique(np.stack([label[first[i]], label[second[j]]]), axis=1, return_index=True)
+    return pa.table({"a": pa.array(cls[first[i[once]]].tolist(), pa.binary()), "b": pa.array(cls[second[j[once]]].tolist(), pa.binary())})
+
+
 def filter_documents(docs: DataFrame) -> DataFrame:
     """One document of each group with its columns: the one with the smallest doc_id (all rows that share that id)."""
-    gone = components(docs).filter(c("doc_id") != c("component_id")).select(c("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), c("doc_id") == c("_gone"), "left_anti")
+    gone, = free_names(docs, "_gone")
+    ids = components(docs).filter(c("doc_id") != c("component_id")).select(c("doc_id").alias(gone)).distinct()
+    return docs.join(ids.hint("shuffle_hash"), c("doc_id") == c(gone), "left_anti")
