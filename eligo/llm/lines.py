@@ -245,8 +245,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents with their columns, repeated lines gone from the texts; a text that loses none stays as it is."""
-    cleaned = dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
-    text = F.when(c("n_dropped") > 0, c("kept_text")).otherwise(c("text"))
-    own = {"text": text, "n_chars": F.when(c("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(c("_row.n_chars"))
-           } if "n_chars" in docs.columns else {"text": text}
+    rest = [x for x in docs.columns if x not in ("doc_id", "text")]
+    cleaned = dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_row")))
+    lost = c("n_dropped") > 0
+    own = {"doc_id": c("doc_id"), "text": F.when(lost, c("kept_text")).otherwise(c("text")),
+           "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(c("_row.n_chars")) if "n_chars" in rest else None}
     return cleaned.select(*(own.get(x, c(f"_row.`{x}`")).alias(x) for x in docs.columns))

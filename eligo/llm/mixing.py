@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from eligo.llm.common import mix
+from eligo.llm.common import free_names, mix
 from eligo.session import cut_lineage
 
 c = F.col
@@ -198,13 +198,15 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     A document taken whole keeps its text as it is; otherwise the text is the parts taken. Rows are numbered in a
     written table first, so that repeated rows stay apart.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    documents, mixed = mix_documents(rows, "_row")
+    row, place, start, other, cut, parts_, whole = free_names(docs, "_row", "_p", "_s", "_r", "_cut", "_parts", "_whole")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    documents, mixed = mix_documents(rows, row)
     parts = mixed.groupBy("place", "start", "turn").agg(
-        F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken"))
-    keys = documents.filter("size > 0").select(c("place").alias("_p"), c("start").alias("_s"), c("_row").alias("_r"), "size")
-    found = parts.join(keys, (c("place") == c("_p")) & (c("start") == c("_s"))).select("_r", "parts", (c("taken") == c("size")).alias("whole"))
-    met = rows.join(found.hint("shuffle_hash"), c("_row") == c("_r")).withColumn("_cut", F.when(~c("whole"), _cut_words(
-        F.when(~c("whole"), c("text")), c("parts.first"), c("parts.words"))).otherwise(c("text")))
-    own = {"text": c("_cut")} | ({"n_chars": F.char_length("_cut").cast("long")} if "n_chars" in docs.columns else {})
+        F.sort_array(F.collect_list(F.struct("first", "words"))).alias(parts_), F.sum("words").alias("taken"))
+    keys = documents.filter("size > 0").select(c("place").alias(place), c("start").alias(start), c(row).alias(other), "size")
+    found = parts.join(keys, (c("place") == c(place)) & (c("start") == c(start))).select(
+        other, parts_, (c("taken") == c("size")).alias(whole))
+    met = rows.join(found.hint("shuffle_hash"), c(row) == c(other)).withColumn(cut, F.when(~c(whole), _cut_words(
+        F.when(~c(whole), c("text")), c(f"{parts_}.first"), c(f"{parts_}.words"))).otherwise(c("text")))
+    own = {"text": c(cut)} | ({"n_chars": F.char_length(cut).cast("long")} if "n_chars" in docs.columns else {})
     return met.select(*(own.get(x, c(f"`{x}`")).alias(x) for x in docs.columns))

@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligo.llm.common import free_names
 from eligo.session import cut_lineage
 
 c = F.col
@@ -85,17 +86,19 @@ def features(stats: DataFrame) -> DataFrame:
 
 
 def grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``grp``: language and source, or their pool where fewer than MIN_GROUP rows pass the base rules."""
+    """Adds ``grp``: language and source, or the pool of a language's smaller sources, or of all smaller pools; null if
+    even that has fewer than MIN_GROUP rows that pass the base rules."""
     sizes = stats.filter(~c("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
     large = c("n") >= MIN_GROUP
-    pools = sizes.filter(~large).groupBy("lang").agg((F.sum("n") >= MIN_GROUP).alias("pool"))
+    pools = sizes.filter(~large).groupBy("lang").agg(F.sum("n").alias("rows"), (F.sum("n") >= MIN_GROUP).alias("pool"))
     own = sizes.filter(large).select(c("lang").alias("_l"), c("source").alias("_s"), F.lit(True).alias("_own"))
+    rest = pools.filter(~c("pool")).select(F.sum("rows")).first()[0] or 0
     pools = pools.select(c("lang").alias("_pl"), "pool")
     return (stats.join(own, c("lang").eqNullSafe(c("_l")) & c("source").eqNullSafe(c("_s")), "left")
             .join(pools, c("lang").eqNullSafe(c("_pl")), "left")
             .withColumn("grp", F.when(c("_own"), F.to_json(F.struct(F.lit("source").alias("by"), "lang", "source")))
                         .when(c("pool"), F.to_json(F.struct(F.lit("lang").alias("by"), "lang")))
-                        .otherwise(F.lit('{"by":"all"}')))
+                        .otherwise(F.lit('{"by":"all"}' if rest >= MIN_GROUP else None)))
             .drop("_l", "_s", "_own", "_pl", "pool"))
 
 
@@ -176,7 +179,7 @@ def estimate(rows: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, *keep: str) -> DataFrame:
     """A row per document: ``keep`` (doc_id, lang, source at least), statistics, base_failed, d2 and kept.
 
-    A group without a row that passes the base rules has no estimate, and no row to judge either.
+    Rows of no group (see grouped()) are too few to tell outliers, and kept if they pass the base rules.
     """
     keep = tuple(dict.fromkeys(("doc_id", "lang", "source", *keep)))
     rows = cut_lineage(grouped(cut_lineage(features(text_statistics(docs, *keep)), "quality-statistics")), "quality-groups")
@@ -192,12 +195,13 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
     Rows equal in id, text, language and source have equal verdicts, so rejected rows are taken out by these.
     """
-    key = F.xxhash64("text")
-    named = docs.withColumn("_text_key", key)
-    bad = quality(docs.select("doc_id", "lang", "source", "text", key.alias("_text_key")), "_text_key").filter(~c("kept")).select(
-        *(c(x).alias(f"_bad_{x}") for x in ("doc_id", "lang", "source", "_text_key"))).distinct()
-    same = [c(x).eqNullSafe(c(f"_bad_{x}")) for x in ("doc_id", "_text_key", "lang", "source")]
-    return named.join(bad.hint("shuffle_hash"), same[0] & same[1] & same[2] & same[3], "left_anti").drop("_text_key")
+    names = ("doc_id", "lang", "source", "text_key")
+    key, *bad_names = free_names(docs, "_text_key", *(f"_bad_{x}" for x in names))
+    keyed = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("text_key"))
+    bad = quality(keyed, "text_key").filter(~c("kept")).select(*(c(x).alias(y) for x, y in zip(names, bad_names))).distinct()
+    same = [c(x).eqNullSafe(c(y)) for x, y in zip(("doc_id", "lang", "source", key), bad_names)]
+    return docs.withColumn(key, F.xxhash64("text")).join(
+        bad.hint("shuffle_hash"), same[0] & same[1] & same[2] & same[3], "left_anti").drop(key)
 
 
 def _chi2_cdf(x: float, p: int) -> float:

@@ -7,12 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm import jaccard, lines, mixing, pieces, quality
+import corpus_pipeline
+from eligo.llm import chat, jaccard, langid, lines, mixing, permutations, pieces, quality, suffixes, warc
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutations.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+with texts as (
+  select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+stretches as (
+  select row, doc_id, i, hash(array_to_string(w[i + 1:i + 50], ' ')) as s
+  from (select row, doc_id, w, unnest(range(0, len(w) - 49)) as i from texts where len(w) >= 50)),
+twice as (select s from stretches group by s having count(distinct row) > 1),
+hits as (select row, doc_id, i from stretches join twice using (s)),
+marked as (
+  select *, case when i <= lag(i) over (partition by row order by i) + 50 then 0 else 1 end as fresh from hits),
+islands as (select *, sum(fresh) over (partition by row order by i) as island from marked)
+select doc_id, min(i) as start_word, max(i) - min(i) + 50 as n_words
+from islands group by row, doc_id, island
+"""
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = chat.load_ranks()
+    probe = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.sql("select * from values (-1L, 0L, 'user', :t), (-1L, 1L, 'assistant', :t) as v(conv_id, turn, role, text)", args={"t": probe}))
+    return chat.read_back(chat.format_conversations(turns, ranks), ranks)
+
+
+OP7_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(20 + length(role) + length(text)
+         + len(regexp_extract_all(role || chr(10) || text, '\\|<s>|\[INST\]|\[/INST\]|</s>|<<SYS>>|<</SYS>>'))) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+
+def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_packages(warc.write_packages(table(spark, sf_dir, "pages")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -22,6 +75,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -80,15 +140,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_repeated_passages": op6_repeated_passages,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_warc_packages": op8_warc_packages,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op6_repeated_passages": OP6_SQL,
+    "op7_chat_formatting": OP7_SQL,
 }
