@@ -129,21 +129,10 @@ SOURCE_ROWS = [
     ("kvic", "KVIC — PMEGP Portal", "html", "primary",
      "authorized", True, 2, ["MSME", "Artisan", "Employment"]),
 ]
-ENTRY_URLS = {
-    "apisetu_myscheme": ["https://api.apisetu.gov.in/myscheme/schemes"],
-    "india_gov_schemes": ["https://www.india.gov.in/government-schemes"],
-    "data_gov_in": [
-        "https://api.data.gov.in/resource/9ef84268-d588-465a-a308-a864a43d0070"
-        "?api-key={DATA_GOV_API_KEY}&format=json&limit=500",
-    ],
-    "msme_ministry": ["https://msme.gov.in/government-schemes", "https://msme.gov.in/schemes"],
-    "mudra_portal": ["https://www.mudra.org.in/"],
-    "standupmitra": ["https://www.standupmitra.in/"],
-    "kvic": ["https://www.kviconline.gov.in/pmegpeportal/jsp/pmegp.jsp"],
-}
 
 # --- fixed values: matching -------------------------------------------------
 CANDIDATE_LIMIT = 50
+RANK_LIMIT = 1000  # above it Spark no longer cuts a ranking on the map side
 PAGE_LIMIT_DEFAULT = 20
 PAGE_LIMIT_MAX = 100
 SEARCH_LIMIT = 20

@@ -19,11 +19,6 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, empty())
 
 
-def first_list(*cols: Column) -> Column:
-    """First list that is neither null nor empty, else the empty list."""
-    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in cols], empty())
-
-
 def split_text(c: Column, pattern: str = "[,;/]") -> Column:
     """Parts of a text between separators, trimmed, blanks dropped."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), pattern), strip)

@@ -14,11 +14,6 @@ def nonzero(c: Column) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
 
-def number_or(*cols: Column) -> Column:
-    """First number that is neither null nor zero, else null."""
-    return F.coalesce(*[F.nullif(c, F.lit(0).cast("double")) for c in cols])
-
-
 def _scaled(text: Column, pattern: str, small_units: bool) -> Column:
     value = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
     unit = F.lower(F.regexp_extract(text, pattern, 2))

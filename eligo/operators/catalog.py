@@ -183,6 +183,9 @@ def response(schemes: DataFrame) -> DataFrame:
           for f in ("states", "beneficiary_types", "gender_eligibility", "social_categories")],
         *[F.coalesce(c(f), F.lit(False)).alias(f) for f in ("disability_eligibility", "udyam_required")],
         F.coalesce(X.text_or(opt("verification_status")), F.lit("UNKNOWN")).alias("verification_status"),
+        opt("verified_at", "timestamp").alias("verified_at"),
+        *[opt(f).alias(f) for f in ("source_name", "source_url", "official_source_url")],
+        opt("updated_at", "timestamp").alias("updated_at"),
         F.coalesce("data_quality_score", F.lit(0)).alias("data_quality_score"),
         "created_at",
         *extra,
@@ -214,7 +217,7 @@ def by_id(schemes: DataFrame, children: dict[str, DataFrame], scheme_id: str) ->
 
 # ---- candidates per state ---------------------------------------------------
 
-ALL, OPEN, STATE = "all", "open", "state:"
+ALL, OPEN, STATE, CLOSED = "all", "open", "state:", "closed"
 
 
 def state_key(state: Column) -> Column:
@@ -289,3 +292,29 @@ def candidate_content(states: DataFrame, schemes: DataFrame, payload: list[Colum
     full = flat.withColumnRenamed("state", "_state").join(schemes, flat["scheme_id"] == schemes["id"])
     entry = F.struct("position", "scheme_id", *payload)
     return full.groupBy(c("_state").alias("state")).agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
+
+
+# ---- every scheme of a list -------------------------------------------------
+
+WORSE = "worse"  # the order of candidates: quality descending, then id
+
+
+def entries(schemes: DataFrame, payload: list[Column]) -> DataFrame:
+    """(list_key, s) of all active schemes: ``open`` ones once, others once per state they name and once as ``closed``.
+
+    A profile with a state asks for its state's list and the open one, a
+    profile without a state for the closed and the open one; no scheme comes
+    twice, and a state that no scheme names has the open list only.
+    """
+    keys = F.when(_open_flag(), F.array(F.lit(OPEN))).otherwise(F.concat(
+        F.transform(F.filter(F.array_distinct("states"), lambda x: x.isNotNull()), lambda x: F.concat(F.lit(STATE), x)),
+        F.array(F.lit(CLOSED))))
+    entry = F.struct(c("id").alias("scheme_id"), (-F.coalesce("data_quality_score", F.lit(0))).alias(WORSE), *payload)
+    # two steps: next to an explode the struct's fields would lose their names
+    return schemes.where(c("status") == "active").select(keys.alias("keys"), entry.alias("s")).select(
+        F.explode("keys").alias("list_key"), "s")
+
+
+def own_list(state: Column) -> Column:
+    """The list besides the open one that a profile's state asks for."""
+    return F.when(X.filled(state), F.concat(F.lit(STATE), X.title_case(state))).otherwise(F.lit(CLOSED))

@@ -15,7 +15,7 @@ from eligo import constants as K
 from eligo.functions import lists as L
 from eligo.functions import text as X
 from eligo.operators import catalog
-from eligo.operators.skew import salted_join
+from eligo.operators.skew import salted_join, salts_for
 
 c = F.col
 
@@ -363,65 +363,96 @@ def with_texts(schemes: DataFrame) -> DataFrame:
     })
 
 
-def segment_pairs(profiles: DataFrame, schemes: DataFrame, limit: int = K.CANDIDATE_LIMIT,
-                  texts: bool = False) -> DataFrame:
-    """Every distinct profile segment with each of its candidates, evaluated.
+LOCAL = [x for x in SEGMENT if x != "state"]
+SEGMENTS_PER_PART, PROFILES_PER_PART = 50, 100_000
 
-    Millions of profiles fall into a few thousand segments; only those meet
-    the candidate lists, at most ``limit`` rows each.
+
+def segment_pairs(profiles: DataFrame, schemes: DataFrame, texts: bool = False) -> DataFrame:
+    """Segments with every active scheme of their lists, evaluated; no candidate is left out.
+
+    Only distinct segments meet schemes. For the open list the state makes no
+    difference, so there the segments are distinct without it, and ``state`` is
+    null. A list that many segments ask for is salted by their count.
     """
     payload = scheme_facts()
     if texts:
         schemes = with_texts(schemes)
         payload += scheme_texts()
+    own = profiles.select(*SEGMENT).distinct().withColumn("list_key", catalog.own_list(c("state")))
+    shared = profiles.select(*LOCAL).distinct().select(
+        *[F.lit(None).cast("string").alias(x) if x == "state" else c(x) for x in SEGMENT], F.lit(catalog.OPEN).alias("list_key"))
+    asking = own.unionByName(shared)
+    pairs = salted_join(asking, catalog.entries(schemes, payload), ["list_key"], SEGMENT,
+                        salts=salts_for(asking, ["list_key"], SEGMENTS_PER_PART))
+    return evaluate(pairs.withColumn("scheme_id", s("scheme_id")))
+
+
+def best_of_segments(profiles: DataFrame, evaluated: DataFrame, k: int, order: list[Column], cols: dict[str, Column]) -> DataFrame:
+    """The first k rows of each segment over its two lists, as columns ``cols`` and match_rank.
+
+    Each list is cut to k first, on the map side too, so no more than k rows of
+    a list and segment move on.
+    """
+    if k > K.RANK_LIMIT:
+        raise ValueError(f"k must be {K.RANK_LIMIT} at most")
+    by = Window.partitionBy(*SEGMENT, "list_key").orderBy(*order)
+    cut = evaluated.withColumn("_rn", F.row_number().over(by)).where(c("_rn") <= k).select(
+        *SEGMENT, "list_key", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)],
+                                       *[x.alias(n) for n, x in cols.items()]).alias("row"))
+    key = lambda xs: F.to_json(F.struct(*xs))  # noqa: E731  null attributes are left out, so they equal each other
+    lists = cut.groupBy(key([*SEGMENT, "list_key"]).alias("_list")).agg(F.collect_list("row").alias("rows"))
     segments = profiles.select(*SEGMENT).distinct()
-    lists = catalog.candidate_content(segments, schemes, payload, limit)
-    pairs = (
-        segments.join(lists.withColumnRenamed("state", "_state"), c("state").eqNullSafe(c("_state")))
-        .select(*SEGMENT, F.explode("candidates").alias("s"))
-        .withColumns({"scheme_id": s("scheme_id"), "candidate_rank": s("position")})
-    )
-    return evaluate(pairs)
+    open_key = key([*LOCAL, F.lit(catalog.OPEN).alias("list_key")])
+    asks = segments.withColumn("list_key", catalog.own_list(c("state"))).withColumn(
+        "_list", F.explode(F.array(key([*SEGMENT, "list_key"]), open_key))).drop("list_key")
+    rows = asks.join(lists, "_list").select(*SEGMENT, F.explode("rows").alias("row"))
+    whole = Window.partitionBy(*SEGMENT).orderBy(*[c(f"row.o{i}") for i in range(len(order))])
+    ranked = rows.withColumn("match_rank", F.row_number().over(whole)).where(c("match_rank") <= k)
+    return ranked.select(*SEGMENT, "match_rank", *[c(f"row.{n}").alias(n) for n in cols])
 
 
-def ranked_segments(evaluated: DataFrame, k: int | None = None) -> DataFrame:
-    """Passing candidates per segment, best score first, ties in candidate order."""
-    w = Window.partitionBy(*SEGMENT).orderBy(c("match_score").desc(), c("candidate_rank").asc())
-    out = evaluated.where("passed").withColumn("match_rank", F.row_number().over(w))
-    return out.where(c("match_rank") <= k) if k else out
+def _score_order() -> list[Column]:
+    return [-c("match_score"), s(catalog.WORSE), c("scheme_id")]
 
 
 def _to_profiles(profiles: DataFrame, segments: DataFrame, cols: list[str]) -> DataFrame:
     """Each profile with the rows of its segment.
 
-    A segment's rows (at most one per candidate) travel as one array, so the
-    join keeps one row per profile, and salting spreads a segment that a third
-    of all profiles share.
+    A segment's rows (k at most) travel as one array, so the join keeps one row
+    per profile; a segment that very many profiles share is salted by their
+    count.
     """
     rows = segments.groupBy(*SEGMENT).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
-    joined = salted_join(profiles, rows, SEGMENT, spread_by="profile_id")
+    joined = salted_join(profiles, rows, SEGMENT, spread_by="profile_id",
+                         salts=salts_for(profiles, SEGMENT, PROFILES_PER_PART))
     return joined.select(*profiles.columns, F.inline("_rows"))
 
 
-def recommend(profiles: DataFrame, schemes: DataFrame, k: int | None = None,
-              limit: int = K.CANDIDATE_LIMIT) -> DataFrame:
-    """Ranked matches of all profiles, with score, status and factors."""
-    best = ranked_segments(segment_pairs(profiles, schemes, limit), k)
-    cols = ["match_rank", "scheme_id", "match_score", "eligibility_status", "score_breakdown",
-            "matching_factors"]
-    return _to_profiles(profiles.select("profile_id", *SEGMENT), best, cols)
+def recommend(profiles: DataFrame, schemes: DataFrame, k: int) -> DataFrame:
+    """The k best matches of every profile among all active schemes, with score, status and factors.
+
+    Best score first, then quality, then id.
+    """
+    names = ["match_score", "eligibility_status", "score_breakdown", "matching_factors"]
+    passed = segment_pairs(profiles, schemes).where("passed")
+    best = best_of_segments(profiles, passed, k, _score_order(), {n: c(n) for n in ["scheme_id", *names]})
+    return _to_profiles(profiles.select("profile_id", *SEGMENT), best, ["match_rank", "scheme_id", *names])
+
 
+def ineligible(profiles: DataFrame, schemes: DataFrame, k: int) -> DataFrame:
+    """The k schemes of its lists that a profile fails by least, with the requirements it misses.
 
-def ineligible(profiles: DataFrame, schemes: DataFrame, limit: int = K.CANDIDATE_LIMIT) -> DataFrame:
-    """Candidates a profile fails, with the requirements it misses."""
-    failed = segment_pairs(profiles, schemes, limit).where("not passed")
-    cols = ["scheme_id", "match_score", "eligibility_status", "missing_requirements"]
-    return _to_profiles(profiles.select("profile_id", *SEGMENT), failed, cols)
+    Fewest missing requirements first, then quality, then id.
+    """
+    names = ["match_score", "eligibility_status", "missing_requirements"]
+    failed = segment_pairs(profiles, schemes).where("not passed")
+    order = [F.size("missing_requirements"), s(catalog.WORSE), c("scheme_id")]
+    near = best_of_segments(profiles, failed, k, order, {n: c(n) for n in ["scheme_id", *names]})
+    return _to_profiles(profiles.select("profile_id", *SEGMENT), near, ["scheme_id", *names])
 
 
-def match_table(profiles: DataFrame, schemes: DataFrame, explain=None, k: int | None = None,
-                limit: int = K.CANDIDATE_LIMIT) -> DataFrame:
-    """The stored match rows of all profiles, texts included.
+def match_table(profiles: DataFrame, schemes: DataFrame, k: int, explain=None) -> DataFrame:
+    """The stored match rows of all profiles, k at most, texts included.
 
     Benefits and documents depend on segment and scheme only and are built
     there; the explanation names the applicant and is built last. ``explain``
@@ -429,14 +460,12 @@ def match_table(profiles: DataFrame, schemes: DataFrame, explain=None, k: int |
     title, ministry_or_org, subsidy_percentage) that gives a column, such as a
     pandas UDF.
     """
-    evaluated = segment_pairs(profiles, schemes, limit, texts=True)
-    best = ranked_segments(evaluated, k).withColumns({
-        "required_documents": checklist(s("listed_documents"), s("needs_udyam")),
-        **{n: s(n) for n in ("key_benefits", "title", "ministry_or_org", "subsidy_percentage")},
-    })
-    cols = ["match_rank", "scheme_id", "match_score", "eligibility_status", "score_breakdown",
-            "missing_requirements", "matching_factors", "key_benefits", "required_documents",
-            "title", "ministry_or_org", "subsidy_percentage"]
+    passed = segment_pairs(profiles, schemes, texts=True).where("passed")
+    names = ["scheme_id", "match_score", "eligibility_status", "score_breakdown", "missing_requirements", "matching_factors"]
+    texts = ["key_benefits", "title", "ministry_or_org", "subsidy_percentage", "listed_documents", "needs_udyam"]
+    best = best_of_segments(profiles, passed, k, _score_order(), {n: c(n) for n in names} | {n: s(n) for n in texts})
+    best = best.withColumn("required_documents", checklist(c("listed_documents"), c("needs_udyam")))
+    cols = ["match_rank", *names, "key_benefits", "required_documents", "title", "ministry_or_org", "subsidy_percentage"]
     rows = _to_profiles(profiles.select("profile_id", "full_name", *SEGMENT), best, cols)
     reason = (explain or explanation)(
         c("full_name"), c("matching_factors"), c("title"), c("ministry_or_org"), c("subsidy_percentage"))

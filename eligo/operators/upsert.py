@@ -29,11 +29,13 @@ def plan(batch: DataFrame, catalog: DataFrame, incremental: bool = True) -> Data
 
     Both sides come down to one row per key, so the join has no hot key, and
     only key, id, hash and version of the catalog are read. A record is skipped
-    when its content hash is known and unchanged.
+    when its content hash is known and unchanged. A catalog's ``created_at`` comes
+    along as ``stored_created_at``, so that an update keeps it.
     """
+    created = [c("created_at").alias("stored_created_at")] if "created_at" in catalog.columns else []
     stored = best_per_key(keyed(catalog).select(
         "dedup_key", c("id").alias("_id"), c("content_hash").alias("_hash"),
-        (c("data_version") if "data_version" in catalog.columns else F.lit(1)).alias("_version"),
+        (c("data_version") if "data_version" in catalog.columns else F.lit(1)).alias("_version"), *created,
     ), ["dedup_key"], [c("_id").asc()])
     same = F.coalesce(c("content_hash") == c("_hash"), F.lit(False)) & F.lit(incremental)
     action = F.when(c("_id").isNull(), "insert").when(same, "skip").otherwise("update")
@@ -47,7 +49,7 @@ def plan(batch: DataFrame, catalog: DataFrame, incremental: bool = True) -> Data
 
 def merge(catalog: DataFrame, planned: DataFrame) -> DataFrame:
     """The catalog after the batch: untouched rows and the written ones."""
-    written = planned.where("action <> 'skip'").drop("action")
+    written = planned.where("action <> 'skip'").drop("action", "stored_created_at")
     untouched = keyed(catalog).join(written.select("dedup_key"), "dedup_key", "left_anti")
     return untouched.unionByName(written, allowMissingColumns=True)
 
@@ -104,7 +106,7 @@ def versions(planned: DataFrame, created_at: Column) -> DataFrame:
     first = c("data_version") == 1
     return written.select(
         c("id").alias("scheme_id"), c("data_version").alias("version_number"),
-        snapshot(written.drop("action", "id", "data_version")).alias("snapshot"),
+        snapshot(written.drop("action", "id", "data_version", "stored_created_at")).alias("snapshot"),
         F.when(first, "Initial import").otherwise("Content changed").alias("change_summary"),
         F.lit(MERGED_BY).alias("changed_by"), created_at.alias("created_at"),
     )

@@ -118,9 +118,10 @@ def error_messages(fetched: DataFrame) -> DataFrame:
 def output_tables(st: Stages, catalog: DataFrame, now, model=None, model_name: str = vectors.HASHED) -> dict[str, DataFrame]:
     """What the job writes: the next catalog and the rows added to each child table."""
     written = st.planned.where("action <> 'skip'")
+    created = F.coalesce("stored_created_at", now) if "stored_created_at" in st.planned.columns else now
+    stored = st.planned.withColumns({"updated_at": now, "created_at": created}).drop("stored_created_at", *IN_FLIGHT)
     return {
-        "schemes": upsert.merge(catalog, st.planned.withColumn("updated_at", now)
-                                .withColumn("created_at", now)),
+        "schemes": upsert.merge(catalog.drop(*IN_FLIGHT), stored),
         "scheme_eligibility_rules": upsert.rules(written),
         "scheme_benefits": upsert.benefits(written),
         "scheme_documents": upsert.documents(written),
@@ -131,12 +132,16 @@ def output_tables(st: Stages, catalog: DataFrame, now, model=None, model_name: s
     }
 
 
+IN_FLIGHT = ("errors", "warnings", "valid", "ingest_ord", "_source_id")  # columns of the job, not of the catalog
+
+
 class Store:
     """Catalog tables in a shared folder, one generation per run.
 
     A generation is a full set of tables and counts as present once its marker
     is written; a run that dies leaves the one before in force, and a run made
-    again under the same number replaces what it left.
+    again under the same number replaces what it left. The marker names the
+    writer, so that a stream knows its own batches from what others wrote.
     """
 
     MARK = "_complete"
@@ -164,10 +169,25 @@ class Store:
         path = f"{self.path}/gen={gens[-1]}/{table}"
         return self.spark.read.parquet(path) if self._fs.exists(self._path(path)) else None
 
-    def write(self, gen: int, tables: dict[str, DataFrame]) -> None:
+    def write(self, gen: int, tables: dict[str, DataFrame], writer: str = "") -> None:
+        """Takes the marker away, writes the tables, and marks the generation last."""
+        mark = self._path(f"{self.path}/gen={gen}/{self.MARK}")
+        self._fs.delete(mark, False)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/gen={gen}/{name}")
-        self._fs.create(self._path(f"{self.path}/gen={gen}/{self.MARK}"), True).close()
+        out = self._fs.create(mark, True)
+        out.write(bytearray(writer, "utf-8"))
+        out.close()
+
+    def writers(self) -> dict[int, str]:
+        """Who wrote each complete generation."""
+        found = {}
+        for gen in self.generations():
+            mark = self._path(f"{self.path}/gen={gen}/{self.MARK}")
+            stream = self._fs.open(mark)
+            found[gen] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+        return found
 
 
 CATALOG_COLUMNS = ("id string, dedup_key string, name string, scheme_code string, government_level string, "
@@ -179,11 +199,12 @@ ONE_PER_MODEL = "scheme_embeddings"
 def run(payloads: DataFrame, store: Store, gen: int | None = None, source_ids: list[str] | None = None,
         limit: int | None = None, dry_run: bool = False, incremental: bool = True,
         category: str | None = None, min_quality: int = K.MIN_QUALITY, parsers=None, model=None,
-        model_name: str = vectors.HASHED, restrict: bool = True) -> Result:
+        model_name: str = vectors.HASHED, restrict: bool = True, writer: str = "") -> Result:
     """Runs the job against a store and returns its counters.
 
     ``restrict`` keeps registered, enabled sources only (or those asked for).
-    A dry run stops after dedup and writes nothing to the store.
+    A dry run stops after dedup and writes nothing to the store. ``writer`` is
+    recorded with the generation written.
     """
     spark = payloads.sparkSession
     gens = store.generations()
@@ -210,8 +231,11 @@ def run(payloads: DataFrame, store: Store, gen: int | None = None, source_ids: l
         before = old.get(name)
         if name == "schemes" or before is None:
             continue
-        if name in REPLACED or name == ONE_PER_MODEL:
+        if name in REPLACED:
             before = before.join(touched, "scheme_id", "left_anti")
+        elif name == ONE_PER_MODEL:  # a vector goes only where the same model made a new one
+            df = cut_lineage(df, "embedded")
+            before = before.join(df.select("scheme_id", "embedding_model"), ["scheme_id", "embedding_model"], "left_anti")
         new[name] = before.unionByName(df, allowMissingColumns=True)
-    store.write(gen, new)
+    store.write(gen, new, writer)
     return Result(counted, {n: store.read(n) for n in new})

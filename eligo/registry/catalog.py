@@ -146,11 +146,23 @@ def register(r: Registry) -> None:
           "select id, 'default' as origin from f_schemes where udyam_required", "f_schemes")
     r.add("f12_fallback_not_needed", lambda t: fallback(t, "suspended"),
           "select id, 'catalog' as origin from f_schemes where status = 'suspended'", "f_schemes")
-    r.add("f13_response", lambda t: C.response(t.f_schemes).select(
+    def sourced(t):
+        """Schemes with the columns that only stored ones have."""
+        return t.f_schemes.withColumns({
+            "source_name": F.concat(F.lit("Source "), c("verification_status")), "source_url": c("application_url"),
+            "official_source_url": c("official_application_url"),
+            "verified_at": F.when(c("verification_status") == "VERIFIED_OFFICIAL", c("created_at")), "updated_at": c("created_at")})
+
+    r.add("f13_response", lambda t: C.response(sourced(t)).select(
+        "source_name", "source_url", "official_source_url",
+        *[F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("verified_at", "updated_at")],
         "id", "title", "ministry_or_org", "description", "application_url", "verification_status", "status",
         c("max_funding_amount").cast("double").alias("max_funding_amount"),
         joined(c("target_demographics")).alias("target_demographics")),
         f"""select id, name as title, coalesce(nullif(ministry,''), nullif(department,''), 'Government of India') ministry_or_org,
+        'Source ' || verification_status as source_name, application_url as source_url, official_application_url as official_source_url,
+        strftime(case when verification_status = 'VERIFIED_OFFICIAL' then created_at end, '%Y-%m-%d %H:%M:%S') as verified_at,
+        strftime(created_at, '%Y-%m-%d %H:%M:%S') as updated_at,
         coalesce(nullif(description,''), nullif(eligibility_text,''), '') description,
         coalesce(nullif(application_url,''), official_application_url) application_url,
         coalesce(verification_status, 'UNKNOWN') verification_status, status,

@@ -58,12 +58,12 @@ PROFILE = ("profile_id, full_name, gender, social_category, is_differently_abled
 LINKED = f"""with {FACTS}, pairs as (select {PROFILE}, d.*, d.id as scheme_id, 0 as position
  from f_links join f_profiles p using (profile_id) join d on d.id = f_links.scheme_id), {FLAGS} """
 CANDIDATES = f"""with {FACTS}, st as (select distinct state from f_profiles),
-cand as (select * from (select st.state as c_state, s.id as scheme_id, row_number() over (partition by st.state order by s.data_quality_score desc, s.id) as position
+cand as (select st.state as c_state, s.id as scheme_id, -s.data_quality_score as worse
  from st join f_schemes s on s.status = 'active' and (st.state is null or list_contains(s.states, st.state)
-  or coalesce(s.government_level = 'central', false) or len(s.states) = 0)) where position <= 50),
-pairs as (select {PROFILE}, d.*, cand.scheme_id, cand.position from f_profiles p join cand on p.state is not distinct from c_state
+  or coalesce(s.government_level = 'central', false) or len(s.states) = 0)),
+pairs as (select {PROFILE}, d.*, cand.scheme_id, cand.worse from f_profiles p join cand on p.state is not distinct from c_state
  join d on d.id = cand.scheme_id), {FLAGS} """
-RANKED = CANDIDATES + """, rk as (select *, row_number() over (partition by profile_id order by score desc, position) as match_rank from e where passed) """
+RANKED = CANDIDATES + """, rk as (select *, row_number() over (partition by profile_id order by score desc, worse, scheme_id) as match_rank from e where passed) """
 PERCENT = "cast(subsidy_percentage as varchar)"
 WHY = f"""case when len(factors) = 0 then 'You are eligible to apply for ' || name || ' under ' || org || '. This program provides structured financial or operational assistance for micro and small enterprises.'
  else 'Strong match for ' || full_name || ' based on verified criteria: ' || array_to_string(factors[1:3], '; ') || '. This scheme is actively supported by ' || org ||
@@ -207,18 +207,19 @@ def register(r: Registry) -> None:
     r.add("g13_match_factors", lambda t: M.evaluate(pairs(t)).select(
         "profile_id", "scheme_id", joined(c("matching_factors"), "; ").alias("factors")),
         LINKED + "select profile_id, scheme_id, case when passed then array_to_string(factors, '; ') else '' end factors from e", USES)
-    r.add("g14_recommend", lambda t: M.recommend(t.f_profiles, t.f_schemes).select(
+    r.add("g14_recommend", lambda t: M.recommend(t.f_profiles, t.f_schemes, k=50).select(
         "profile_id", big("match_rank").alias("match_rank"), "scheme_id", "match_score", "eligibility_status"),
-        RANKED + "select profile_id, match_rank, scheme_id, score match_score, bucket eligibility_status from rk",
+        RANKED + "select profile_id, match_rank, scheme_id, score match_score, bucket eligibility_status from rk where match_rank <= 50",
         "f_profiles f_schemes")
     r.add("g14_recommend_top10", lambda t: M.recommend(t.f_profiles, t.f_schemes, k=10).select(
         "profile_id", big("match_rank").alias("match_rank"), "scheme_id", "match_score",
         joined(c("matching_factors"), "; ").alias("factors")),
         RANKED + "select profile_id, match_rank, scheme_id, score match_score, array_to_string(factors, '; ') factors "
         "from rk where match_rank <= 10", "f_profiles f_schemes")
-    r.add("g15_ineligible", lambda t: M.ineligible(t.f_profiles, t.f_schemes).select(
+    r.add("g15_ineligible", lambda t: M.ineligible(t.f_profiles, t.f_schemes, k=20).select(
         "profile_id", "scheme_id", "eligibility_status", joined(c("missing_requirements"), "; ").alias("missing")),
-        CANDIDATES + "select profile_id, scheme_id, bucket eligibility_status, array_to_string(reasons, '; ') missing from e where not passed",
+        CANDIDATES + """, fl as (select *, row_number() over (partition by profile_id order by len(reasons), worse, scheme_id) as place from e where not passed)
+        select profile_id, scheme_id, bucket eligibility_status, array_to_string(reasons, '; ') missing from fl where place <= 20""",
         "f_profiles f_schemes")
     r.add("g16_key_benefits", lambda t: children(t).select("id", joined(M.key_benefits(
         c("benefits"), c("subsidy_percentage"), c("max_funding_amount"))).alias("key_benefits")),
@@ -245,11 +246,11 @@ def register(r: Registry) -> None:
     r.add("g19_short_reason", lambda t: told(t, M.short_reason),
           LINKED + "select profile_id, scheme_id, 'Matched for ' || full_name || ' based on ' || "
           "array_to_string(factors[1:2], ', ') reason from e where passed", USES)
-    r.add("g20_match_table", lambda t: M.match_table(t.f_profiles, t.f_schemes).select(
+    r.add("g20_match_table", lambda t: M.match_table(t.f_profiles, t.f_schemes, k=20).select(
         c("entrepreneur_id").alias("profile_id"), "scheme_id", big("match_rank").alias("match_rank"),
         c("match_score").cast("double").alias("match_score"), "eligibility_status", "ai_reasoning", "status",
         joined(c("key_benefits")).alias("key_benefits"), joined(c("required_documents")).alias("documents")),
-        RANKED + f""", lst as (select *, ['Aadhaar Card / Government Photo ID', 'Bank Account Details (Passbook / Cancelled Cheque)', 'Detailed Project Report / Business Proposal'] listed from rk)
+        RANKED + f""", lst as (select *, ['Aadhaar Card / Government Photo ID', 'Bank Account Details (Passbook / Cancelled Cheque)', 'Detailed Project Report / Business Proposal'] listed from rk where match_rank <= 20)
         select profile_id, scheme_id, match_rank, score match_score, bucket eligibility_status, {WHY} ai_reasoning, 'Recommended' status,
         array_to_string({KEY_BENEFITS_SQL.replace("cast(id as bigint) % 2 = 1", "false")}, '|') key_benefits,
         array_to_string({CHECKLIST_SQL}, '|') documents from lst""", "f_profiles f_schemes")

@@ -66,11 +66,6 @@ def classify(fetches: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return hashed.withColumn("outcome", out).drop("_known")
 
 
-def changed(fetches: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Payloads worth parsing: fetched well and new or changed."""
-    return classify(fetches, known).where("outcome = 'ok'").drop("outcome")
-
-
 def decoded(content: Column) -> Column:
     """UTF-8 text; bytes that are none become replacement characters."""
     return F.make_valid_utf8(content.cast("string"))

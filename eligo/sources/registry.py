@@ -18,10 +18,6 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*row, i) for i, row in enumerate(K.SOURCE_ROWS)], SOURCES)
 
 
-def entry_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.ENTRY_URLS.items()), "source_id string, urls array<string>")
-
-
 def enabled(dim: DataFrame, priority_max: int = 10) -> DataFrame:
     """Enabled sources up to a priority; order by (priority, ordinal)."""
     return dim.where(c("enabled") & (F.coalesce("priority", F.lit(99)) <= priority_max))

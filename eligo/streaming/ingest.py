@@ -25,15 +25,15 @@ def refresh(fetches: DataFrame, store: ingest.Store, checkpoint: str, **options)
     """Ingests what has landed since the last refresh, then stops.
 
     Run it on a timer for a periodic refresh, or at once for a triggered one.
-    Each micro-batch writes the generation of its own number: a batch that is
-    run again after a failure reads the generation before it and overwrites
-    its own, so the store ends up the same. A store that other runs have taken
-    further than the stream is refused rather than rolled back.
+    Each micro-batch adds a generation to whatever the store holds by then, its
+    own or others', marked with the stream's checkpoint and the batch's number.
+    A batch that comes again finds its mark and does nothing more; if it died
+    before the mark, what it left is not read and is written anew.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        if max(store.generations(), default=0) > batch_id + 1:
-            raise ValueError(f"{store.path} holds generations this stream did not write")
-        ingest.run(batch, store, gen=batch_id + 1, **options)
+        name = f"{checkpoint}#{batch_id}"
+        if name not in store.writers().values():
+            ingest.run(batch, store, writer=name, **options)
 
     return (
         fetches.writeStream.foreachBatch(one)

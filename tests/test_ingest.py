@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from eligo.plans import ingest
 from eligo.sources import fetches
@@ -107,11 +108,42 @@ def test_first_sightings(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("u", "a"), ("u", "b"), ("v", "a")]
 
 
-def test_a_stream_refuses_a_store_others_wrote(spark, store, tmp_path):
-    for _ in range(2):
-        store.write(len(store.generations()) + 1, {"schemes": spark.range(1)})
-    payloads(spark, A).write.parquet(str(tmp_path / "in"))
-    q = streaming.refresh(fetches.stream_fetches(spark, str(tmp_path / "in")), store, str(tmp_path / "ck"))
-    with pytest.raises(Exception, match="did not write"):
-        q.awaitTermination()
-    assert store.generations() == [1, 2]
+def refresh(spark, store, tmp_path, name="in", mark="ck"):
+    query = streaming.refresh(fetches.stream_fetches(spark, str(tmp_path / name)), store, str(tmp_path / mark))
+    query.awaitTermination()
+
+
+def test_a_stream_adds_to_what_others_wrote(spark, store, tmp_path):
+    """One foreign generation before the stream begins, one between two refreshes: nothing is lost."""
+    ingest.run(payloads(spark, A), store)
+    payloads(spark, B).write.parquet(str(tmp_path / "in"))
+    refresh(spark, store, tmp_path)
+    assert store.read("schemes").count() == 3
+    ingest.run(payloads(spark, ("https://a.example.org/4", 200, [record(4)])), store)
+    payloads(spark, ("https://a.example.org/5", 200, [record(5)])).write.mode("append").parquet(str(tmp_path / "in"))
+    refresh(spark, store, tmp_path)
+    assert sorted(r.scheme_code for r in store.read("schemes").collect()) == ["P1", "P2", "P3", "P4", "P5"]
+    assert store.generations() == [1, 2, 3, 4]
+    assert [w.rpartition("/")[2] for w in store.writers().values()] == ["", "ck#0", "", "ck#1"]
+
+
+def test_a_rewrite_that_dies_does_not_count(spark, store):
+    ingest.run(payloads(spark, A), store)
+    with pytest.raises(Exception):
+        store.write(1, {"schemes": spark.range(1), "scheme_versions": spark.range(1).selectExpr("raise_error('died') as x")})
+    assert store.generations() == []
+
+
+def test_updates_keep_dates_and_other_models_vectors(spark, store):
+    first = ingest.run(payloads(spark, B), store)
+    before = first.tables["schemes"].first()
+    assert not set(ingest.IN_FLIGHT) & set(first.tables["schemes"].columns)
+    vectors = store.read("scheme_embeddings")
+    other = vectors.withColumn("embedding_model", F.lit("other"))
+    store.write(2, {n: store.read(n) for n in first.tables if n != "scheme_embeddings"} | {"scheme_embeddings": vectors.unionByName(other)})
+    changed = ("https://a.example.org/2", 200, [record(3, benefits="more money")])
+    third = ingest.run(payloads(spark, changed), store)
+    after = third.tables["schemes"].first()
+    assert third.stats["updated"] == 1 and after.created_at == before.created_at and after.updated_at > before.updated_at
+    assert sorted(r.embedding_model for r in third.tables["scheme_embeddings"].collect()) == sorted(
+        ["other", vectors.first().embedding_model])

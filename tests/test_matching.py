@@ -97,7 +97,7 @@ def test_candidates_match_brute_force(spark):
 def test_ranks_are_dense_and_scores_in_range(spark):
     schemes = _catalog(spark)
     p = frame(spark, PROFILE, *[{**DEMO, "profile_id": i, "state": f"S{i % 5}", "gender": [None, "Female"][i % 2]} for i in range(30)])
-    out = matching.recommend(p, schemes).toPandas()
+    out = matching.recommend(p, schemes, k=60).toPandas()
     assert out.match_score.between(15, 99).all()
     for _, g in out.groupby("profile_id"):
         assert sorted(g.match_rank) == list(range(1, len(g) + 1))
@@ -130,3 +130,20 @@ def test_pages_partition_the_listing(spark):
     assert len(seen) == len(set(seen)) == 90
     with pytest.raises(ValueError):
         catalog.page_of(schemes, 1, 101)
+
+
+def test_a_fit_beyond_the_listing_limit_is_found(spark):
+    """Fifty better schemes of the state, none of which fits, do not hide the one that does."""
+    row = {"status": "active", "government_level": "state", "states": ["S1"], "social_categories": [], "beneficiary_types": [],
+           "business_types": [], "disability_eligibility": False, "udyam_required": False}
+    all_ = [{**row, "id": f"{i:03}", "name": f"n{i}", "gender_eligibility": ["Male"], "data_quality_score": 90} for i in range(60)]
+    all_.append({**row, "id": "fit", "name": "fit", "gender_eligibility": ["Female"], "data_quality_score": 10})
+    full = _catalog(spark)
+    schemes = spark.createDataFrame([{f.name: r.get(f.name) for f in full.schema} for r in all_], full.schema)
+    p = frame(spark, PROFILE, *[{**DEMO, "profile_id": i, "state": x, "gender": "Female"} for i, x in enumerate(("s1", "S2", None))])
+    got = {r.profile_id: r.scheme_id for r in matching.recommend(p, schemes, k=5).collect()}
+    assert got == {0: "fit", 2: "fit"}
+    assert matching.ineligible(p, schemes, k=7).groupBy("profile_id").count().collect() != []
+    assert {r["count"] for r in matching.ineligible(p, schemes, k=7).groupBy("profile_id").count().collect()} == {7}
+    with pytest.raises(ValueError):
+        matching.recommend(p, schemes, k=5000)
