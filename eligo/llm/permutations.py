@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a permutation index, nearness being the inner product.
 
 A bounded sample of the vectors serves as pivots. Every vector is represented by its ORDERED nearest pivots in order; it is
-posted in the inverted files of its first POSTED pivots. A query visits the files of its first VISITED pivots, ranks a
-file's entries by the footrule distance of the two orders, and takes the exact inner product of the first of them, the
+posted in the inverted files of its first POSTED pivots. A query visits the files of its nearest pivots, of which
+``visited`` says how many: more with more pivots, so that true neighbours stay within reach as tables grow. It ranks a file's entries by the footrule distance of the two orders, and takes the exact inner product of the first of them, the
 share RERANKED (no fewer than LEAST). The best of all files are the answer.
 
 Equal vectors are one entry, with their smallest ids, so a very common vector neither fills a file nor crowds out others.
@@ -34,7 +34,8 @@ c = F.col
 K = 20
 ORDERED = 32
 POSTED = 8
-VISITED = 24
+VISITED = 24  # at least
+VISITED_ROOT = 1.6  # times the root of the number of pivots, above 225 pivots
 RERANKED = 0.5
 LEAST = 200
 MAX_PIVOTS = 16_384
@@ -73,18 +74,23 @@ def footrule(query: np.ndarray, entries: np.ndarray, n_pivots: int) -> np.ndarra
     return (np.abs(at - np.arange(m, dtype=np.int32)) - (m - at)).sum(axis=1)
 
 
+def visited(n_pivots: int) -> int:
+    """Files that a query visits. A fixed number would reach a share of the table that shrinks as pivots grow."""
+    return min(n_pivots, max(VISITED, math.ceil(VISITED_ROOT * math.sqrt(n_pivots))))
+
+
 def _represent(pivots: np.ndarray, m: int, files: int):
-    """A row per file that a vector goes to: the file's pivot, the order and the rest."""
+    """A row per file that a vector goes to: the file's pivot, the order's first m and the rest."""
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             vectors = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            order = orders(vectors, pivots, m)
-            n = min(files, m)
+            n = min(files, len(pivots))
+            order = orders(vectors, pivots, max(m, n))
             rows = pa.array(np.repeat(np.arange(b.num_rows), n))
             taken = b.take(rows)
-            packed = pa.array([o.tobytes() for o in order.astype(np.int16)], pa.binary()).take(rows)
+            packed = pa.array([o.tobytes() for o in order[:, :m].astype(np.int16)], pa.binary()).take(rows)
             yield pa.RecordBatch.from_arrays([pa.array(order[:, :n].ravel(), pa.int32()), packed, *taken.columns],
                                              names=["pivot", "ranks", *taken.schema.names])
     return represent
@@ -122,7 +128,7 @@ def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
     kind = "pivot int, ranks binary, embedding array<float>"
     entries = classes.mapInArrow(_represent(pivots, m, POSTED), f"{kind}, members array<long>")
     asked = vectors.filter(c("vec_id") % every == 0).select("embedding", c("vec_id").alias("query_id")).distinct()
-    queries = asked.mapInArrow(_represent(pivots, m, VISITED), f"{kind}, query_id long")
+    queries = asked.mapInArrow(_represent(pivots, m, visited(len(pivots))), f"{kind}, query_id long")
     entries, queries = cut_lineage(entries, "ann-entries"), cut_lineage(queries, "ann-queries")
 
     # as many blocks of a file as its counts ask for
