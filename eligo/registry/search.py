@@ -78,8 +78,9 @@ def register(r: Registry) -> None:
           f"with {EXACT} select query_id, rank, scheme_id, similarity from rk where rank <= {K}", "f_schemes")
 
     def approximate(t):
-        corpus = VX.index(VX.active_vectors(vectors(t), t.f_schemes), DIM)
-        return VX.approximate_top_k(asked(t), corpus, DIM, K)
+        corpus = VX.active_vectors(vectors(t), t.f_schemes)
+        bits = VX.bits_for(corpus.count())
+        return VX.approximate_top_k(asked(t), VX.index(corpus, DIM, bits), DIM, K, bits)
 
     r.add("e08_approximate_top_k", lambda t: approximate(t).select("query_id", big("rank").alias("rank"), "scheme_id", "similarity"))
     r.add("e08_recall", lambda t: VX.recall(approximate(t), exact(t)))

@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from eligo.llm import permutations
+from eligo.registry import REGISTRY
+from eligo.registry.common import Tables
 
 
 def recall(spark, path, n, every, k=20):
@@ -26,3 +28,8 @@ def recall(spark, path, n, every, k=20):
 @pytest.mark.parametrize("n", [20_000, 100_000, 600_000])
 def test_recall_holds_as_vectors_grow(spark, tmp_path, n):
     assert recall(spark, tmp_path, n, n // 40) >= 0.9
+
+
+def test_approximate_search_finds_nine_in_ten(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        assert REGISTRY.queries["e08_recall"](Tables(spark, f"/root/testdata/{sf}")).first().recall >= 0.9
