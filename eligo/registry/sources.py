@@ -192,6 +192,11 @@ def register(r: Registry) -> None:
         F.regexp_extract("html", 'href="([^"]*)"', 1), c("url")).alias("link")),
         """select page_id, case when starts_with(regexp_extract(html, 'href="([^"]*)"', 1), '/') then regexp_extract(url, '^[a-z]+://[^/?#]*') else '' end
         || regexp_extract(html, 'href="([^"]*)"', 1) as link from pages""")
+    r.add("a21_absolute_urls", lambda t: t.pages.select("page_id", "url", F.posexplode(
+        F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("position", "href")).select(
+        "page_id", big("position").alias("position"), X.absolute_url(c("href"), c("url")).alias("link")),
+        """select page_id, cast(i as bigint) as position, case when starts_with(h[i + 1], '/') then regexp_extract(url, '^[a-z]+://[^/?#]*') else '' end || h[i + 1] as link
+        from (select page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) as h from pages), unnest(range(len(h))) as u(i)""")
     r.add("a22_api_level", lambda t: t.f_raw.select(c("ingest_ord").alias("n"), X.api_level(c("government_level")).alias("level")),
           f"select ingest_ord n, {contained('lower(government_level)', K.API_LEVELS, chr(39) + 'central' + chr(39))} as level from f_raw", "f_raw")
     r.add("a23_api_status", lambda t: t.f_raw.select(c("ingest_ord").alias("n"), X.api_status(c("status")).alias("status")),

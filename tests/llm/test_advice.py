@@ -4,11 +4,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from eligo.llm import permutations
 from eligo.registry import REGISTRY
 from eligo.registry.common import Tables
 
+c = F.col
+
 
 def recall(spark, path, n, every, k=20):
     """Of the neighbour search on n unit vectors without any structure, against brute force."""
@@ -33,3 +36,12 @@ def test_recall_holds_as_vectors_grow(spark, tmp_path, n):
 def test_approximate_search_finds_nine_in_ten(spark):
     for sf in ("sf0.01", "sf0.1"):
         assert REGISTRY.queries["e08_recall"](Tables(spark, f"/root/testdata/{sf}")).first().recall >= 0.9
+
+
+def test_every_link_of_a_page_is_resolved(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = REGISTRY.queries["a21_absolute_urls"](t)
+    links = t.pages.select(F.size(F.split("html", 'href="[^"]*"')).alias("n")).agg(F.sum(c("n") - 1)).first()[0]
+    assert got.count() == links > t.pages.count() and got.filter("link like '/%'").count() == 0
+    first = got.filter("position = 0").select("page_id", "link")
+    assert first.exceptAll(REGISTRY.queries["a21_absolute_url"](t)).count() == 0
