@@ -26,12 +26,13 @@ def binary(df):
     return df.withColumns({"content": F.encode(c("content"), "UTF-8"), "content_type": F.lit(None).cast("string")})
 
 
-def all_payloads(t):
-    """API, card, link and page payloads together, one row per fetch."""
+def all_payloads(t, unread=False):
+    """API, card, link and page payloads together, one row per fetch; with ``unread`` also the pages of the two
+    sources that have cards and links of their own."""
     cols = ["url", "source_id", "status", "content", "content_type", "error"]
     parts = [binary(x).select(*cols) for x in (
         t.f_json, t.f_cards, t.f_lists,
-        t.f_fetches.where(~c("source_id").isin("myscheme_web", "india_gov_schemes")))]
+        t.f_fetches if unread else t.f_fetches.where(~c("source_id").isin("myscheme_web", "india_gov_schemes")))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -148,7 +149,8 @@ def register(r: Registry) -> None:
         select source_id, cast(priority as bigint) priority, cast(i as bigint) url_index, urls[i + 1] as url from e, unnest(range(len(urls))) as u(i)""", "f_entries")
     r.add("a12_sources_without_urls", lambda t: registry.without_urls(registry.sources(t.spark), t.f_entries).select("source_id", "name"),
           f"with {SOURCES_SQL} select source_id, name from src where source_id not in (select source_id from f_entries where len(urls) > 0)", "f_entries")
-    r.add("a13_dispatch", lambda t: dispatch.parse(all_payloads(t).where("status = 200")).groupBy(
+    r.add("a13_dispatch", lambda t: dispatch.parse(
+        fetches.classify(all_payloads(t, unread=True)).where("outcome = 'ok'").drop("content_hash", "outcome")).groupBy(
         F.coalesce("_source_id", F.lit("none")).alias("tag")).agg(
         F.count("*").alias("records"), F.count_if(X.filled(c("name"))).alias("named")))
     r.add("a13_unreadable", lambda t: dispatch.unreadable(binary(t.f_json)).select("url", "source_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eligo.llm import permutations
 from eligo.registry import REGISTRY
 from eligo.registry.common import Tables
+from eligo.registry.sources import all_payloads
 
 c = F.col
 
@@ -45,3 +46,12 @@ def test_every_link_of_a_page_is_resolved(spark):
     assert got.count() == links > t.pages.count() and got.filter("link like '/%'").count() == 0
     first = got.filter("position = 0").select("page_id", "link")
     assert first.exceptAll(REGISTRY.queries["a21_absolute_url"](t)).count() == 0
+
+
+def test_dispatch_takes_payloads_by_outcome(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    got = {r.tag: r.records for r in REGISTRY.queries["a13_dispatch"](t).collect()}
+    pages = t.f_fetches.filter("source_id in ('msme_ministry', 'mudra_portal', 'standupmitra', 'kvic')")
+    assert got["ministry"] == pages.filter("status between 200 and 299 and error is null").count() < pages.filter("status = 200").count()
+    assert all_payloads(t, unread=True).count() - all_payloads(t).count() == t.f_fetches.filter(
+        "source_id in ('myscheme_web', 'india_gov_schemes')").count()
