@@ -3,8 +3,8 @@
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased; keys shorter than MIN_CHARS code points
 are never dropped. The store holds, per batch, how many documents each key gained or lost (a table that is only
 appended to, filed by shard), and per shard a cuckoo filter of the keys that MIN_DOCS documents or more hold. Inserting
-documents adds keys to the filters when their count reaches the threshold, deleting documents takes them out again, which
-a cuckoo filter can do. Cleaning asks the filters first, so that of all lines only those that may be frequent reach the
+documents adds keys to the filters when their count reaches the threshold; deleting documents builds the filters of shards
+that lose keys anew from the counts, since a print taken out may stand for another key as well. Cleaning asks the filters first, so that of all lines only those that may be frequent reach the
 exact counts; a filter's false positives end there.
 
 Keys are two 64-bit hashes. Shards hold a bounded number of keys, and a key that very many documents hold is split over
@@ -144,9 +144,7 @@ def _ask(key, pairs: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 def _change(key, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     tables = _tables(filters["tables"].iloc[0]) if len(filters) else []
-    come, go = (keys[keys["came"] == x] for x in (True, False))
-    tables = cuckoo_delete(tables, go["k1"].to_numpy(), go["k2"].to_numpy())
-    tables = cuckoo_insert(tables, come["k1"].to_numpy(), come["k2"].to_numpy())
+    tables = cuckoo_insert(tables, keys["k1"].to_numpy(), keys["k2"].to_numpy())
     return pd.DataFrame({"shard": pd.Series([key[0]], dtype="int32"), "tables": [[t.tobytes() for t in tables]]})
 
 
@@ -192,8 +190,13 @@ class LineStore:
         changed = self.spark.read.schema(joined.schema).parquet(path)
         changed.select("shard", "k1", "k2", "n").filter("n != 0").write.mode("overwrite").parquet(f"{self.path}/counts-{self.batches}")
         before, after = c("held") >= MIN_DOCS, c("held") + c("n") >= MIN_DOCS
-        crossed = changed.filter(before != after).select("shard", "k1", "k2", after.alias("came"))
-        filters = crossed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_change, FILTERS)
+        crossed, old = changed.filter(before != after).select("shard", "k1", "k2"), self.filters
+        if sign < 0:
+            # a print taken out may be another key's in an earlier table: shards that lose keys are built anew from the counts
+            touched = crossed.select("shard").distinct()
+            rest = held.select("shard", "k1", "k2", "held").join(touched, "shard", "left_semi").filter(c("held") >= MIN_DOCS)
+            crossed, old = rest.join(crossed, ["shard", "k1", "k2"], "left_anti"), old.join(touched, "shard", "left_anti")
+        filters = crossed.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_change, FILTERS)
         filters.write.mode("overwrite").parquet(f"{self.path}/filters-{self.batches}")
         self.filters = self.spark.read.schema(FILTERS).parquet(f"{self.path}/filters-{self.batches}")
         self.batches += 1

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from eligo.llm import permutations
+from eligo.llm import lines, permutations
 from eligo.registry import REGISTRY
 from eligo.registry.common import Tables
 from eligo.registry.sources import all_payloads
@@ -55,3 +55,27 @@ def test_dispatch_takes_payloads_by_outcome(spark):
     assert got["ministry"] == pages.filter("status between 200 and 299 and error is null").count() < pages.filter("status = 200").count()
     assert all_payloads(t, unread=True).count() - all_payloads(t).count() == t.f_fetches.filter(
         "source_id in ('myscheme_web', 'india_gov_schemes')").count()
+
+
+def test_deletion_leaves_other_keys_findable(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    first = rng.integers(-2 ** 63, 2 ** 63 - 1, (2, 200))
+    size = len(lines.cuckoo_insert([], *first)[0])
+    # later keys with the prints and the buckets of the first ones, which land in a second table
+    k1 = rng.integers(-2 ** 63, 2 ** 63 - 1, 400_000)
+    at, picked = lines._first_bucket(k1, size), []
+    for i in range(200):
+        same = np.flatnonzero(at == lines._first_bucket(first[0][i:i + 1], size)[0])[:4]
+        picked += [(k, first[1][i]) for k in k1[same]]
+    later = np.array(picked).T
+
+    def pairs(keys):
+        return spark.createDataFrame([(int(a), int(b), d) for a, b in keys.T for d in range(lines.MIN_DOCS)], "k1 long, k2 long, doc_id long")
+
+    store = lines.LineStore(spark, str(tmp_path / "store"), shards=1)
+    store.insert_pairs(pairs(first))
+    store.insert_pairs(pairs(later))
+    assert store.filters.first().tables.__len__() > 1
+    store._update(pairs(later), -1)
+    tables = lines._tables(store.filters.first().tables)
+    assert lines.cuckoo_contains(tables, *first).all() and sum(int((t != 0).sum()) for t in tables) == 200
