@@ -326,7 +326,13 @@ def _cell(rows: pa.Table) -> pa.Table:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group with its columns: the one with the smallest doc_id (all rows that share that id)."""
-    gone, = free_names(docs, "_gone")
-    ids = components(docs).filter(c("doc_id") != c("component_id")).select(c("doc_id").alias(gone)).distinct()
-    return docs.join(ids.hint("shuffle_hash"), c("doc_id") == c(gone), "left_anti")
+    """One row of each group with its columns: the one with the smallest doc_id, a null one coming last.
+
+    Rows are numbered in a written table first, so that rows that share their doc_id, or have none, stay apart.
+    """
+    row, stays = free_names(docs, "_row", "_stays")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    groups = components(rows.select(c(row).alias("doc_id"), "text")).select(c("doc_id").alias(row), "component_id")
+    met = groups.join(rows.select(row, c("doc_id").alias("id")), row)
+    kept = met.groupBy("component_id").agg(F.min(F.struct(c("id").isNull(), "id", row))[row].alias(stays)).select(stays)
+    return rows.join(kept.hint("shuffle_hash"), c(row) == c(stays), "left_semi").select(*(c(f"`{x}`") for x in docs.columns))

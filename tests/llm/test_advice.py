@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from eligo.llm import lines, permutations
+from eligo.llm import jaccard, lines, permutations
 from eligo.registry import REGISTRY
 from eligo.registry.common import Tables
 from eligo.registry.sources import all_payloads
@@ -57,6 +57,13 @@ def test_dispatch_takes_payloads_by_outcome(spark):
         "source_id in ('myscheme_web', 'india_gov_schemes')").count()
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abd")
+    rows = [(1, a), (2, a), (2, b), (3, d), (3, d), (None, " ".join(f"n{i}" for i in range(60))), (None, " ".join(f"n{i}" for i in range(60))), (None, d)]
+    got = jaccard.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("1", "a"), ("2", "b"), ("3", "d"), ("None", "n")]
+
+
 def test_deletion_leaves_other_keys_findable(spark, tmp_path):
     rng = np.random.default_rng(5)
     first = rng.integers(-2 ** 63, 2 ** 63 - 1, (2, 200))
