@@ -12,8 +12,8 @@ the order of the root of the number of vectors, so that files stay short) go alo
 pivot, hence one file, and are searched whole.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of different lengths never
-meet. Repeated rows are candidates of their own; a query is not its own candidate, and other rows with its id are none
-either. Ties go to the smaller vec_id. An empty table gives an empty table. Only vec_id and embedding are read.
+meet. Repeated rows (the same vec_id and embedding) are one candidate; rows that share only the one or the other are candidates
+of their own. A query is not its own candidate, and other rows with its id are none either. Ties go to the smaller vec_id. An empty table gives an empty table. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def _search(k: int, n_pivots: int, m: int):
         out = []
         if len(queries) and len(entries):
             found = np.frombuffer(b"".join(entries["ranks"]), np.int16).reshape(-1, m)
-            vectors, members = np.stack(entries["embedding"].to_numpy()), entries["members"].to_numpy()
+            vectors, members, cls = np.stack(entries["embedding"].to_numpy()), entries["members"].to_numpy(), entries["cls"].to_numpy()
             for q, vector, ranks in zip(queries["query_id"], queries["embedding"], queries["ranks"]):
                 far = footrule(np.frombuffer(ranks, np.int16), found, n_pivots)
                 first = max(LEAST, math.ceil(RERANKED * len(far)))
@@ -109,16 +109,17 @@ def _search(k: int, n_pivots: int, m: int):
                 score = inner(vectors[some], vector[None, :])
                 # one more than k vectors: one may stand for the query alone
                 best = np.lexsort(([members[i][0] for i in some], -score))[:k + 1]
-                out += [(q, score[i], members[some[i]]) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "score", "members"])
+                out += [(q, score[i], members[some[i]], cls[some[i]]) for i in best]
+        return pd.DataFrame(out, columns=["query_id", "score", "members", "cls"])
     return search
 
 
 def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
     spark = vectors.sparkSession
     ranked = Window.partitionBy("embedding").orderBy("vec_id")
-    few = vectors.withColumn("_n", F.row_number().over(ranked)).filter(c("_n") <= k + 1)  # one of them may be the query
-    classes = cut_lineage(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "ann-vectors")
+    few = vectors.distinct().withColumn("_n", F.row_number().over(ranked)).filter(c("_n") <= k + 1)  # one of them may be the query
+    classes = cut_lineage(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn(
+        "cls", F.xxhash64("embedding")), "ann-vectors")
     n = classes.count()
     n_pivots = 1 if n <= 256 else min(MAX_PIVOTS, math.ceil(math.sqrt(n)))
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(n_pivots).collect()
@@ -126,7 +127,7 @@ def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
     m = min(ORDERED, len(pivots))
 
     kind = "pivot int, ranks binary, embedding array<float>"
-    entries = classes.mapInArrow(_represent(pivots, m, POSTED), f"{kind}, members array<long>")
+    entries = classes.mapInArrow(_represent(pivots, m, POSTED), f"{kind}, members array<long>, cls long")
     asked = vectors.filter(c("vec_id") % every == 0).select("embedding", c("vec_id").alias("query_id")).distinct()
     queries = asked.mapInArrow(_represent(pivots, m, visited(len(pivots))), f"{kind}, query_id long")
     entries, queries = cut_lineage(entries, "ann-entries"), cut_lineage(queries, "ann-queries")
@@ -142,9 +143,9 @@ def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
 
     entries, queries = cut(entries, "n_e", "n_q", "e", "q", "embedding"), cut(queries, "n_q", "n_e", "q", "e", "query_id")
     found = queries.groupBy("pivot", "e", "q").cogroup(entries.groupBy("pivot", "e", "q")).applyInPandas(
-        _search(k, n_pivots, m), "query_id long, score double, members array<long>")
+        _search(k, n_pivots, m), "query_id long, score double, members array<long>, cls long")
     best = Window.partitionBy("query_id").orderBy(c("score").desc(), "vec_id")
-    pairs = found.select("query_id", "score", F.explode("members").alias("vec_id")).filter("query_id != vec_id").distinct()
+    pairs = found.select("query_id", "score", "cls", F.explode("members").alias("vec_id")).filter("query_id != vec_id").distinct()
     return pairs.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

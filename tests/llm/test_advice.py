@@ -57,6 +57,14 @@ def test_dispatch_takes_payloads_by_outcome(spark):
         "source_id in ('myscheme_web', 'india_gov_schemes')").count()
 
 
+def test_repeated_rows_lose_no_neighbour(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [2.0, 0.0]) for i in range(1, 11) for _ in range(3)] + [(i, [0.5, 0.5]) for i in range(11, 31)]
+    rows += [(40, [1.0, 1.0]), (40, [1.0, -1.0])]  # two rows with one id and, for the query, one score
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = permutations.nearest(df, 1000, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [*range(1, 11), 40, 40, *range(11, 19)]
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abd")
     rows = [(1, a), (2, a), (2, b), (3, d), (3, d), (None, " ".join(f"n{i}" for i in range(60))), (None, " ".join(f"n{i}" for i in range(60))), (None, d)]
