@@ -1,13 +1,13 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by a fingerprint join over sparse suffixes.
 
 A passage is repeated if all its words lie in stretches of MIN_WORDS words that another document holds too. Of a text's
 suffixes only those at minimisers are kept: in every stretch the place, among its first PLACES, whose few words hash
 least, the first of equals. The choice depends on the words alone, so both occurrences of a stretch keep the same place,
 and their suffixes there agree for at least MIN_WORDS - PLACES + 1 words.
 
-1. Kept suffixes, by a hash of these words, are sorted in fragments of the order; equal neighbours from different
-   documents are candidates. A fragment gets each suffix once per block, whatever number of documents holds it.
-2. Each candidate is extended left and right to every whole stretch that chose it, and the stretches are compared the same
+1. Kept suffixes meet in fragments by a hash of these words, which stands for their order, since only equal words
+   matter and hashes are less to move; equal hashes from different documents are candidates. A fragment gets each suffix once per block, whatever number of documents holds it.
+2. Each candidate stands for every whole stretch that chose it, and the stretches are compared by their hashes the same
    way. Overlapping and touching stretches make one passage.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and shorter texts hold no passage. A
