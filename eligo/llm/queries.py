@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eligo.llm import chat, jaccard, langid, lines, mixing, permutations, pieces, quality, suffixes, warc
+from eligo.llm import bitplanes, chat, jaccard, langid, lines, mixing, permutations, pieces, quality, suffixes, suffixtree, warc
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,50 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.with_inertia(*bitplanes.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op11_sql() -> str:
+    """The seeds, the rounds one after the other, and the sums."""
+    def assigned(i: int) -> str:
+        """Distance and number in one integer, so that the least is the nearest and the first of equals."""
+        return f"""
+a{i} as materialized (
+  select r, any_value(kept.v) as v, min(1000::hugeint * list_sum(list_transform(range(1, 65),
+           lambda j: (kept.v[j] - c{i}.v[j]) * (kept.v[j] - c{i}.v[j]))) + k) as best
+  from kept, c{i} group by r),"""
+
+    def moved(i: int) -> str:
+        return f"""
+m{i} as (
+  select k, list(f order by j) as v from (
+    select k, j, cast((s - ((s % n) + n) % n) // n as bigint) as f
+    from (select best % 1000 as k, j, sum(v[j]) as s, count(*) as n from a{i}, range(1, 65) t(j) group by 1, 2)) group by k),
+c{i + 1} as materialized (select c{i}.k, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (k)),"""
+
+    return """
+with kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ranked as (select v, row_number() over (order by sha256('1:' || vec_id) nulls last) - 1 as k from kept),
+c0 as materialized (select k, v from ranked where k < 16),""" + "".join(
+        assigned(i) + moved(i) for i in range(bitplanes.ROUNDS)) + assigned(bitplanes.ROUNDS) + f"""
+found as (select vec_id, best % 1000 as k, cast(best // 1000 as bigint) as d from a{bitplanes.ROUNDS} join kept using (r))
+select vec_id, cast(k as integer) as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) as cluster_inertia,
+       cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c{bitplanes.ROUNDS}.v, ',')) as centroid_sha256
+from found join c{bitplanes.ROUNDS} using (k)
+"""
+
+
+def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, rare = suffixtree.learn(docs.filter(~suffixtree.held_out()))
+    return suffixtree.score(docs, model, rare).select(
+        "doc_id", suffixtree.held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -155,6 +199,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc_packages": op8_warc_packages,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_suffix_tree_scores": op12_suffix_tree_scores,
     "pipeline": pipeline,
 }
 
@@ -163,4 +209,5 @@ SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_repeated_passages": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
+    "op11_centroid_clusters": _op11_sql(),
 }
