@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eligo.llm import bitplanes, chat, jaccard, langid, lines, mixing, permutations, pieces, quality, suffixes, suffixtree, warc
+from eligo.llm import bitplanes, chat, jaccard, langid, lines, mixing, permutations, pieces, quality, repair, suffixes, suffixtree, warc
 from eligo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,82 @@ def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.audits(repair.damage(turns), turns)
+
+
+def _op13_sql() -> str:
+    """Cheapest edits row by row: each state's best so far is one string, ten digits of cost and the edits' letters, so
+    that the least string is the cheapest and the first of equals. Null stands for none."""
+    def step(best: str, cost: str, letter: str) -> str:
+        return f"lpad(cast(cast({best}[:10] as bigint) + {cost} as varchar), 10, '0') || {best}[11:] || '{letter}'"
+
+    inserted = f"""select conv_id, i, s0, s1, least(s2, {step('s0', '2', 'I')}, {step('s1', '2', 'I')}, {step('s3', '2', 'I')}) as s2, s3 from best"""
+    both = f"select conv_id, i, s0, s1, s2, least(s3, {step('s2', '2', 'I')}) as s3 from ({inserted})"
+    free = "case when fault not in (1, 2) then {} end".format
+    kept, given = (lambda s: step(s, "late", "K")), (lambda s: step(s, "2 + late", "R"))
+    to_user = ", ".join(f"case when x = 'u' then {kept(s)} end, {given(s)}" for s in ("s0", "s1", "s3"))
+    return rf"""
+with recursive crc as (
+  select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+           lambda a, _: xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end))) as t),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+hits as (
+  select keyed.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda x: cast(ascii(x) as bigint))),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 as h from keyed, crc),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+         case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from hits where h <> 0
+  union all select conv_id, turn, role, text from hits where h = 3),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, role[:1] as x from damaged),
+rows as materialized (
+  select *, case when not regexp_matches(text, '[^ 	-
+]') then 1
+                 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+                 when not regexp_matches(text, '[.!?][ 	-
+]*$') then 3 else 0 end as fault,
+         coalesce(lag(x) over (partition by conv_id order by i) || x not in ('su', 'ua', 'au'), false) as wrong from placed),
+best as (
+  select distinct conv_id, 0::bigint as i, '0000000000' as s0, null::varchar as s1, null::varchar as s2, null::varchar as s3 from rows
+  union all
+  select b.conv_id, r.i, {step('s0', '3', 'D')},
+         least({step('s1', '3', 'D')}, {free(f"case when x = 's' then {kept('s0')} end")}),
+         least({step('s2', '3', 'D')}, {free(f"least({to_user})")}),
+         least({step('s3', '3', 'D')}, {free(f"least(case when x = 'a' then {kept('s2')} end, {given('s2')})")})
+  from ({both}) b join (select *, case when fault = 3 then 1 else 0 end as late from rows) r
+    on r.conv_id is not distinct from b.conv_id and r.i = b.i + 1),
+ends as (
+  select conv_id, least(s0, s3, {step('s2', '2', 'I')}, {step('(' + step('s1', '2', 'I') + ')', '2', 'I')}) as e from best
+  qualify i = max(i) over (partition by conv_id)),
+letters as (
+  select conv_id, unnest(string_split(e[11:], '')) as edit, generate_subscripts(string_split(e[11:], ''), 1) as pos from ends where e[11:] <> ''),
+counted as (
+  select *, count(*) filter (where edit <> 'I') over w as i, count(*) filter (where edit <> 'D') over w as n
+  from letters window w as (partition by conv_id order by pos)),
+joined as (
+  select l.conv_id, l.pos, l.edit, l.n, r.role, r.text, r.x,
+         max(case when l.edit = 'K' and l.n = 1 and r.x = 's' then 1 else 0 end) over (partition by l.conv_id) as system
+  from counted l left join rows r on r.conv_id is not distinct from l.conv_id and r.i = l.i and l.edit <> 'I'),
+texts as (
+  select conv_id, string_agg(case when edit = 'K' then role when (n - system) % 2 = 1 then 'user' else 'assistant' end
+                             || ':' || coalesce(text, ''), chr(10) order by pos) filter (where edit <> 'D') as t from joined group by conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 1) as blank,
+         count(*) filter (where fault = 2) as duplicate, count(*) filter (where fault = 3) as truncated,
+         count(*) filter (where wrong) as illegal from rows group by conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(e[:10] as bigint), 0) as cost,
+       coalesce(e[11:], '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts k on k.conv_id is not distinct from c.conv_id
+left join ends on ends.conv_id is not distinct from c.conv_id
+left join texts on texts.conv_id is not distinct from c.conv_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -201,6 +277,7 @@ QUERIES: dict[str, Query] = {
     "op10_source_mixing": op10_source_mixing,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_suffix_tree_scores": op12_suffix_tree_scores,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -210,4 +287,5 @@ SQL: dict[str, str] = {
     "op6_repeated_passages": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op11_centroid_clusters": _op11_sql(),
+    "op13_conversation_repair": _op13_sql(),
 }
