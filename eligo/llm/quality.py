@@ -6,8 +6,13 @@ group nearest by Mahalanobis distance, and the start with the smaller determinan
 chi-squared distribution are rejected.
 
 Only DataFrame operations: statistics are expressions over one row, moments are sums that combine before the shuffle, the
-cut of a group is found from counts on a logarithmic grid of distances, and the estimates, one row per group and start,
-are joined to the documents by key.
+cut of a group is found from counts on a logarithmic grid of distances. Estimates, one row per group and start, are written
+and counted, and up to SMALL rows of them go to the tasks, so that documents do not move for them; more are joined by key,
+where adaptive execution splits hot groups.
+
+A source with fewer than MIN_GROUP rows that pass the base rules is judged by the pool of its language's small sources, and
+if that is too small as well, by all passing rows of the table. SCALES are part of every scatter, so that an estimate exists
+for any number of rows, a single one included.
 
 Null or empty text has no words and fails the base rules, as does every text under 20 words. Null languages and sources
 are groups like others. Repeated rows are judged, and weigh, one by one. An empty table gives an empty table. Further
@@ -29,7 +34,9 @@ c = F.col
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_GROUP = 50  # rows; smaller sources are pooled within their language, and then over all
+MIN_GROUP = 50  # rows; smaller sources are pooled within their language, and then with all
+SMALL = 100_000  # rows of under 200 bytes that are broadcast
+ALL = '{"by":"all"}'
 COVERAGE = 0.75
 QUANTILE = 0.9999
 STEPS = 6
@@ -85,21 +92,24 @@ def features(stats: DataFrame) -> DataFrame:
     })
 
 
+def _to_tasks(small: DataFrame) -> DataFrame:
+    """A written table for the small side of a join, broadcast if its rows are few."""
+    return F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small
+
+
 def grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``grp``: language and source, or the pool of a language's smaller sources, or of all smaller pools; null if
-    even that has fewer than MIN_GROUP rows that pass the base rules."""
+    """Adds ``grp``: language and source, or the pool of a language's smaller sources, or all."""
     sizes = stats.filter(~c("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(sizes, "quality-sizes")
     large = c("n") >= MIN_GROUP
-    pools = sizes.filter(~large).groupBy("lang").agg(F.sum("n").alias("rows"), (F.sum("n") >= MIN_GROUP).alias("pool"))
-    own = sizes.filter(large).select(c("lang").alias("_l"), c("source").alias("_s"), F.lit(True).alias("_own"))
-    rest = pools.filter(~c("pool")).select(F.sum("rows")).first()[0] or 0
-    pools = pools.select(c("lang").alias("_pl"), "pool")
+    own = _to_tasks(cut_lineage(sizes.filter(large).select(c("lang").alias("_l"), c("source").alias("_s"), F.lit(True).alias("_own")), "quality-own"))
+    pools = sizes.filter(~large).groupBy("lang").agg(F.sum("n").alias("n")).filter(large).select(c("lang").alias("_pl"), F.lit(True).alias("_pool"))
+    pools = _to_tasks(cut_lineage(pools, "quality-pools"))
     return (stats.join(own, c("lang").eqNullSafe(c("_l")) & c("source").eqNullSafe(c("_s")), "left")
             .join(pools, c("lang").eqNullSafe(c("_pl")), "left")
             .withColumn("grp", F.when(c("_own"), F.to_json(F.struct(F.lit("source").alias("by"), "lang", "source")))
-                        .when(c("pool"), F.to_json(F.struct(F.lit("lang").alias("by"), "lang")))
-                        .otherwise(F.lit('{"by":"all"}' if rest >= MIN_GROUP else None)))
-            .drop("_l", "_s", "_own", "_pl", "pool"))
+                        .when(c("_pool"), F.to_json(F.struct(F.lit("lang").alias("by"), "lang"))).otherwise(F.lit(ALL)))
+            .drop("_l", "_s", "_own", "_pl", "_pool"))
 
 
 def _pairs():
@@ -139,7 +149,7 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     cell = F.floor(GRID * F.log2(F.greatest(c("d2"), F.lit(2.0 ** -20))))
-    cells = (_with_distance(rows.join(estimates, "grp")).withColumn("cell", F.least(cell, F.lit(40 * GRID)))
+    cells = (_with_distance(rows.join(_to_tasks(estimates), "grp")).withColumn("cell", F.least(cell, F.lit(40 * GRID)))
              .groupBy("grp", "start", "cell").agg(*_moments()))
     by = Window.partitionBy("grp", "start")
     before = F.sum("n").over(by.orderBy("cell")) - c("n")
@@ -154,7 +164,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     classical = _estimates(rows.groupBy("grp").agg(*_moments())).withColumn("start", F.lit(0))
     middle = cut_lineage(rows.groupBy("grp").agg(
         *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(DIMS))), "quality-medians")
-    spread = rows.join(middle, "grp").groupBy("grp").agg(
+    spread = rows.join(_to_tasks(middle), "grp").groupBy("grp").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)),
         *(F.percentile_approx(F.abs(c(x) - c(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(DIMS)))
     factors = {f"l{i}{j}": F.sqrt((1.4826 * c(f"d{i}")) ** 2 + SCALES[DIMS[i]] ** 2) if i == j else F.lit(0.0)
@@ -177,13 +187,13 @@ def estimate(rows: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row per document: ``keep`` (doc_id, lang, source at least), statistics, base_failed, d2 and kept.
-
-    Rows of no group (see grouped()) are too few to tell outliers, and kept if they pass the base rules.
-    """
+    """A row per document: ``keep`` (doc_id, lang, source at least), statistics, base_failed, d2 and kept."""
     keep = tuple(dict.fromkeys(("doc_id", "lang", "source", *keep)))
     rows = cut_lineage(grouped(cut_lineage(features(text_statistics(docs, *keep)), "quality-statistics")), "quality-groups")
-    found = estimate(rows.filter(~c("base_failed")).select("grp", *DIMS))
+    passing = rows.filter(~c("base_failed")).select("grp", *DIMS)
+    if not passing.filter(c("grp") == ALL).isEmpty():  # these are judged by all passing rows
+        passing = passing.filter(c("grp") != ALL).unionByName(passing.withColumn("grp", F.lit(ALL)))
+    found = _to_tasks(cut_lineage(estimate(passing), "quality-found"))
     judged = _with_distance(rows.join(found, "grp", "left"))
     return judged.withColumn("kept", ~c("base_failed") & F.coalesce(c("d2") <= chi2_quantile(QUANTILE, P), F.lit(True))
                              ).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
