@@ -12,7 +12,8 @@ where adaptive execution splits hot groups.
 
 A source with fewer than MIN_GROUP rows that pass the base rules is judged by the pool of its language's small sources, and
 if that is too small as well, by all passing rows of the table. SCALES are part of every scatter, so that an estimate exists
-for any number of rows, a single one included.
+for any number of rows, a single one included; the scatter of all rows counts WIDE as MIN_GROUP rows more, so that a handful
+of rows, which cannot tell what is usual, is judged by what is usual for texts.
 
 Null or empty text has no words and fails the base rules, as does every text under 20 words. Null languages and sources
 are groups like others. Repeated rows are judged, and weigh, one by one. An empty table gives an empty table. Further
@@ -43,6 +44,7 @@ STEPS = 6
 GRID = 32  # cells to a doubling of the squared distance
 # Spread a statistic has at least, so that a group where nearly all documents have the same value does not reject the rest.
 SCALES = {"x_word": 0.05, "x_symbols": 0.5, "x_lines": 0.08, "x_repeat": 0.05}
+WIDE = {"x_word": 0.4, "x_symbols": 2.0, "x_lines": 0.3, "x_repeat": 0.15}  # spread over texts of all kinds
 DIMS = tuple(SCALES)
 P = len(DIMS)
 
@@ -125,12 +127,13 @@ def _moments() -> list[Column]:
 def _estimates(moments: DataFrame) -> DataFrame:
     """Location m, Cholesky factor l of the scatter, and half the log determinant, from sums; one row per group."""
     scale = consistency(COVERAGE, P)
-    e = moments.selectExpr("*", *(f"s{i} / n as m{i}" for i in range(P)))
+    e = moments.selectExpr("*", *(f"s{i} / n as m{i}" for i in range(P)), f"if(grp = '{ALL}', {MIN_GROUP}d, 0d) as w")
     for i, j in _pairs():
-        cov, less = f"(q{i}{j} / n - m{i} * m{j})", "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        wide = WIDE[DIMS[i]] ** 2 if i == j else 0.0
+        cov, less = f"((q{i}{j} - n * m{i} * m{j}) * {scale}d + w * {wide}d) / (n + w)", "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
         # the added spread keeps the root's argument positive; rounding may not
-        e = e.selectExpr("*", f"sqrt(greatest(greatest({cov}, 0d) * {scale}d + {SCALES[DIMS[i]] ** 2}d{less}, 1e-8d)) as l{i}{i}"
-                         if i == j else f"({cov} * {scale}d{less}) / l{j}{j} as l{i}{j}")
+        e = e.selectExpr("*", f"sqrt(greatest(greatest({cov}, 0d) + {SCALES[DIMS[i]] ** 2}d{less}, 1e-8d)) as l{i}{i}"
+                         if i == j else f"({cov}{less}) / l{j}{j} as l{i}{j}")
     keys = [k for k in ("grp", "start") if k in moments.columns]
     return e.selectExpr(*keys, *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _pairs()),
                         " + ".join(f"ln(l{i}{i})" for i in range(P)) + " as logdet")
