@@ -35,6 +35,7 @@ from eligo.session import cut_lineage
 c = F.col
 
 N = 5
+HOT = 1000
 PERCENT = 75
 ROUNDS = 2
 SEGMENTS = 4  # fragments in which a pair's overlap is counted
@@ -231,7 +232,7 @@ def components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     info = cut_lineage(repeated(docs, _emit(bits), _merge, _INFO), "jaccard-documents")
     able = info.filter((c("n") > 0) & (c("shared") >= F.floor((PERCENT * c("n") + 99) / 100)))
-    classes = cut_lineage(able.groupBy("cls").agg(F.min("doc_id").alias("least")), "jaccard-classes")
+    classes = cut_lineage(able.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
 
     texts = docs.join(classes.select(c("least").alias("_least"), "cls").hint("shuffle_hash"), c("doc_id").eqNullSafe(c("_least")))
     sets = cut_lineage(texts.select("text", "cls").mapInArrow(_pack_sets, PACKED), "jaccard-sets")
@@ -244,9 +245,13 @@ def components(docs: DataFrame) -> DataFrame:
     groups = _group(posts, segments, alive, cut_lineage(alive.select("cls", c("cls").alias("label")), "groups"))
 
     least = groups.join(classes, "cls").select("label", "least").groupBy("label").agg(F.min("least").alias("component"))
-    named = classes.join(groups.join(least, "label"), "cls", "left").select(
-        "cls", F.coalesce("component", "least").alias("component"))
-    return info.join(named, "cls", "left").select(
+    named = cut_lineage(classes.join(groups.join(least, "label"), "cls", "left").select(
+        "cls", F.coalesce("component", "least").alias("component"), "copies"), "jaccard-named")
+    # classes with more than a HOT part of all rows, so fewer than HOT of them, go to the tasks; their rows do not meet
+    hot = c("copies") * HOT > info.count()
+    few = F.broadcast(named.filter(hot).select("cls", "component"))
+    rest = info.join(few.select("cls"), "cls", "left_anti").join(named.filter(~hot).select("cls", "component"), "cls", "left")
+    return info.join(few, "cls").select(*rest.columns).unionByName(rest).select(
         "doc_id", c("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -13,8 +13,8 @@ more often.
 
 Draws, permutations and orders depend on ids and seeds alone: runs agree, and a task that runs again gives the same rows.
 Running totals are built in two steps over buckets, so no task sees a whole source. Null and empty texts have size 0 and
-are never taken. A null source is a source, last in order. Repeated rows are documents of their own. An empty table gives
-an empty table. Only doc_id, text and source are read.
+are never taken. A null source is a source, last in order; a null doc_id is an id like others. Repeated rows are documents
+of their own. An empty table gives an empty table. Only doc_id, text and source are read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ WEIGHTS = (5, 2, 1)  # by the source's place in code point order, repeating
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,9 +63,11 @@ def in_code_point_order(sources: list) -> list:
     return sorted(sources, key=lambda s: (s is None, s or ""))
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], value: str, buckets: int) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over the key's rows that come earlier, by a hash's bucket and then ``order``."""
-    bucket = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), order[0]), F.lit(buckets)))
+def running_total(rows: DataFrame, key: str, order: list[str], value: str, buckets: Column) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the key's rows that come earlier, by a hash's bucket and then ``order``.
+
+    ``buckets`` is the number of the key's buckets, so that a large key has many."""
+    bucket = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), *order), buckets))
     sums = bucket.groupBy(key, "_bucket").agg(F.sum(value).alias("_sum"))
     w = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(c(key).alias("_key"), c("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
@@ -125,21 +127,23 @@ def mix_documents(docs: DataFrame, *keep: str, seed: int = 1) -> tuple[DataFrame
     spark = docs.sparkSession
     sized = cut_lineage(docs.select("doc_id", "source", size_of(c("text")).alias("size"), F.xxhash64("text").alias("_text"), *keep), "mix-sizes")
     # a number per source: targets depend on all of them at once
-    per = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    sums = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    per, rows_of = {r["source"]: r["n"] for r in sums}, {r["source"]: r["rows"] for r in sums}
     order = in_code_point_order(list(per))
     found = targets([(s, per[s]) for s in order])
     rows = []
     for i, s in enumerate(order):
         size, target = found[s]
         blocks = -(-size // BLOCK_WORDS)
-        rows.append((i, s, size, target, blocks, target * blocks / max(size, 1)))  # last: slots, as the last block may be short
+        wanted = target * blocks / max(size, 1)  # slots, as the last block may be short
+        rows.append((i, s, size, target, blocks, 1 + rows_of[s] // BUCKET_ROWS, wanted))
     wanted = sum(r[-1] for r in rows)
     slots = math.ceil(wanted)
     shards = max(1, -(-slots // SHARD_SLOTS))
     sources = cut_lineage(spark.createDataFrame(
-        rows, "place long, source string, source_size long, target double, blocks long, wanted double"), "mix-sources")
+        rows, "place long, source string, source_size long, target double, blocks long, buckets long, wanted double"), "mix-sources")
     known = sized.join(sources.withColumnRenamed("source", "_s"), c("source").eqNullSafe(c("_s"))).drop("_s")
-    placed = running_total(known, "place", ["doc_id", "_text", *keep], "size", max(1, sized.count() // BUCKET_ROWS))
+    placed = running_total(known, "place", ["doc_id", "_text", *keep], "size", c("buckets"))
     documents = cut_lineage(placed.select(
         "doc_id", "source", "place", c("before").alias("start"), "size", "source_size", "target", *keep), "mix-documents")
 
@@ -149,7 +153,7 @@ def mix_documents(docs: DataFrame, *keep: str, seed: int = 1) -> tuple[DataFrame
         "expected", c("slots") * c("wanted") / wanted)
     counts = expected.groupBy("shard").applyInPandas(_draw(seed), "shard int, place long, count long")
     counts = cut_lineage(counts, "mix-counts")
-    numbered = running_total(counts, "place", ["shard"], "count", max(1, shards // BUCKET_ROWS))
+    numbered = running_total(counts, "place", ["shard"], "count", F.lit(1 + shards // BUCKET_ROWS))
     places = sources.select(c("place").alias("_p"), "blocks")
     filled = numbered.filter("count > 0").join(places, c("place") == c("_p")).select(
         "shard", "place", "blocks", "before", F.explode(F.sequence(F.lit(0).cast("long"), c("count") - 1)).alias("slot")).withColumn(
