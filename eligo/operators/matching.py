@@ -8,6 +8,8 @@ scheme, so a pair costs a handful of comparisons.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from eligo.functions import lists as L
 from eligo.functions import text as X
 from eligo.operators import catalog
 from eligo.operators.skew import salted_join, salts_for
+from eligo.session import cut_lineage
 
 c = F.col
 
@@ -364,67 +367,92 @@ def with_texts(schemes: DataFrame) -> DataFrame:
 
 
 LOCAL = [x for x in SEGMENT if x != "state"]
-SEGMENTS_PER_PART, PROFILES_PER_PART = 50, 100_000
+ASKS_PER_PART, PROFILES_PER_PART = 200, 100_000
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [c(n).eqNullSafe(c(prefix + n)) for n in names])
 
 
-def segment_pairs(profiles: DataFrame, schemes: DataFrame, texts: bool = False) -> DataFrame:
-    """Segments with every active scheme of their lists, evaluated; no candidate is left out.
+def segments(profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: segments (seg, attributes, number of profiles), what they ask (ask, attributes, list_key) and which
+    asks make up a segment (seg, ask).
 
-    Only distinct segments meet schemes. For the open list the state makes no
-    difference, so there the segments are distinct without it, and ``state`` is
-    null. A list that many segments ask for is salted by their count.
+    A segment asks for the list of its state, and for the list open to all states together with all segments that differ
+    in nothing but the state, which is null there.
     """
-    payload = scheme_facts()
-    if texts:
-        schemes = with_texts(schemes)
-        payload += scheme_texts()
-    own = profiles.select(*SEGMENT).distinct().withColumn("list_key", catalog.own_list(c("state")))
-    shared = profiles.select(*LOCAL).distinct().select(
-        *[F.lit(None).cast("string").alias(x) if x == "state" else c(x) for x in SEGMENT], F.lit(catalog.OPEN).alias("list_key"))
-    asking = own.unionByName(shared)
-    pairs = salted_join(asking, catalog.entries(schemes, payload), ["list_key"], SEGMENT,
-                        salts=salts_for(asking, ["list_key"], SEGMENTS_PER_PART))
-    return evaluate(pairs.withColumn("scheme_id", s("scheme_id")))
-
-
-def best_of_segments(profiles: DataFrame, evaluated: DataFrame, k: int, order: list[Column], cols: dict[str, Column]) -> DataFrame:
-    """The first k rows of each segment over its two lists, as columns ``cols`` and match_rank.
-
-    Each list is cut to k first, on the map side too, so no more than k rows of
-    a list and segment move on.
+    segs = cut_lineage(profiles.groupBy(*SEGMENT).agg(F.count("*").alias("people")).withColumn(
+        "seg", F.monotonically_increasing_id()), "segments")
+    shared = cut_lineage(segs.select(*LOCAL).distinct().withColumn("ask", -1 - F.monotonically_increasing_id()), "open-asks")
+    asks = segs.select(c("seg").alias("ask"), *SEGMENT, catalog.own_list(c("state")).alias("list_key")).unionByName(
+        shared.select("ask", *LOCAL, F.lit(None).cast("string").alias("state"), F.lit(catalog.OPEN).alias("list_key")))
+    links = segs.join(shared.withColumnsRenamed({x: f"_{x}" for x in LOCAL}), _same(LOCAL, "_")).select("seg", "ask")
+    return segs, asks, links.unionByName(segs.select("seg", c("seg").alias("ask")))
+
+
+def scheme_classes(schemes: DataFrame, k: int) -> DataFrame:
+    """(list_key, s, members) of all active schemes: those of a list that no rule and no score can tell apart are one class.
+
+    ``s`` holds only what rules and scores read. ``members`` are the first k (worse, scheme_id) of the class; as the
+    order inside a class is the same for every profile, none behind them can be among the k best of any.
+    """
+    sets = lambda x: F.array_sort(F.array_distinct(x))
+    here = F.substring(c("list_key"), F.lit(len(catalog.STATE) + 1), F.length("list_key"))
+    named = F.filter(s("states_lc"), lambda x: X.title_case(x) == here)
+    facts = [
+        s("state_bound"), F.when(c("list_key").startswith(catalog.STATE), sets(named)).otherwise(L.empty()).alias("states_lc"),
+        s("gender_bound"), F.when(s("gender_bound"), sets(s("genders_lc"))).otherwise(L.empty()).alias("genders_lc"),
+        s("cat_bound"), s("sc_st_only"), L.empty().alias("cats_lc"), s("for_disabled"), s("pwd_only"), s("for_women"),
+        s("names_disabled"), sets(s("soft_cats")).alias("soft_cats"), s("for_marginalized"), sets(s("types_lc")).alias("types_lc"),
+        s("needs_udyam"),
+    ]
+    entries = catalog.entries(schemes, scheme_facts()).select(
+        "list_key", F.struct(*facts).alias("s"), F.struct(s(catalog.WORSE), s("scheme_id")).alias("m"))
+    order = Window.partitionBy("list_key", "s").orderBy("m")
+    first = entries.withColumn("_rn", F.row_number().over(order)).where(c("_rn") <= k)
+    return first.groupBy("list_key", "s").agg(F.sort_array(F.collect_list("m")).alias("members"))
+
+
+def best_ids(profiles: DataFrame, schemes: DataFrame, k: int, wanted: Column, place: Column) -> tuple[DataFrame, DataFrame]:
+    """The segments, and (seg, match_rank, scheme_id): the first k of all schemes for which ``wanted`` holds, least
+    ``place`` first, then by quality and id.
+
+    Segments are scored against classes, with no texts built and no candidate left out. The first k schemes lie in the
+    first k classes by (place, first member), so each task passes on k classes of a list at most.
     """
     if k > K.RANK_LIMIT:
         raise ValueError(f"k must be {K.RANK_LIMIT} at most")
-    by = Window.partitionBy(*SEGMENT, "list_key").orderBy(*order)
-    cut = evaluated.withColumn("_rn", F.row_number().over(by)).where(c("_rn") <= k).select(
-        *SEGMENT, "list_key", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)],
-                                       *[x.alias(n) for n, x in cols.items()]).alias("row"))
-    key = lambda xs: F.to_json(F.struct(*xs))  # noqa: E731  null attributes are left out, so they equal each other
-    lists = cut.groupBy(key([*SEGMENT, "list_key"]).alias("_list")).agg(F.collect_list("row").alias("rows"))
-    segments = profiles.select(*SEGMENT).distinct()
-    open_key = key([*LOCAL, F.lit(catalog.OPEN).alias("list_key")])
-    asks = segments.withColumn("list_key", catalog.own_list(c("state"))).withColumn(
-        "_list", F.explode(F.array(key([*SEGMENT, "list_key"]), open_key))).drop("list_key")
-    rows = asks.join(lists, "_list").select(*SEGMENT, F.explode("rows").alias("row"))
-    whole = Window.partitionBy(*SEGMENT).orderBy(*[c(f"row.o{i}") for i in range(len(order))])
-    ranked = rows.withColumn("match_rank", F.row_number().over(whole)).where(c("match_rank") <= k)
-    return ranked.select(*SEGMENT, "match_rank", *[c(f"row.{n}").alias(n) for n in cols])
-
-
-def _score_order() -> list[Column]:
-    return [-c("match_score"), s(catalog.WORSE), c("scheme_id")]
-
-
-def _to_profiles(profiles: DataFrame, segments: DataFrame, cols: list[str]) -> DataFrame:
+    segs, asks, links = segments(profiles)
+    classes = cut_lineage(scheme_classes(schemes, k), "scheme-classes")
+    pairs = salted_join(asks, classes, ["list_key"], "ask", salts=salts_for(asks, ["list_key"], ASKS_PER_PART))
+    scored = with_scores(with_flags(pairs)).where(wanted).select("ask", place.cast("double").alias("place"), "members")
+    by = Window.partitionBy("ask").orderBy("place", c("members")[0])
+    cut = scored.withColumn("_rn", F.row_number().over(by)).where(c("_rn") <= k)
+    rows = cut.select("ask", F.transform("members", lambda m: F.struct(
+        c("place").alias("place"), m[catalog.WORSE].alias(catalog.WORSE), m["scheme_id"].alias("scheme_id"))).alias("rows"))
+    lists = rows.groupBy("ask").agg(F.slice(F.sort_array(F.flatten(F.collect_list("rows"))), 1, k).alias("rows"))
+    both = links.join(lists, "ask").groupBy("seg").agg(F.slice(F.sort_array(F.flatten(F.collect_list("rows"))), 1, k).alias("rows"))
+    found = both.select("seg", F.posexplode("rows").alias("at", "row")).select(
+        "seg", (c("at") + 1).alias("match_rank"), c("row.scheme_id").alias("scheme_id"))
+    return segs, found
+
+
+def _judged(segs: DataFrame, found: DataFrame, schemes: DataFrame, texts: list[Column] = ()) -> DataFrame:
+    """The segments' found schemes with all rule and score columns; only here texts are built."""
+    facts = schemes.select(c("id").alias("scheme_id"), F.struct(*scheme_facts(), *texts).alias("s"))
+    return evaluate(found.join(segs.drop("people"), "seg").join(facts, "scheme_id"))
+
+
+def _to_profiles(profiles: DataFrame, segs: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
     """Each profile with the rows of its segment.
 
-    A segment's rows (k at most) travel as one array, so the join keeps one row
+    A segment's rows (k at most) travel as one array, so the joins keep one row
     per profile; a segment that very many profiles share is salted by their
     count.
     """
-    rows = segments.groupBy(*SEGMENT).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
-    joined = salted_join(profiles, rows, SEGMENT, spread_by="profile_id",
-                         salts=salts_for(profiles, SEGMENT, PROFILES_PER_PART))
+    packed = rows.groupBy("seg").agg(F.collect_list(F.struct(*cols)).alias("_rows")).join(segs, "seg").select(*SEGMENT, "_rows")
+    most = segs.agg(F.max("people")).first()[0] or 0
+    joined = salted_join(profiles, packed, SEGMENT, spread_by="profile_id", salts=1 + most // PROFILES_PER_PART)
     return joined.select(*profiles.columns, F.inline("_rows"))
 
 
@@ -433,10 +461,9 @@ def recommend(profiles: DataFrame, schemes: DataFrame, k: int) -> DataFrame:
 
     Best score first, then quality, then id.
     """
-    names = ["match_score", "eligibility_status", "score_breakdown", "matching_factors"]
-    passed = segment_pairs(profiles, schemes).where("passed")
-    best = best_of_segments(profiles, passed, k, _score_order(), {n: c(n) for n in ["scheme_id", *names]})
-    return _to_profiles(profiles.select("profile_id", *SEGMENT), best, ["match_rank", "scheme_id", *names])
+    names = ["match_rank", "scheme_id", "match_score", "eligibility_status", "score_breakdown", "matching_factors"]
+    segs, found = best_ids(profiles, schemes, k, c("passed"), -c("match_score"))
+    return _to_profiles(profiles.select("profile_id", *SEGMENT), segs, _judged(segs, found, schemes), names)
 
 
 def ineligible(profiles: DataFrame, schemes: DataFrame, k: int) -> DataFrame:
@@ -444,11 +471,10 @@ def ineligible(profiles: DataFrame, schemes: DataFrame, k: int) -> DataFrame:
 
     Fewest missing requirements first, then quality, then id.
     """
-    names = ["match_score", "eligibility_status", "missing_requirements"]
-    failed = segment_pairs(profiles, schemes).where("not passed")
-    order = [F.size("missing_requirements"), s(catalog.WORSE), c("scheme_id")]
-    near = best_of_segments(profiles, failed, k, order, {n: c(n) for n in ["scheme_id", *names]})
-    return _to_profiles(profiles.select("profile_id", *SEGMENT), near, ["scheme_id", *names])
+    names = ["scheme_id", "match_score", "eligibility_status", "missing_requirements"]
+    missing = sum(c(x).cast("int") for x in ("fails_state", "fails_gender", "fails_category", "fails_disability"))
+    segs, found = best_ids(profiles, schemes, k, ~c("passed"), missing)
+    return _to_profiles(profiles.select("profile_id", *SEGMENT), segs, _judged(segs, found, schemes), names)
 
 
 def match_table(profiles: DataFrame, schemes: DataFrame, k: int, explain=None) -> DataFrame:
@@ -460,13 +486,13 @@ def match_table(profiles: DataFrame, schemes: DataFrame, k: int, explain=None) -
     title, ministry_or_org, subsidy_percentage) that gives a column, such as a
     pandas UDF.
     """
-    passed = segment_pairs(profiles, schemes, texts=True).where("passed")
     names = ["scheme_id", "match_score", "eligibility_status", "score_breakdown", "missing_requirements", "matching_factors"]
-    texts = ["key_benefits", "title", "ministry_or_org", "subsidy_percentage", "listed_documents", "needs_udyam"]
-    best = best_of_segments(profiles, passed, k, _score_order(), {n: c(n) for n in names} | {n: s(n) for n in texts})
-    best = best.withColumn("required_documents", checklist(c("listed_documents"), c("needs_udyam")))
-    cols = ["match_rank", *names, "key_benefits", "required_documents", "title", "ministry_or_org", "subsidy_percentage"]
-    rows = _to_profiles(profiles.select("profile_id", "full_name", *SEGMENT), best, cols)
+    texts = ["key_benefits", "title", "ministry_or_org", "subsidy_percentage"]
+    segs, found = best_ids(profiles, schemes, k, c("passed"), -c("match_score"))
+    best = _judged(segs, found, with_texts(schemes), scheme_texts()).withColumns({n: s(n) for n in texts}).withColumn(
+        "required_documents", checklist(s("listed_documents"), s("needs_udyam")))
+    rows = _to_profiles(profiles.select("profile_id", "full_name", *SEGMENT), segs, best,
+                        ["match_rank", *names, *texts, "required_documents"])
     reason = (explain or explanation)(
         c("full_name"), c("matching_factors"), c("title"), c("ministry_or_org"), c("subsidy_percentage"))
     return rows.select(
