@@ -1,8 +1,7 @@
-"""Embedding text, embedding, exact and approximate cosine search."""
+"""Embedding text, embedding and exact cosine search; ann.py has the index."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +18,7 @@ from eligo.operators.dedup import best_per_key
 c = F.col
 TEXT_LIMIT = 2000      # fixed value: characters of embedding text stored
 QUERY_BLOCK = 4096     # query vectors sent to the tasks at a time
+CORPUS_BLOCK = 100_000  # vectors compared with a block of queries in one task, once there are more queries
 HASHED = "hashed-tf"   # model name of the default embedding
 
 
@@ -138,20 +138,20 @@ def one_per_model(embeddings: DataFrame, newest: str) -> DataFrame:
 
 # ---- search -----------------------------------------------------------------
 
-_HITS = "query_id string, scheme_id string, similarity double"
+HITS = "query_id string, scheme_id string, similarity double"
 
 
-def _matrix(vectors) -> np.ndarray:
+def matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.linalg.norm(m, axis=1)
     ok = norms > 0
     return m[ok] / norms[ok, None], ok
 
 
-class _Best:
+class Best:
     """The k best (similarity, id) per query seen so far, ties by id."""
 
     def __init__(self, queries: int, k: int):
@@ -165,11 +165,15 @@ class _Best:
         better = (sims >= self.floor) & (sims > -np.inf)
         for j in np.nonzero(better.any(axis=0))[0]:
             new = better[:, j]
-            s, i = np.append(self.sims[j], sims[new, j]), np.append(self.ids[j], ids[new])
-            order = np.lexsort((i, -s))[:self.k]
-            self.sims[j], self.ids[j] = s[order], i[order]
-            if len(order) == self.k:
-                self.floor[j] = s[order[-1]]
+            self.add_to(j, sims[new, j], ids[new])
+
+    def add_to(self, j: int, sims: np.ndarray, ids: np.ndarray) -> None:
+        """Hits of query ``j`` alone."""
+        s, i = np.append(self.sims[j], sims), np.append(self.ids[j], ids)
+        order = np.lexsort((i, -s))[:self.k]
+        self.sims[j], self.ids[j] = s[order], i[order]
+        if len(order) == self.k:
+            self.floor[j] = s[order[-1]]
 
     def frame(self, query_ids: list) -> pd.DataFrame:
         asked = np.repeat(np.array(query_ids, dtype=object), np.array([len(i) for i in self.ids], dtype=int))
@@ -181,39 +185,28 @@ class _Best:
         })
 
 
-def _scan(corpus: DataFrame, query_ids: list, vecs, k: int, cells=None) -> DataFrame:
+def _scan(corpus: DataFrame, query_ids: list, vecs, k: int) -> DataFrame:
     """Best k of every corpus partition against one block of queries.
 
     The corpus is read once and not shuffled: the block goes to the tasks, and
-    each task returns at most k rows per query. ``cells`` narrows a query to
-    the corpus cells it probes.
+    each task returns at most k rows per query.
     """
-    q, _ = _unit(_matrix(vecs))
-    probes = [np.asarray(p) for p in cells] if cells is not None else None
+    q, _ = unit(matrix(vecs))
     dim = q.shape[1]
 
     def read(batches):
-        best = _Best(len(query_ids), k)
+        best = Best(len(query_ids), k)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            unit, ok = _unit(_matrix(pdf["embedding"]))
-            sims = np.round(unit @ q.T, 6)
-            if probes is not None:
-                own = pdf["cell"].to_numpy()[ok]
-                for j, p in enumerate(probes):
-                    sims[~np.isin(own, p), j] = -np.inf
-            best.add(sims, pdf["scheme_id"].to_numpy()[ok].astype(str))
+            if len(pdf):
+                x, ok = unit(matrix(pdf["embedding"]))
+                best.add(np.round(x @ q.T, 6), pdf["scheme_id"].to_numpy()[ok].astype(str))
         yield best.frame(query_ids)
 
-    cols = ["scheme_id", "embedding"] + (["cell"] if probes is not None else [])
-    rows = corpus.where(c("embedding").isNotNull() & (F.size("embedding") == dim)).select(*cols)
-    if probes is not None:
-        rows = rows.where(c("cell").isin(sorted({int(x) for p in probes for x in p})))
-    return rows.mapInPandas(read, _HITS)
+    rows = corpus.where(c("embedding").isNotNull() & (F.size("embedding") == dim)).select("scheme_id", "embedding")
+    return rows.mapInPandas(read, HITS)
 
 
-def _rank(hits: DataFrame, k: int) -> DataFrame:
+def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """Final ranks: a scheme counts once per query, by its best vector."""
     once = hits.groupBy("query_id", "scheme_id").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(c("similarity").desc(), c("scheme_id").asc())
@@ -234,41 +227,24 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = K.SEARCH_LIMIT,
     with one row per scheme (see :func:`one_per_model`). Vectors of length zero
     and null ones match nothing.
     """
-    return _search(queries, corpus, k, block, None)
-
-
-def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, probes_of) -> DataFrame:
-    """Up to ``block`` queries go to the tasks as they are; more are joined block by block.
-
-    The test reads one row more than a block holds, so what reaches the driver
-    has that bound whatever the number of queries.
-    """
     asked = queries.where(c("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select(
         c("query_id").cast("string").alias("query_id"), "embedding")
-    head = asked.limit(block + 1).collect()
+    head = asked.limit(block + 1).collect()  # one more than a block holds: a bound whatever the number of queries
     if not head:
-        return _rank(queries.sparkSession.createDataFrame([], _HITS), k)
+        return rank_hits(queries.sparkSession.createDataFrame([], HITS), k)
     if len(head) <= block:
-        vecs = [r.embedding for r in head]
-        hits = _scan(corpus, [r.query_id for r in head], vecs, k, probes_of(vecs) if probes_of else None)
-    else:
-        hits = _grid(asked, corpus, k, -(-asked.count() // block), probes_of)
-    return _rank(hits, k)
+        return rank_hits(_scan(corpus, [r.query_id for r in head], [r.embedding for r in head], k), k)
+    return rank_hits(_grid(asked, corpus, k, -(-asked.count() // block)), k)
 
 
-def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int, probes_of) -> DataFrame:
+def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int) -> DataFrame:
     """Blocks of queries against blocks of the corpus, a pair of blocks per task.
 
     Both sides are cut by a hash of their ids, so blocks are even however the
-    data is skewed; a query meets only the cells it probes, and a cell is cut
-    into as many blocks as there are shuffle partitions. A pair of blocks
-    returns at most k rows per query.
+    data is skewed, and a block has about CORPUS_BLOCK rows at most. A pair of
+    blocks returns at most k rows per query.
     """
-    cuts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    @F.pandas_udf("array<int>")
-    def probed(v: pd.Series) -> pd.Series:
-        return pd.Series([[int(x) for x in p] for p in probes_of(list(v))])
+    cuts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_BLOCK))
 
     def block_of(col: str, n: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
@@ -276,76 +252,21 @@ def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int, probes
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = asked.withColumn("probes", probed(c("embedding")) if probes_of else F.array(F.lit(0)))
-    q = q.select("query_id", "embedding", block_of("query_id", query_blocks).alias("qb"),
-                 F.explode("probes").alias("cell")).withColumn("cb", every(cuts))
+    q = asked.select("query_id", "embedding", block_of("query_id", query_blocks).alias("qb")).withColumn("cb", every(cuts))
     v = corpus.where(c("embedding").isNotNull()).select(
-        "scheme_id", "embedding", (c("cell") if probes_of else F.lit(0)).alias("cell"),
-        block_of("scheme_id", cuts).alias("cb")).withColumn("qb", every(query_blocks))
+        "scheme_id", "embedding", block_of("scheme_id", cuts).alias("cb")).withColumn("qb", every(query_blocks))
 
     def pair(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(qs), k)
+        best = Best(len(qs), k)
         if len(qs) and len(vs):
-            m, _ = _unit(_matrix(qs["embedding"]))
+            m, _ = unit(matrix(qs["embedding"]))
             vs = vs[vs["embedding"].map(len) == m.shape[1]]
             if len(vs):
-                unit, ok = _unit(_matrix(vs["embedding"]))
-                best.add(np.round(unit @ m.T, 6), vs["scheme_id"].to_numpy()[ok].astype(str))
+                x, ok = unit(matrix(vs["embedding"]))
+                best.add(np.round(x @ m.T, 6), vs["scheme_id"].to_numpy()[ok].astype(str))
         return best.frame(list(qs["query_id"]))
 
-    keys = ("qb", "cell", "cb")
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(pair, _HITS)
-
-
-# ---- approximate search -----------------------------------------------------
-
-PROBED = 13 / 16  # of the cells: on the given embeddings recall is above 0.9 from 4 bits on, and grows with the bits
-CELL_ROWS = 4096
-
-
-def bits_for(rows: int) -> int:
-    """Hyperplanes for a corpus of so many rows: 16 cells, and more once they hold over CELL_ROWS each, up to 256."""
-    return min(8, max(4, math.ceil(math.log2(max(rows, 1) / CELL_ROWS))))
-
-
-def planes(dim: int, bits: int, seed: int = 7) -> np.ndarray:
-    """Random hyperplanes; the same seed gives the same index everywhere."""
-    return np.random.default_rng(seed).standard_normal((bits, dim))
-
-
-def index(corpus: DataFrame, dim: int, bits: int = 4, seed: int = 7) -> DataFrame:
-    """Adds ``cell``: the side of each hyperplane a vector lies on, as bits.
-
-    Stored by ``cell``, a search reads only the folders it probes. A cell with
-    a third of all vectors is many files and many tasks like any other data.
-    """
-    p = planes(dim, bits, seed)
-
-    @F.pandas_udf("int")
-    def cell_of(v: pd.Series) -> pd.Series:
-        side = (_matrix(v) @ p.T) >= 0
-        return pd.Series(side @ (1 << np.arange(bits)), dtype="int32")
-
-    sized = corpus.where(c("embedding").isNotNull() & (F.size("embedding") == dim))
-    return sized.withColumn("cell", cell_of(c("embedding")))
-
-
-def approximate_top_k(queries: DataFrame, indexed: DataFrame, dim: int, k: int = K.SEARCH_LIMIT,
-                      bits: int = 4, probes: int | None = None, seed: int = 7, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest among the vectors of each query's ``probes`` nearest cells; unless given, the share PROBED of them."""
-    p = planes(dim, bits, seed)
-    probes = math.ceil(PROBED * (1 << bits)) if probes is None else probes
-    patterns = ((np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1).astype(bool)
-
-    def probes_of(vecs):
-        # cost of a cell: how far the query lies on the wrong side of its planes
-        margins = _unit(_matrix(vecs))[0] @ p.T
-        for m in margins:
-            wrong = patterns != (m >= 0)
-            cost = (wrong * np.abs(m)).sum(axis=1)
-            yield np.argsort(cost, kind="stable")[:probes]
-
-    return _search(queries, indexed, k, block, lambda v: list(probes_of(v)))
+    return q.groupBy("qb", "cb").cogroup(v.groupBy("qb", "cb")).applyInPandas(pair, HITS)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from eligo.operators import ann as ANN
 from eligo.operators import catalog as C
 from eligo.operators import vectors as VX
 from eligo.plans import search as P
@@ -41,6 +42,17 @@ def exact(t):
     return VX.cosine_top_k(asked(t), VX.active_vectors(vectors(t), t.f_schemes), K)
 
 
+_INDEXES: dict[tuple[str, str], ANN.Index] = {}  # stored ones, by session and tables
+
+
+def vector_index(t) -> ANN.Index:
+    """The index over the vectors of active schemes, built and stored once for a session's tables."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = ANN.build(VX.active_vectors(vectors(t), t.f_schemes), new_table_path(t.spark, "ann"), DIM)
+    return _INDEXES[key]
+
+
 def _plain(texts: pd.Series) -> pd.Series:
     """A stand-in for a user's model: length and letter counts; short texts fail."""
     return texts.map(lambda s: np.array([len(s), s.count("e"), 1.0], dtype="float32") if len(s) >= 200 else None)
@@ -77,13 +89,17 @@ def register(r: Registry) -> None:
     r.add("e07_cosine_top_k", lambda t: exact(t).select("query_id", big("rank").alias("rank"), "scheme_id", "similarity"),
           f"with {EXACT} select query_id, rank, scheme_id, similarity from rk where rank <= {K}", "f_schemes")
 
-    def approximate(t):
-        corpus = VX.active_vectors(vectors(t), t.f_schemes)
-        bits = VX.bits_for(corpus.count())
-        return VX.approximate_top_k(asked(t), VX.index(corpus, DIM, bits), DIM, K, bits)
+    def approximate(t, **how):
+        return ANN.top_k(asked(t), vector_index(t), K, **how)
 
     r.add("e08_approximate_top_k", lambda t: approximate(t).select("query_id", big("rank").alias("rank"), "scheme_id", "similarity"))
+    r.add("e08_all_cells", lambda t: approximate(t, probes=1 << 30, shortlist=0).select(
+        "query_id", big("rank").alias("rank"), "scheme_id", "similarity"),
+        f"with {EXACT} select query_id, rank, scheme_id, similarity from rk where rank <= {K}", "f_schemes")
     r.add("e08_recall", lambda t: VX.recall(approximate(t), exact(t)))
+    r.add("e08_index_rows", lambda t: vector_index(t).table("codes").join(
+        vector_index(t).table("vectors"), ["scheme_id", "cell"]).select("scheme_id", big(F.octet_length("code")).alias("bytes")),
+        f"select s.id as scheme_id, cast({DIM // 4} as bigint) as bytes from f_schemes s join embeddings e on cast(e.vec_id as varchar) = s.id where s.status = 'active'", "f_schemes")
     r.add("e09_hydrate", lambda t: VX.hydrate(exact(t), C.response(t.f_schemes)).select(
         "query_id", big("rank").alias("rank"), "id", "title", "ministry_or_org"),
         f"""with {EXACT} select query_id, rank, id, name as title, coalesce(nullif(ministry,''), nullif(department,''), 'Government of India') ministry_or_org

@@ -50,18 +50,6 @@ def test_exact_search(spark, data, block):
     assert found(vectors.cosine_top_k(q, c, 10, block)) == brute(data, 10)
 
 
-def test_all_cells_give_the_exact_answer(spark, data):
-    c, q = frames(spark, data)
-    got = vectors.approximate_top_k(q, vectors.index(c, DIM, bits=3), DIM, 10, bits=3, probes=8)
-    assert found(got) == brute(data, 10)
-
-
-def test_some_cells_find_most(spark, data):
-    c, q = frames(spark, data)
-    got = vectors.approximate_top_k(q, vectors.index(c, DIM, bits=3), DIM, 10, bits=3, probes=4)
-    assert vectors.recall(got, vectors.cosine_top_k(q, c, 10)).first().recall > 0.6
-
-
 def test_no_queries(spark, data):
     c, q = frames(spark, data)
     assert vectors.cosine_top_k(q.where("false"), c, 3).count() == 0
@@ -92,11 +80,3 @@ def test_one_per_model(spark):
     df = spark.createDataFrame([("a", "m", [1.0], 1), ("a", "m", [2.0], 2), ("a", "n", [3.0], 1)],
                                "scheme_id string, embedding_model string, embedding array<double>, v int")
     assert {(r.embedding_model, r.v) for r in vectors.one_per_model(df, "v").collect()} == {("m", 2), ("n", 1)}
-
-
-def test_cells_in_blocks_give_the_same_answer(spark, data):
-    c, q = frames(spark, data)
-    index = vectors.index(c, DIM, bits=3)
-    whole = vectors.approximate_top_k(q, index, DIM, 5, bits=3, probes=3)
-    blocks = vectors.approximate_top_k(q, index, DIM, 5, bits=3, probes=3, block=6)
-    assert found(whole) == found(blocks)
