@@ -1,4 +1,4 @@
-"""Search by vector, with the keyword and the plain listing behind it."""
+"""Search by vector, with the keyword and the plain listing behind it. Queries are a table."""
 
 from __future__ import annotations
 
@@ -6,72 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eligo import constants as K
-from eligo.operators import catalog, vectors
+from eligo.functions import text as X
+from eligo.operators import catalog, trigrams, vectors
+from eligo.session import cut_lineage
 
 c = F.col
-KEYWORD_BLOCK = 64  # query texts tested in one pass over the catalog
 
 
-def _ranked(hits: DataFrame, limit: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(
-        *[c(f).desc() for f in catalog.LISTING_ORDER], c("id").asc())
-    return hits.withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).select(
-        "query_id", "rank", c("id").alias("scheme_id"))
+def _order():
+    return [*(c(f).desc() for f in catalog.LISTING_ORDER), c("id").asc()]
 
 
-def keyword_top(schemes: DataFrame, queries: dict[str, str], limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """(query_id, rank, scheme_id) of the keyword listing of many query texts.
+def keyword_top(schemes: DataFrame, queries: DataFrame, index: trigrams.Index, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+    """(query_id, rank, scheme_id) of the keyword listing of every query (query_id, text), over active schemes.
 
-    The texts become constant patterns of one projection, a block at a time:
-    each scheme is read once per block and yields the ids of the queries it
-    matches. Nothing is joined, and each task passes on at most ``limit`` rows
-    per query.
+    ``index`` is the trigram index of the catalog's text columns; only rows that match a query meet the catalog, and each
+    task passes on at most ``limit`` rows per query.
     """
-    active = schemes.where(catalog.status_is("active"))
-    asked = list(queries.items())
-    out = None
-    for start in range(0, len(asked), KEYWORD_BLOCK):
-        tests = [F.when(catalog.keyword(text), F.lit(qid)) for qid, text in asked[start:start + KEYWORD_BLOCK]]
-        hits = active.select(
-            "id", *catalog.LISTING_ORDER, F.explode(F.array_compact(F.array(*tests))).alias("query_id"))
-        part = _ranked(hits, limit)
-        out = part if out is None else out.unionByName(part)
-    return out
+    active = schemes.where(catalog.status_is("active")).select("id", *catalog.LISTING_ORDER)
+    hits = trigrams.matches(queries, index).join(active, "id")
+    w = Window.partitionBy("query_id").orderBy(*_order())
+    return hits.withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).select(
+        "query_id", "rank", c("id").alias("scheme_id"))
+
 
+def plain_top(schemes: DataFrame, queries: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+    """(query_id, rank, scheme_id): the first page of active schemes for every query; the page travels as one array."""
+    page = catalog.page_of(schemes.where(catalog.status_is("active")), limit=limit).select("id", *catalog.LISTING_ORDER)
+    ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
+    ids = ranked.agg(F.sort_array(F.collect_list(F.struct("rank", c("id").alias("scheme_id")))).alias("page"))
+    return queries.select("query_id", F.inline(ids.scalar()))
 
-def hybrid(schemes: DataFrame, embeddings: DataFrame, queries: list[dict],
+
+def hybrid(schemes: DataFrame, embeddings: DataFrame, queries: DataFrame, index: trigrams.Index,
            limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """(query_id, rank, scheme_id, method) for queries of id, text and vector.
+    """(query_id, rank, scheme_id, method) for queries (query_id, text, embedding).
 
     A blank text gets the plain listing. A text with a vector is searched by
     vector. One without a vector, or whose vector finds nothing, falls back to
     the keyword listing.
     """
-    spark = schemes.sparkSession
-    blank = [q for q in queries if not (q.get("text") or "").strip()]
-    worded = [q for q in queries if q not in blank]
-    # one row per query and rank: the answers found so far
-    parts = []
-    if blank:
-        page = catalog.page_of(schemes.where(catalog.status_is("active")), limit=limit)
-        w = Window.orderBy(*[c(f).desc() for f in catalog.LISTING_ORDER], c("id").asc())
-        first = page.withColumn("rank", F.row_number().over(w))
-        ids = F.array(*[F.lit(str(q["id"])) for q in blank])
-        parts.append(first.select(F.explode(ids).alias("query_id"), "rank", c("id").alias("scheme_id"))
-                     .withColumn("method", F.lit("listing")))
-    with_vector = [(str(q["id"]), [float(x) for x in q["vector"]]) for q in worded if q.get("vector")]
-    texts = {str(q["id"]): q["text"] for q in worded}
-    words = keyword_top(schemes, texts, limit).withColumn("method", F.lit("keyword")) if texts else None
-    if with_vector:
-        asked = spark.createDataFrame(with_vector, "query_id string, embedding array<double>")
-        corpus = vectors.active_vectors(embeddings, schemes)
-        found = vectors.cosine_top_k(asked, corpus, limit).select(
-            "query_id", "rank", "scheme_id", F.lit("vector").alias("method"))
-        parts.append(found)
-        words = words.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    if words is not None:
-        parts.append(words)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    queries = queries.withColumn("query_id", c("query_id").cast("string"))
+    blank = ~F.coalesce(X.filled(F.trim("text")), F.lit(False))
+    worded = queries.where(~blank)
+    corpus = vectors.active_vectors(embeddings, schemes)
+    found = cut_lineage(vectors.cosine_top_k(worded, corpus, limit).select("query_id", "rank", "scheme_id"), "hybrid-vectors")
+    rest = worded.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    parts = {"listing": plain_top(schemes, queries.where(blank), limit), "vector": found,
+             "keyword": keyword_top(schemes, rest, index, limit)}
+    out = None
+    for method, rows in parts.items():
+        rows = rows.withColumn("method", F.lit(method))
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eligo.operators import ann as ANN
 from eligo.operators import catalog as C
+from eligo.operators import trigrams as T
 from eligo.operators import vectors as VX
 from eligo.plans import search as P
 from eligo.registry.common import Registry, big, c
@@ -26,7 +27,12 @@ EXACT = f"""ex as (select q.vec_id as qid, cast(e.vec_id as varchar) as scheme_i
  round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 6) as similarity
  from embeddings q, embeddings e join f_schemes s on s.id = cast(e.vec_id as varchar) where s.status = 'active'),
 rk as (select cast(qid as varchar) as query_id, scheme_id, similarity, row_number() over (partition by qid order by similarity desc, scheme_id) as rank from ex)"""
-KEYWORDS = {"q1": "red w%brand#1_", "q2": "economy", "q3": "no such words"}
+# every benchmark text, every kind and brand and every pair of words of a part's name, and patterns with wildcards
+TEXTS_SQL = """select 'b' || item_id as query_id, text from benchmark
+ union all select distinct 'k' || p_type, p_type from part union all select distinct 'm' || p_brand, lower(p_brand) from part
+ union all select distinct 'n' || p_name, ' ' || p_name || '  ' from part
+ union all select distinct 'p' || p_name, replace(p_name, ' ', '%') || '%#_' from part
+ union all select distinct 'q' || left(p_name, 2), left(p_name, 2) from part"""
 
 
 def vectors(t):
@@ -53,6 +59,36 @@ def vector_index(t) -> ANN.Index:
     return _INDEXES[key]
 
 
+_TRIGRAMS: dict[tuple[str, str], T.Index] = {}
+
+
+def trigram_index(t) -> T.Index:
+    """The index over the catalog's texts, built and stored once for a session's tables."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _TRIGRAMS:
+        _TRIGRAMS[key] = T.build(t.f_schemes, new_table_path(t.spark, "trigrams"))
+    return _TRIGRAMS[key]
+
+
+def texts(t):
+    """The queries of TEXTS_SQL."""
+    part = t.part
+    name = c("p_name")
+
+    def asked(df, key, of, text):
+        return df.select(F.concat(F.lit(key), of).alias("query_id"), text.alias("text"))
+
+    parts = [
+        asked(part, "k", c("p_type"), c("p_type")), asked(part, "m", c("p_brand"), F.lower("p_brand")),
+        asked(part, "n", name, F.concat(F.lit(" "), name, F.lit("  "))),
+        asked(part, "p", name, F.concat(F.replace(name, F.lit(" "), F.lit("%")), F.lit("%#_"))),
+        asked(part, "q", F.left(name, F.lit(2)), F.left(name, F.lit(2)))]
+    out = asked(t.benchmark, "b", c("item_id"), c("text"))
+    for p in parts:
+        out = out.unionByName(p.distinct())
+    return out
+
+
 def _plain(texts: pd.Series) -> pd.Series:
     """A stand-in for a user's model: length and letter counts; short texts fail."""
     return texts.map(lambda s: np.array([len(s), s.count("e"), 1.0], dtype="float32") if len(s) >= 200 else None)
@@ -114,33 +150,37 @@ def register(r: Registry) -> None:
 
     r.add("a29_vector_sink", stored, f"select id scheme_id, 'hashed-tf' embedding_model, cast(32 as bigint) dim, left({TEXT_SQL}, 2000) as embedding_text "
           "from f_schemes where data_quality_score >= 40", "f_schemes")
-    word = "({} ilike '%{}%')"
-    cols = ("name", "coalesce(description,'')", "coalesce(ministry,'')", "scheme_code")
-    page = "row_number() over (order by data_quality_score desc, created_at desc, id)"
-    keyword_sql = " union all ".join(
-        f"select '{q}' query_id, {page} as rank, id scheme_id from f_schemes where status = 'active' and "
-        f"({' or '.join(word.format(x, w) for x in cols)})" for q, w in KEYWORDS.items())
-    r.add("e10_keyword_listing", lambda t: P.keyword_top(t.f_schemes, KEYWORDS, 20).select("query_id", big("rank").alias("rank"), "scheme_id"),
-          f"select * from ({keyword_sql}) where rank <= 20", "f_schemes")
+    fields = [f"{x} ilike '%' || text || '%'" for x in ("name", "description", "ministry", "scheme_code")]
+    page = "data_quality_score desc, created_at desc, id"
+    words_sql = f"""texts as (select query_id, trim(text) as text from ({TEXTS_SQL})),
+        kw as (select query_id, row_number() over (partition by query_id order by {page}) as rank, id as scheme_id
+         from texts join f_schemes on {' or '.join(fields)} where status = 'active')"""
+    r.add("e10_keyword_listing", lambda t: P.keyword_top(t.f_schemes, texts(t), trigram_index(t), 20).select(
+        "query_id", big("rank").alias("rank"), "scheme_id"),
+        f"with {words_sql} select * from kw where rank <= 20", "f_schemes")
+    r.add("f06_trigram_matches", lambda t: T.matches(texts(t), trigram_index(t)).groupBy("query_id").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id")),
+        f"with texts as (select query_id, trim(text) as text from ({TEXTS_SQL})) select query_id, count(*) as n, min(id) as first_id from texts join f_schemes on {' or '.join(fields)} group by 1", "f_schemes")
 
     def hybrid(t):
-        # the vectors asked with come out of the data: the mean vector of a label
-        means = t.embeddings.groupBy("label").agg(F.array(*[F.avg(c("embedding")[i]) for i in range(DIM)]).alias("v"))
-        top = {x.label: x.v for x in means.where("label in (0, 1)").collect()}
-        queries = [
-            {"id": "blank", "text": "  ", "vector": top[0]},
-            {"id": "q1", "text": KEYWORDS["q1"], "vector": None},
-            {"id": "q2", "text": KEYWORDS["q2"], "vector": [0.0] * DIM},
-            {"id": "v1", "text": "anything", "vector": top[1]},
-        ]
-        return P.hybrid(t.f_schemes, vectors(t), queries, K).select("query_id", big("rank").alias("rank"), "scheme_id", "method")
-
-    r.add("e10_hybrid", hybrid, f"""with m as (select list(x order by i) v from (select i, avg(embedding[i]) x from embeddings, unnest(range(1, {DIM + 1})) as u(i) where label = 1 group by i)),
-        kw as ({keyword_sql}), vx as (select scheme_id, row_number() over (order by sim desc, scheme_id) as rank from (select cast(vec_id as varchar) scheme_id,
-         round(list_cosine_similarity(cast(embedding as double[]), v), 6) sim from embeddings, m) join f_schemes on id = scheme_id where status = 'active')
-        select 'blank' query_id, rank, scheme_id, 'listing' as method from (select {page} as rank, id scheme_id from f_schemes where status = 'active') where rank <= {K}
-        union all select query_id, rank, scheme_id, 'keyword' from kw where rank <= {K} and query_id in ('q1', 'q2')
-        union all select 'v1', rank, scheme_id, 'vector' from vx where rank <= {K}""", "f_schemes")
+        # the vectors asked with come out of the data: the mean vector of every label, with a text
+        means = t.embeddings.groupBy("label").agg(F.array(*[F.avg(c("embedding")[i]) for i in range(DIM)]).alias("embedding"))
+        asked = means.select(F.concat(F.lit("v"), "label").alias("query_id"), F.lit("anything").alias("text"), "embedding")
+        no_vector = F.lit(None).cast("array<double>")
+        zero = F.array_repeat(F.lit(0.0), DIM)
+        worded = texts(t).withColumn("embedding", F.when(c("query_id") < "p", no_vector).otherwise(zero))
+        blank = asked.select(F.concat(F.lit("blank"), "query_id").alias("query_id"), F.lit("  ").alias("text"), "embedding")
+        return P.hybrid(t.f_schemes, vectors(t), asked.unionByName(worded).unionByName(blank), trigram_index(t), K).select(
+            "query_id", big("rank").alias("rank"), "scheme_id", "method")
+
+    r.add("e10_hybrid", hybrid, f"""with {words_sql},
+        m as (select label, list(x order by i) v from (select label, i, avg(embedding[i]) x from embeddings, unnest(range(1, {DIM + 1})) as u(i) group by all) group by label),
+        vx as (select label, scheme_id, row_number() over (partition by label order by sim desc, scheme_id) as rank from (select label, scheme_id,
+         round(list_cosine_similarity(e, v), 6) sim from m, (select cast(vec_id as varchar) scheme_id, cast(embedding as double[]) e from embeddings)) join f_schemes on id = scheme_id where status = 'active')
+        select 'blankv' || label as query_id, rank, scheme_id, 'listing' as method
+         from m, (select row_number() over (order by {page}) as rank, id scheme_id from f_schemes where status = 'active') where rank <= {K}
+        union all select query_id, rank, scheme_id, 'keyword' from kw where rank <= {K}
+        union all select 'v' || label, rank, scheme_id, 'vector' from vx where rank <= {K}""", "f_schemes")
     r.add("j02_embedding_provider", lambda t: VX.embed(t.documents, "text", F.pandas_udf(_plain, "array<float>"), "plain").select(
         "doc_id", big("embedding_dim").alias("dim"), "embedding_model", F.coalesce(c("embedding")[0].cast("double"), F.lit(-1.0)).alias("length")),
         "select doc_id, cast(case when len(text) >= 200 then 3 else 0 end as bigint) dim, case when len(text) >= 200 then 'plain' else '' end embedding_model, "
