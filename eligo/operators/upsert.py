@@ -24,27 +24,47 @@ def keyed(catalog: DataFrame) -> DataFrame:
     return catalog if "dedup_key" in catalog.columns else with_key(catalog)
 
 
-def plan(batch: DataFrame, catalog: DataFrame, incremental: bool = True) -> DataFrame:
+def record_hash(records: DataFrame) -> Column:
+    """A hash of what a record says, whatever else was in its payload and whenever it came."""
+    aside = {"content_hash", "payload_hash", "created_at", "updated_at", "verified_at", "id", "slug", "data_version", "source_url"}
+    return F.sha2(snapshot(records.drop(*aside)), 256)
+
+
+REVIEWED = ("verification_status", "verified_at")
+
+
+def plan(batch: DataFrame, catalog: DataFrame, incremental: bool = True, keep_better: bool = False) -> DataFrame:
     """The batch with ``action``: insert, update or skip.
 
     Both sides come down to one row per key, so the join has no hot key, and
-    only key, id, hash and version of the catalog are read. A record is skipped
-    when its content hash is known and unchanged. A catalog's ``created_at`` comes
+    only key, id, hash and a few more columns of the catalog are read. A record is
+    skipped when its content hash is known and unchanged. A catalog's ``created_at`` comes
     along as ``stored_created_at``, so that an update keeps it.
+
+    With ``keep_better`` a record of another source than the stored one replaces it only if its quality is no less, and
+    what a reviewer has verified stays verified.
     """
+    have = set(catalog.columns) if keep_better else set()
     created = [c("created_at").alias("stored_created_at")] if "created_at" in catalog.columns else []
+    own = [c(x).alias(f"_{x}") for x in ("data_quality_score", "source_url", *REVIEWED) if x in have]
     stored = best_per_key(keyed(catalog).select(
         "dedup_key", c("id").alias("_id"), c("content_hash").alias("_hash"),
-        (c("data_version") if "data_version" in catalog.columns else F.lit(1)).alias("_version"), *created,
+        (c("data_version") if "data_version" in catalog.columns else F.lit(1)).alias("_version"), *created, *own,
     ), ["dedup_key"], [c("_id").asc()])
     same = F.coalesce(c("content_hash") == c("_hash"), F.lit(False)) & F.lit(incremental)
+    if {"data_quality_score", "source_url"} <= have:
+        other = ~c("source_url").eqNullSafe(c("_source_url"))
+        same = same | (other & F.coalesce(c("data_quality_score") < c("_data_quality_score"), F.lit(False)))
     action = F.when(c("_id").isNull(), "insert").when(same, "skip").otherwise("update")
     joined = batch.join(stored, "dedup_key", "left")
+    if set(REVIEWED) <= have:
+        seen = c("_verified_at").isNotNull()
+        joined = joined.withColumns({x: F.when(seen, c(f"_{x}")).otherwise(c(x)) for x in REVIEWED if x in joined.columns})
     return joined.withColumns({
         "action": action,
         "id": F.coalesce("_id", scheme_id(c("dedup_key"))),
         "data_version": F.when(c("_id").isNull(), 1).otherwise(c("_version") + F.when(same, 0).otherwise(1)),
-    }).drop("_id", "_hash", "_version")
+    }).drop("_id", "_hash", "_version", *(f"_{x}" for x in ("data_quality_score", "source_url", *REVIEWED)))
 
 
 def merge(catalog: DataFrame, planned: DataFrame) -> DataFrame:
@@ -94,7 +114,8 @@ def provenance(records: DataFrame, checked_at: Column) -> DataFrame:
     return records.select(
         c("id").alias("scheme_id"),
         F.coalesce(X.text_or(c("source_url"), c("official_source_url")), F.lit("")).alias("source_url"),
-        "source_type", c("source_name").alias("publisher"), checked_at.alias("checked_at"), "content_hash",
+        "source_type", c("source_name").alias("publisher"), checked_at.alias("checked_at"),
+        c("payload_hash" if "payload_hash" in records.columns else "content_hash").alias("content_hash"),
         F.lit(200).alias("http_status"),
         F.when(c("source_type") == "api", "primary").otherwise("secondary").alias("authority_level"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -72,7 +74,10 @@ def stages(payloads: DataFrame, catalog: DataFrame | None = None, dim: DataFrame
     if cut:
         checked = cut_lineage(checked, "checked")
     unique = dedup.dedup(checked.where("valid"))
-    planned = upsert.with_slug(upsert.plan(unique, catalog, incremental)) if catalog is not None else None
+    planned = None
+    if catalog is not None:
+        records = unique.withColumns({"payload_hash": c("content_hash"), "content_hash": upsert.record_hash(unique)})
+        planned = upsert.with_slug(upsert.plan(records, catalog, incremental, keep_better=True))
     return Stages(fetched, parsed, normalized, checked, unique, planned)
 
 
@@ -115,88 +120,129 @@ def error_messages(fetched: DataFrame) -> DataFrame:
     return fetched.where("outcome = 'failed'").select("url", fetches.failure_message().alias("message"))
 
 
-def output_tables(st: Stages, catalog: DataFrame, now, model=None, model_name: str = vectors.HASHED) -> dict[str, DataFrame]:
-    """What the job writes: the next catalog and the rows added to each child table."""
-    written = st.planned.where("action <> 'skip'")
-    created = F.coalesce("stored_created_at", now) if "stored_created_at" in st.planned.columns else now
-    stored = st.planned.withColumns({"updated_at": now, "created_at": created}).drop("stored_created_at", *IN_FLIGHT)
-    return {
-        "schemes": upsert.merge(catalog.drop(*IN_FLIGHT), stored),
-        "scheme_eligibility_rules": upsert.rules(written),
-        "scheme_benefits": upsert.benefits(written),
-        "scheme_documents": upsert.documents(written),
-        "scheme_locations": upsert.locations(written),
-        "scheme_sources": upsert.provenance(written, now),
-        "scheme_versions": upsert.versions(st.planned, now),
-        "scheme_embeddings": vectors.embedding_rows(written, model, model_name),
-    }
+IN_FLIGHT = ("errors", "warnings", "valid", "ingest_ord", "_source_id", "payload_hash")  # columns of the job, not of the catalog
+CATALOG_COLUMNS = ("id string, dedup_key string, name string, scheme_code string, government_level string, "
+                   "ministry string, content_hash string, data_version int")
+REPLACED = ("scheme_eligibility_rules", "scheme_benefits", "scheme_documents", "scheme_locations")  # by scheme
+ONE_PER_MODEL = "scheme_embeddings"
+ADDED = ("scheme_sources", "scheme_versions", "fetch_log", "rejected_records", "rejected_payloads")  # rows are only ever added
 
 
-IN_FLIGHT = ("errors", "warnings", "valid", "ingest_ord", "_source_id")  # columns of the job, not of the catalog
+class Conflict(RuntimeError):
+    """Another run has written the store since this one read it. Nothing of this run counts; it may be run again."""
 
 
 class Store:
     """Catalog tables in a shared folder, one generation per run.
 
-    A generation is a full set of tables and counts as present once its marker
-    is written; a run that dies leaves the one before in force, and a run made
-    again under the same number replaces what it left. The marker names the
-    writer, so that a stream knows its own batches from what others wrote.
+    A run writes into a folder of its own. Tables of schemes and of what belongs to them are filed by a hash of the
+    scheme's id, and a run writes the buckets it changes only; other tables are added to. A generation is the list of
+    folders that make up every table, with their schema. It is written last, under the next number, and only if nobody has written that
+    number before: so a run that dies changes nothing, and of two runs that read the same generation one fails with
+    Conflict. A generation names its writer, so that a stream knows its own batches from what others wrote.
     """
 
     MARK = "_complete"
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def generations(self) -> list[int]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
-        done = [int(n[4:]) for n in names if n.startswith("gen=")
-                and self._fs.exists(self._path(f"{self.path}/{n}/{self.MARK}"))]
-        return sorted(done)
-
-    def read(self, table: str, before: int | None = None) -> DataFrame | None:
-        """A table of the newest generation (older than ``before``)."""
+        return sorted(int(n[4:]) for n in self._names(self.path) if n.startswith("gen=")
+                      and self._fs.exists(self._path(f"{self.path}/{n}/{self.MARK}")))
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def manifest(self, gen: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/gen={gen}/{self.MARK}"))
+        found = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return json.loads(found)
+
+    def _newest(self, before: int | None = None) -> dict:
         gens = [g for g in self.generations() if before is None or g < before]
-        if not gens:
+        return self.manifest(gens[-1]) if gens else {"writer": "", "buckets": self.buckets, "tables": {}}
+
+    def read(self, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """A table of the newest generation (older than ``before``), or of some of its buckets."""
+        entry = self._newest(before)["tables"].get(table)
+        if entry is None:
             return None
-        path = f"{self.path}/gen={gens[-1]}/{table}"
-        return self.spark.read.parquet(path) if self._fs.exists(self._path(path)) else None
+        schema = self.spark.createDataFrame([], "x int").schema.fromJson(entry["schema"])
+        folders = [f for b, f in entry["folders"] if buckets is None or b in (None, *buckets)]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
+        return found if buckets is None else found.where(self.bucket(table, self._newest(before)["buckets"]).isin(buckets))
+
+    def bucket(self, table: str, buckets: int):
+        return F.pmod(F.xxhash64(c("id" if table == "schemes" else "scheme_id").cast("string")), F.lit(buckets)).cast("int")
 
     def write(self, gen: int, tables: dict[str, DataFrame], writer: str = "") -> None:
-        """Takes the marker away, writes the tables, and marks the generation last."""
-        mark = self._path(f"{self.path}/gen={gen}/{self.MARK}")
-        self._fs.delete(mark, False)
+        """Writes whole tables as generation ``gen``, in place of one of that number."""
+        self._fs.delete(self._path(f"{self.path}/gen={gen}/{self.MARK}"), False)
+        run, entries = f"run={uuid.uuid4().hex}", {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/gen={gen}/{name}")
-        out = self._fs.create(mark, True)
-        out.write(bytearray(writer, "utf-8"))
+            df.write.parquet(f"{self.path}/{run}/{name}")
+            entries[name] = {"schema": df.schema.jsonValue(), "folders": [[None, f"{run}/{name}"]]}
+        self._commit(gen, {"writer": writer, "buckets": self.buckets, "tables": entries})
+
+    def merge(self, base: int | None, replaced: dict[str, tuple[list[int], DataFrame]], added: dict[str, DataFrame], writer: str = "") -> int:
+        """Writes the generation after ``base``: buckets of tables in place of theirs, and rows added to tables.
+
+        ``replaced`` has the touched buckets of a table and all rows that are in them from now on.
+        """
+        before = self.manifest(base) if base is not None else {"buckets": self.buckets, "tables": {}}
+        run, entries = f"run={uuid.uuid4().hex}", dict(before["tables"])
+        for name, (touched, df) in replaced.items():
+            old = entries.get(name, {"folders": []})["folders"]
+            if any(b is None for b, _ in old):  # a table written whole is filed by buckets from now on
+                touched, df = list(range(before["buckets"])), df
+            if touched:
+                filed = df.withColumn("_bucket", self.bucket(name, before["buckets"]))
+                filed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{run}/{name}")
+            new = [[int(n[8:]), f"{run}/{name}/{n}"] for n in self._names(f"{self.path}/{run}/{name}") if n.startswith("_bucket=")]
+            entries[name] = {"schema": df.schema.jsonValue(), "folders": [x for x in old if x[0] is not None and x[0] not in touched] + new}
+        for name, df in added.items():
+            old = entries.get(name, {"folders": []})["folders"]
+            if not df.isEmpty():
+                df.write.parquet(f"{self.path}/{run}/{name}")
+                old = [*old, [None, f"{run}/{name}"]]
+            entries[name] = {"schema": df.schema.jsonValue(), "folders": old}
+        gen = 1 if base is None else base + 1
+        self._commit(gen, {"writer": writer, "buckets": before["buckets"], "tables": entries})
+        return gen
+
+    def _commit(self, gen: int, manifest: dict) -> None:
+        """The one step that makes a generation; it fails if that is there, also if it has come this moment."""
+        mark = self._path(f"{self.path}/gen={gen}/{self.MARK}")
+        draft = self._path(f"{self.path}/gen={gen}/_draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
         out.close()
+        if self._fs.exists(mark) or not self._fs.rename(draft, mark):
+            self._fs.delete(draft, False)
+            raise Conflict(f"generation {gen} is there already")
 
     def writers(self) -> dict[int, str]:
         """Who wrote each complete generation."""
-        found = {}
-        for gen in self.generations():
-            mark = self._path(f"{self.path}/gen={gen}/{self.MARK}")
-            stream = self._fs.open(mark)
-            found[gen] = bytes(stream.readAllBytes()).decode()
-            stream.close()
-        return found
+        return {gen: self.manifest(gen)["writer"] for gen in self.generations()}
 
 
-CATALOG_COLUMNS = ("id string, dedup_key string, name string, scheme_code string, government_level string, "
-                   "ministry string, content_hash string, data_version int")
-REPLACED = ("scheme_eligibility_rules", "scheme_benefits", "scheme_documents", "scheme_locations")
-ONE_PER_MODEL = "scheme_embeddings"
+def _touched(store: Store, table: str, buckets: int, *rows: DataFrame) -> list[int]:
+    """Buckets in which some of the rows lie; there are as many as the store has at most."""
+    found = set()
+    for df in rows:
+        found |= {r["b"] for r in df.select(store.bucket(table, buckets).alias("b")).distinct().collect()}
+    return sorted(found)
 
 
-def run(payloads: DataFrame, store: Store, gen: int | None = None, source_ids: list[str] | None = None,
+def run(payloads: DataFrame, store: Store, source_ids: list[str] | None = None,
         limit: int | None = None, dry_run: bool = False, incremental: bool = True,
         category: str | None = None, min_quality: int = K.MIN_QUALITY, parsers=None, model=None,
         model_name: str = vectors.HASHED, restrict: bool = True, writer: str = "") -> Result:
@@ -205,18 +251,19 @@ def run(payloads: DataFrame, store: Store, gen: int | None = None, source_ids: l
     ``restrict`` keeps registered, enabled sources only (or those asked for).
     A dry run stops after dedup and writes nothing to the store. ``writer`` is
     recorded with the generation written.
+
+    Only buckets of schemes that the run inserts or updates are written again, and a vector is made only where the
+    model has none of the record's content yet. Records that fail validation and payloads that are no JSON are kept in
+    tables of their own.
     """
     spark = payloads.sparkSession
     gens = store.generations()
-    gen = gen if gen is not None else (gens[-1] + 1 if gens else 1)
-    old = {n: store.read(n, before=gen) for n in (
-        "schemes", "scheme_sources", "scheme_versions", ONE_PER_MODEL, *REPLACED)}
-    catalog = old["schemes"]
+    base = gens[-1] if gens else None
+    catalog = store.read("schemes")
     if catalog is None:
         catalog = spark.createDataFrame([], CATALOG_COLUMNS)
-    known = None
-    if incremental and old["scheme_sources"] is not None:
-        known = fetches.latest_hashes(old["scheme_sources"])
+    log = store.read("fetch_log")
+    known = fetches.latest_hashes(log) if incremental and log is not None else None
     dim = registry.pick(registry.sources(spark), source_ids) if restrict else None
     st = stages(payloads, None if dry_run else catalog, dim, known, category, limit, min_quality,
                 incremental, parsers, cut=True)
@@ -225,17 +272,48 @@ def run(payloads: DataFrame, store: Store, gen: int | None = None, source_ids: l
     st.planned = cut_lineage(st.planned, "planned")
     counted = stats(st).first().asDict()
     now = F.current_timestamp()
-    new = output_tables(st, catalog, now, model, model_name)
-    touched = st.planned.where("action <> 'skip'").select(c("id").alias("scheme_id"))
-    for name, df in list(new.items()):
-        before = old.get(name)
-        if name == "schemes" or before is None:
-            continue
-        if name in REPLACED:
-            before = before.join(touched, "scheme_id", "left_anti")
-        elif name == ONE_PER_MODEL:  # a vector goes only where the same model made a new one
-            df = cut_lineage(df, "embedded")
-            before = before.join(df.select("scheme_id", "embedding_model"), ["scheme_id", "embedding_model"], "left_anti")
-        new[name] = before.unionByName(df, allowMissingColumns=True)
-    store.write(gen, new, writer)
-    return Result(counted, {n: store.read(n) for n in new})
+    buckets = store.manifest(base)["buckets"] if base is not None else store.buckets
+    written = st.planned.where("action <> 'skip'")
+    touched = _touched(store, "schemes", buckets, written)
+
+    def whole(name: str) -> bool:
+        """A table that was written whole is filed by buckets at its first touch, so all of it is read once."""
+        entry = store._newest()["tables"].get(name, {"folders": []})
+        return any(b is None for b, _ in entry["folders"])
+
+    def before(name: str, some: list[int]) -> DataFrame | None:
+        return store.read(name) if whole(name) else store.read(name, buckets=some)
+
+    replaced = {}
+    created = F.coalesce("stored_created_at", now) if "stored_created_at" in written.columns else now
+    stored = written.withColumns({"updated_at": now, "created_at": created}).drop("stored_created_at", "action", *IN_FLIGHT)
+    ids = written.select("id")
+    kept = before("schemes", touched)
+    if kept is not None:
+        stored = kept.drop(*IN_FLIGHT).join(ids, "id", "left_anti").unionByName(stored, allowMissingColumns=True)
+    replaced["schemes"] = touched, stored
+    of = ids.withColumnRenamed("id", "scheme_id")
+    for name, make in zip(REPLACED, (upsert.rules, upsert.benefits, upsert.documents, upsert.locations)):
+        rows, kept = make(written), before(name, touched)
+        if kept is not None:
+            rows = kept.join(of, "scheme_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+        replaced[name] = touched, rows
+    vectors_before = store.read(ONE_PER_MODEL)
+    fresh = vectors.to_embed(written, vectors_before, model_name) if vectors_before is not None else written
+    rows = cut_lineage(vectors.embedding_rows(fresh, model, model_name), "embedded")
+    some = _touched(store, ONE_PER_MODEL, buckets, rows)
+    kept = before(ONE_PER_MODEL, some)
+    if kept is not None:  # a vector goes only where the same model made a new one
+        same = rows.select("scheme_id", "embedding_model")
+        rows = kept.join(same, ["scheme_id", "embedding_model"], "left_anti").unionByName(rows, allowMissingColumns=True)
+    replaced[ONE_PER_MODEL] = some, rows
+    landed = st.fetched.where("outcome = 'ok'").select(c("url").alias("source_url"), "content_hash", now.alias("checked_at"))
+    added = {
+        "scheme_sources": upsert.provenance(written, now),
+        "scheme_versions": upsert.versions(st.planned.drop("payload_hash"), now),
+        "fetch_log": landed,
+        "rejected_records": st.checked.where(~c("valid")).select("name", "scheme_code", "source_url", "errors", now.alias("rejected_at")),
+        "rejected_payloads": dispatch.unreadable(st.fetched.where("outcome = 'ok'")).select("url", "source_id", now.alias("rejected_at")),
+    }
+    store.merge(base, replaced, added, writer)
+    return Result(counted, {n: store.read(n) for n in [*replaced, *added]})
