@@ -28,14 +28,21 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def _told_apart(df: DataFrame, order: str) -> Column:
+    """Tells records apart that arrived at one place, such as a url fetched twice: a hash of all they say."""
+    return F.xxhash64(*[c(x) for x in sorted(df.columns) if x not in (order, "dedup_key")])
+
+
 def dedup(df: DataFrame, order: str = "ingest_ord") -> DataFrame:
     """Per key the record of highest quality, the earliest among equals."""
-    return best_per_key(with_key(df), ["dedup_key"], [c("data_quality_score").desc(), c(order).asc()])
+    return best_per_key(with_key(df), ["dedup_key"], [c("data_quality_score").desc(), c(order).asc(), _told_apart(df, order).asc()])
 
 
 def losers(df: DataFrame, kept: DataFrame, order: str = "ingest_ord") -> DataFrame:
-    """The records dedup dropped. ``order`` is unique, so this join has no hot key."""
-    return with_key(df).join(kept.select(order), order, "left_anti")
+    """The records dedup dropped; records equal in place and content count as one. Both sides of the join have one row
+    for each place and content, so it has no hot key."""
+    told = df.withColumn("_told", _told_apart(df, order))
+    return with_key(told).join(kept.select(order, _told_apart(df, order).alias("_told")), [order, "_told"], "left_anti").drop("_told")
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:

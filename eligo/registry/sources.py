@@ -176,6 +176,14 @@ def register(r: Registry) -> None:
         """select 'https://api.example.org/p/' || p_partkey url, cast(i as bigint) i, p_name || ' feed' title, cast(p_size * 100000 as double) loan, p_size % 2 = 0 udyam_required,
         'Goa|Kerala' states, 'Credit line' benefits, 'women|men' genders from part, unnest(case when p_partkey % 4 = 0 then [0, 2] else [0] end) as u(i)
         where p_partkey % 3 = 2 and p_partkey % 4 in (0, 1)""")
+    odd = """concat('{"title":"first ', p_name, '","title":"', p_name, '","loan_amount_max":', case when p_partkey % 3 = 0 then '0' else '-250.5' end,
+        ',"subsidy_percentage":NaN,"udyam_required":false,"benefits":""}')"""
+    r.add("a17_odd_json", lambda t: json_records.generic(binary(t.part.selectExpr(
+        "concat('https://odd.example.org/', p_partkey) as url", "'partner_feed' as source_id", "200 as status", "cast(null as string) as error",
+        f"{odd} as content"))).select(
+        c("_source_url").alias("url"), "title", "loan_amount_max", c("subsidy_percentage").isNull().alias("no_subsidy"), "udyam_required", "benefits"),
+        """select 'https://odd.example.org/' || p_partkey as url, p_name as title, case when p_partkey % 3 = 0 then '0' else '-250.5' end as loan_amount_max,
+        true as no_subsidy, false as udyam_required, '' as benefits from part""")
     rest = "regexp_extract(content, '(?s)</h2>(.*)</article>', 1)"
     r.add("a18_card_listing", lambda t: html_records.card_listing(binary(t.f_cards)).select(
         c("_source_url").alias("url"), "name", "description", F.coalesce("application_url", F.lit("")).alias("link")),

@@ -1,7 +1,15 @@
-"""JSON payloads to raw records, through the VARIANT type."""
+"""JSON payloads to raw records, through the VARIANT type.
+
+What that type refuses though it can be read (keys given twice, of which the last counts, NaN and infinities, which count as
+null, byte order marks) is read by Python's parser, in Arrow batches, and written again as plain JSON.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +37,11 @@ def _holds(v: Column) -> Column:
     return ~F.to_json(v).isin(FALSY)
 
 
-def given(members: Column) -> Column:
+def given(members: Column, blanks: bool = False) -> Column:
     """The members of an object that hold something, with their values spelled out.
 
-    Null, blank, zero, false and empty values count as not given. A value keeps
+    Null, blank, zero, false and empty values count as not given, as they do where a field is the first of several that
+    holds something. With ``blanks`` only null does, and ``holds`` says which of the others hold something. A value keeps
     its text (numbers without an exponent), its items if it is a list, and
     whether it was a quoted text. Worked out once per object; the fields below
     are look-ups in this map.
@@ -44,9 +53,10 @@ def given(members: Column) -> Column:
             F.when(number, x.cast("double").cast("decimal(38,6)").cast("string")).otherwise(text).alias("text"),
             F.when(js.startswith("["), F.try_variant_get(x, "$", "array<string>")).alias("items"),
             js.startswith('"').alias("quoted"),
+            _holds(x).alias("holds"),
         )
 
-    return F.transform_values(F.map_filter(members, lambda _, x: _holds(x)), spell)
+    return F.transform_values(F.map_filter(members, lambda _, x: F.to_json(x) != "null" if blanks else _holds(x)), spell)
 
 
 # Field readers: SQL over ``rec``, the map of given values.
@@ -68,12 +78,40 @@ def items(*keys: str, separators: str = "[,;/]") -> str:
 
 
 def flag(*keys: str) -> str:
-    return "(" + " or ".join(f"rec['{k}'] is not null" for k in keys) + ")"
+    return "(" + " or ".join(f"coalesce(rec['{k}'].holds, false)" for k in keys) + ")"
+
+
+def _plain(value):
+    """A parsed value without numbers that JSON has no text for."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _rewritten(text: str | None) -> str | None:
+    try:
+        return json.dumps(_plain(json.loads(text.removeprefix("\ufeff"))), ensure_ascii=False) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def lenient(text: Column) -> Column:
+    """The JSON texts that Python's parser reads, written again; null for others."""
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series) -> pd.Series:
+        return texts.map(_rewritten, na_action="ignore").astype(object)
+
+    return rewrite(text)
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
     """Adds ``doc``, the payload as a variant; null where it is no JSON."""
-    return payloads.withColumn("doc", F.try_parse_json(decoded(c("content"))))
+    docs = payloads.withColumn("_text", decoded(c("content"))).withColumn("doc", F.try_parse_json("_text"))
+    # only refused texts go through Python
+    again = docs.withColumn("_again", lenient(F.when(c("doc").isNull(), c("_text"))))
+    return again.withColumn("doc", F.coalesce("doc", F.try_parse_json("_again"))).drop("_text", "_again")
 
 
 def unwrap(docs: DataFrame, keys: list[str], bare_list: bool = True) -> DataFrame:
@@ -89,11 +127,11 @@ def unwrap(docs: DataFrame, keys: list[str], bare_list: bool = True) -> DataFram
     return objects(top.withColumn("_records", F.coalesce(_list(first), bare)).drop("_members"))
 
 
-def objects(docs: DataFrame) -> DataFrame:
+def objects(docs: DataFrame, blanks: bool = False) -> DataFrame:
     """One row per object among the ``_records`` of a document, with its given values."""
     each = docs.drop("doc", "content").select("*", F.posexplode("_records").alias("record_index", "rec"))
     members = each.drop("_records").withColumn("rec", _dict(c("rec"))).where(c("rec").isNotNull())
-    return members.withColumn("rec", given(c("rec")))
+    return members.withColumn("rec", given(c("rec"), blanks))
 
 
 def with_ord(df: DataFrame) -> DataFrame:
@@ -162,10 +200,10 @@ def open_data_api(payloads: DataFrame) -> DataFrame:
 
 
 def generic(payloads: DataFrame) -> DataFrame:
-    """Any other JSON: each object is a record, its known keys are kept."""
+    """Any other JSON: each object is a record, its known keys are kept with the values they have, 0 and false included."""
     docs = parsed(payloads)
     one = F.when(_dict(c("doc")).isNotNull(), F.array(c("doc")))
-    rows = with_ord(objects(docs.withColumn("_records", F.coalesce(_list(c("doc")), one))))
+    rows = with_ord(objects(docs.withColumn("_records", F.coalesce(_list(c("doc")), one)), blanks=True))
     own = {"ingest_ord", "content_hash", "_source_url"}
     readers = {"boolean": flag, "array<string>": items}
     return _records(rows, {
