@@ -215,6 +215,23 @@ def by_id(schemes: DataFrame, children: dict[str, DataFrame], scheme_id: str) ->
     return one
 
 
+def details(ids: DataFrame, schemes: DataFrame, children: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
+    """The detail view of all ``ids`` (id): the response row with its child lists, and of ids that the catalog does not
+    have the seed's row, whose lists are empty. ``found_in`` says where a row comes from; an id known nowhere has none.
+
+    ``seeds`` has the response's columns. Children are cut to the ids asked for before they are grouped.
+    """
+    asked = ids.select("id").distinct()
+    stored = response(schemes.join(asked, "id", "left_semi")).withColumn("found_in", F.lit("catalog"))
+    rest = asked.join(schemes.select("id"), "id", "left_anti")
+    other = seeds.join(rest, "id", "left_semi").withColumn("found_in", F.lit("seed"))
+    out = stored.unionByName(other, allowMissingColumns=True)
+    for name, rows in children.items():
+        wanted = rows.join(asked.withColumnRenamed("id", "scheme_id"), "scheme_id", "left_semi")
+        out = nest(out.drop(name), wanted, name)
+    return out
+
+
 # ---- candidates per state ---------------------------------------------------
 
 ALL, OPEN, STATE, CLOSED = "all", "open", "state:", "closed"

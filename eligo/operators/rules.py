@@ -35,6 +35,19 @@ def holds(rule: Column, have: Column) -> Column:
     )
 
 
+def rules_of(rows: DataFrame) -> DataFrame:
+    """Each scheme's stored rule rows as one array ``rules``, in their order; a scheme has few, so the arrays stay short."""
+    fields = [x for x in rows.columns if x != "scheme_id"]
+    return rows.groupBy("scheme_id").agg(F.sort_array(F.collect_list(F.struct("position", *[x for x in fields if x != "position"]))).alias("rules"))
+
+
+def evaluate_stored(pairs: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """:func:`evaluate_rules` for pairs (scheme_id and a profile's ``fields``) with the stored rule rows of the schemes;
+    a scheme without rows has nothing to fail."""
+    met = pairs.join(rules_of(rows), "scheme_id", "left")
+    return evaluate_rules(met.withColumn("rules", F.coalesce("rules", F.array().cast(met.schema["rules"].dataType))), fields)
+
+
 def evaluate_rules(pairs: DataFrame, fields: list[str], rules: str = "rules") -> DataFrame:
     """Verdict columns for pairs that carry a scheme's ``rules`` and a profile's ``fields``.
 

@@ -40,3 +40,35 @@ def overview(schemes: DataFrame, n: int = TOP_MINISTRIES) -> DataFrame:
     rows = sets.select(section.alias("section"), F.coalesce("status", "verification_status").alias("key"), "count")
     top = top_ministries(schemes, n).select(F.lit("top_ministries").alias("section"), c("ministry").alias("key"), "count")
     return rows.unionByName(top)
+
+
+# ---- maintained roll-ups ----------------------------------------------------
+
+CELL = ["status", "verification_status", "ministry"]
+
+
+def rollup(schemes: DataFrame) -> DataFrame:
+    """Counts per status, verification status and ministry, from which all roll-ups above follow."""
+    return schemes.groupBy(*CELL).agg(F.count("*").alias("count"))
+
+
+def delta(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """What a run changes: the counts of the rows it wrote less those of the rows it replaced."""
+    new = rollup(after)
+    if before is None:
+        return new
+    both = new.unionByName(rollup(before).withColumn("count", -c("count")))
+    return both.groupBy(*CELL).agg(F.sum("count").alias("count")).where("count <> 0")
+
+
+def overview_of(deltas: DataFrame, n: int = TOP_MINISTRIES) -> DataFrame:
+    """:func:`overview` from the deltas of all runs; the catalog is not read."""
+    cells = deltas.groupBy(*CELL).agg(F.sum("count").alias("count")).where("count > 0")
+
+    def by(section: str, key: str | None, rows: DataFrame = cells) -> DataFrame:
+        name = c(key) if key else F.lit(None).cast("string")
+        return rows.groupBy(name.alias("key")).agg(F.sum("count").alias("count")).select(F.lit(section).alias("section"), "key", "count")
+
+    top = by("top_ministries", "ministry", cells.where(c("ministry").isNotNull())).orderBy(c("count").desc(), c("key").asc()).limit(n)
+    return by("total_schemes", None).unionByName(by("by_status", "status")).unionByName(
+        by("by_verification", "verification_status")).unionByName(top)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eligo import constants as K
 from eligo.operators import dedup, normalize, upsert, validate, vectors
+from eligo.operators import stats as stats_of
 from eligo.session import cut_lineage
 from eligo.sources import dispatch, fetches, registry
 
@@ -125,7 +126,7 @@ CATALOG_COLUMNS = ("id string, dedup_key string, name string, scheme_code string
                    "ministry string, content_hash string, data_version int")
 REPLACED = ("scheme_eligibility_rules", "scheme_benefits", "scheme_documents", "scheme_locations")  # by scheme
 ONE_PER_MODEL = "scheme_embeddings"
-ADDED = ("scheme_sources", "scheme_versions", "fetch_log", "rejected_records", "rejected_payloads")  # rows are only ever added
+ADDED = ("scheme_sources", "scheme_versions", "scheme_counts", "fetch_log", "rejected_records", "rejected_payloads")  # rows are only ever added
 
 
 class Conflict(RuntimeError):
@@ -288,8 +289,9 @@ def run(payloads: DataFrame, store: Store, source_ids: list[str] | None = None,
     created = F.coalesce("stored_created_at", now) if "stored_created_at" in written.columns else now
     stored = written.withColumns({"updated_at": now, "created_at": created}).drop("stored_created_at", "action", *IN_FLIGHT)
     ids = written.select("id")
-    kept = before("schemes", touched)
+    kept, changes = before("schemes", touched), stats_of.delta(None, stored)
     if kept is not None:
+        changes = stats_of.delta(kept.join(ids, "id", "left_semi"), stored)
         stored = kept.drop(*IN_FLIGHT).join(ids, "id", "left_anti").unionByName(stored, allowMissingColumns=True)
     replaced["schemes"] = touched, stored
     of = ids.withColumnRenamed("id", "scheme_id")
@@ -312,6 +314,7 @@ def run(payloads: DataFrame, store: Store, source_ids: list[str] | None = None,
         "scheme_sources": upsert.provenance(written, now),
         "scheme_versions": upsert.versions(st.planned.drop("payload_hash"), now),
         "fetch_log": landed,
+        "scheme_counts": changes,
         "rejected_records": st.checked.where(~c("valid")).select("name", "scheme_code", "source_url", "errors", now.alias("rejected_at")),
         "rejected_payloads": dispatch.unreadable(st.fetched.where("outcome = 'ok'")).select("url", "source_id", now.alias("rejected_at")),
     }

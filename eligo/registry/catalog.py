@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eligo.operators import bitmaps as B
 from eligo.operators import catalog as C
 from eligo.operators import normalize as N
 from eligo.operators import stats as ST
 from eligo.operators import upsert as U
 from eligo.registry.common import Registry, big, c, joined
+from eligo.session import new_table_path
 from eligo.sources import seed
 
 IDS = "select id from f_schemes where "
@@ -24,9 +26,21 @@ def _keyword(q: str) -> str:
 
 
 ALL_FACETS = " and ".join(["status = 'active'", STATE, CATEGORY, BUSINESS, GENDER, _keyword("brand#1_")])
+SOME_FACETS = " and ".join(["status = 'active'", STATE, CATEGORY, BUSINESS, GENDER])
 FACETS = dict(state="state7", category="sc", business_type="service", gender="female", query=" brand#1_ ")
 
 
+_BITMAPS: dict[tuple[str, str], B.Index] = {}
+
+
+def bitmap_index(t) -> B.Index:
+    """The numbered catalog with its facets' bitmaps, built and stored once for a session's tables."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _BITMAPS:
+        _BITMAPS[key] = B.build(t.f_schemes, new_table_path(t.spark, "bitmaps"))
+    return _BITMAPS[key]
+
+
 def seeds(t):
     """Seed records made from the catalog fixture."""
     s = t.f_schemes
@@ -128,6 +142,24 @@ def register(r: Registry) -> None:
     r.add("f10_listing", lambda t: C.listing(t.f_schemes, page=2, limit=5, **FACETS)[0].select("id", "name"),
           f"select id, name from f_schemes where {ALL_FACETS} "
           "order by data_quality_score desc, created_at desc, id limit 5 offset 5", "f_schemes")
+    some = {k: v for k, v in FACETS.items() if k != "query"}
+    r.add("f08_bitmap_counts", lambda t: B.facet_counts(bitmap_index(t), **some).select("facet", "value", big("count").alias("count")),
+          f"""with k as (select * from f_schemes where {SOME_FACETS}),
+          v as (select 'status' facet, status as value from k union all select 'state', unnest(states) from k
+           union all select 'state', '*' from k where coalesce(government_level = 'central', false) or len(states) = 0
+           union all select 'category', unnest(social_categories) from k union all select 'beneficiary', unnest(beneficiary_types) from k
+           union all select 'business', unnest(business_types) from k union all select 'business', '*' from k where len(business_types) = 0
+           union all select 'gender', unnest(gender_eligibility) from k union all select 'gender', '*' from k where len(gender_eligibility) = 0)
+          select facet, value, count(*) as count from v group by 1, 2""", "f_schemes")
+    r.add("f08_bitmap_total", lambda t: B.total(bitmap_index(t), **some).select(big("total").alias("total")),
+          f"select count(*) as total from f_schemes where {SOME_FACETS}", "f_schemes")
+    r.add("f09_numbered_page", lambda t: B.page(bitmap_index(t), 3, 20, status=None).select(
+        "id", big("data_quality_score").alias("quality")),
+        "select id, cast(data_quality_score as bigint) quality from f_schemes "
+        "order by data_quality_score desc, created_at desc, id limit 20 offset 40", "f_schemes")
+    r.add("f10_bitmap_page", lambda t: B.page(bitmap_index(t), 2, 5, **some).select("id", "name"),
+          f"select id, name from f_schemes where {SOME_FACETS} "
+          "order by data_quality_score desc, created_at desc, id limit 5 offset 5", "f_schemes")
     r.add("f11_seed_listing", lambda t: C.seed_listing(
         seed.to_response(seeds(t)), category="sc", business_type="SERVICE", gender="male", query="Plate", limit=100,
     ).select("id", "title"),
@@ -177,6 +209,24 @@ def register(r: Registry) -> None:
         "disability_eligibility disability_eligible from f_schemes", "f_schemes")
     r.add("f16_nested_children", _nested, NESTED_SQL, "f_schemes")
     r.add("a26_point_lookup", lambda t: _nested(t, "77"), NESTED_SQL + " where id = '77'", "f_schemes")
+    def details(t):
+        """Every scheme's detail view: active ones are stored, the others are known from the seeds only."""
+        s = with_children(t.f_schemes)
+        kids = {"eligibility_rules": U.rules(s), "benefits": U.benefits(s), "documents": U.documents(s),
+                "locations": U.locations(s).withColumn("position", F.coalesce("state_name", F.lit(""))),
+                "sources": U.provenance(s.withColumns({"source_url": c("official_application_url"), "source_type": F.lit("api"), "source_name": c("name"),
+                                                         "official_source_url": F.lit(None).cast("string")}),
+                                        F.lit("2024-01-01").cast("timestamp")).withColumn("position", F.lit(1))}
+        known = C.response(t.f_schemes)
+        out = C.details(t.f_schemes.select("id"), t.f_schemes.where("status = 'active'"), kids, known)
+        return out.select("id", "title", "found_in", *[big(F.size(x)).alias(f"n_{x}") for x in kids],
+                          joined(F.transform("locations", lambda x: F.coalesce(x["state_name"], F.lit("national")))).alias("places"),
+                          joined(F.transform("sources", lambda x: x["source_url"])).alias("urls"))
+
+    r.add("a26_details", details, f"""with k as (select *, {BENEFITS_SQL} b, {DOCUMENTS_SQL} d, {RULES_SQL} r, list_sort(states) st from f_schemes)
+        select id, name as title, case when status = 'active' then 'catalog' else 'seed' end found_in, cast(len(r) as bigint) n_eligibility_rules,
+        cast(len(b) as bigint) n_benefits, cast(len(d) as bigint) n_documents, cast(greatest(len(st), 1) as bigint) n_locations, cast(1 as bigint) n_sources,
+        case when len(st) = 0 then 'national' else array_to_string(st, '|') end places, official_application_url urls from k""", "f_schemes")
     r.add("f17_candidates", lambda t: C.candidates_by_state(t.f_profiles, t.f_schemes).select(
         "state", big("position").alias("position"), "scheme_id"),
         """with st as (select distinct state from f_profiles)
@@ -192,6 +242,20 @@ def register(r: Registry) -> None:
               f"select {col}, count(*) as count from f_schemes group by 1", "f_schemes")
     top = "select ministry, count(*) as count from f_schemes where ministry is not null group by 1 order by 2 desc, 1 limit 5"
     r.add("h04_top_ministries", lambda t: ST.top_ministries(t.f_schemes), top, "f_schemes")
+    def maintained(t):
+        """Three runs that each insert and change schemes, told by their deltas only."""
+        s = t.f_schemes
+        size = F.col("data_quality_score")
+        first, second = s.where(size < 60), s.where(size >= 60)
+        runs = [ST.delta(None, first.withColumn("status", F.lit("draft"))), ST.delta(None, second.withColumn("ministry", F.lit(None).cast("string"))),
+                ST.delta(first.withColumn("status", F.lit("draft")).unionByName(second.withColumn("ministry", F.lit(None).cast("string"))), s)]
+        return ST.overview_of(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+
+    r.add("h05_maintained", maintained,
+          f"""with m as ({top}) select 'total_schemes' section, null as key, count(*) as count from f_schemes
+          union all select 'by_status', status, count(*) from f_schemes group by status
+          union all select 'by_verification', verification_status, count(*) from f_schemes group by verification_status
+          union all select 'top_ministries', ministry, count from m""", "f_schemes")
     r.add("h05_overview", lambda t: ST.overview(t.f_schemes),
           f"""with m as ({top}) select 'total_schemes' section, null as key, count(*) as count from f_schemes
           union all select 'by_status', status, count(*) from f_schemes group by status

@@ -180,3 +180,26 @@ def register(r: Registry) -> None:
         return spark.read.schema("url string, content_hash string").parquet(out)
 
     r.add("i02_first_sightings", sightings, "select url, sha256(html) as content_hash from pages")
+
+    def newest(t):
+        """Every page landed, and in a second refresh a repeat, a late or a changed fetch of it, or a repeat and a change."""
+        spark = t.spark
+        landing, out, mark = (new_table_path(spark, n) for n in ("pages", "newest", "offsets"))
+        at = F.expr("timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, 0, 0, cast(page_id % 600 as int))")
+        first = t.pages.select("page_id", "url", c("html").alias("content"), at.alias("fetched_at"))
+        kind, other = c("page_id") % 4, F.concat("content", F.lit("<!-- new -->"))
+        hour = F.expr("interval 1 hour")
+        again = first.where(kind.isin(0, 3)).withColumn("fetched_at", c("fetched_at") + hour)
+        late = first.where(kind == 1).withColumns({"content": other, "fetched_at": c("fetched_at") - hour})
+        changed = first.where(kind.isin(2, 3)).withColumns({"content": other, "fetched_at": c("fetched_at") + hour + hour})
+        for part in (first, again.unionByName(late).unionByName(changed)):
+            part.drop("page_id").write.mode("append").parquet(landing)
+            stream = spark.readStream.schema("url string, content string, fetched_at timestamp").parquet(landing)
+            (SI.newest_fetches(stream).select("url", "content_hash", "fetched_at").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+        return spark.read.schema("url string, content_hash string, fetched_at timestamp").parquet(out).select(
+            "url", "content_hash", F.hour("fetched_at").cast("bigint").alias("hour"))
+
+    r.add("i02_newest_fetches", newest, """with p as (select *, timestamp '2024-01-01 12:00:00' + to_minutes(page_id % 600) as landed from pages)
+        select url, sha256(html) as content_hash, hour(landed) as hour from p
+        union all select url, sha256(html || '<!-- new -->'), hour(landed + interval 2 hour) from p where page_id % 4 in (2, 3)""")

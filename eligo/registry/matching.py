@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from eligo import schemas as S
 from eligo.operators import matching as M
 from eligo.operators import rules as R
+from eligo.operators import upsert as U
 from eligo.registry.catalog import BENEFITS_SQL, DEMOS_SQL, DOCUMENTS_SQL, with_children
 from eligo.registry.common import Registry, big, c, joined
+from eligo.session import cut_lineage
 
 USES = "f_profiles f_schemes f_links"
 LOW = "list_transform({x}, lambda v: lower(v))"
@@ -257,6 +259,14 @@ def register(r: Registry) -> None:
     r.add("g21_stored_rules", lambda t: R.evaluate_rules(rule_pairs(t), RULE_FIELDS).select(
         "profile_id", "scheme_id", "rules_tested", "rules_met", joined(c("failed_rules")).alias("failed_rules"),
         "rules_passed"), RULES_SQL, USES)
+    def from_rows(t):
+        """Rules written as the job stores them, one row each, and read back."""
+        made = rule_pairs(t).select(c("scheme_id").alias("id"), c("rules").alias("eligibility_rules")).dropDuplicates(["id"])
+        rows = cut_lineage(U.rules(made), "rule-rows")
+        return R.evaluate_stored(t.f_links.join(t.f_profiles, "profile_id"), rows, RULE_FIELDS).select(
+            "profile_id", "scheme_id", "rules_tested", "rules_met", joined(c("failed_rules")).alias("failed_rules"), "rules_passed")
+
+    r.add("g21_rule_rows", from_rows, RULES_SQL, USES)
     r.add("j03_explanation_provider", lambda t: M.match_table(t.f_profiles, t.f_schemes, explain=shout, k=3).select(
         c("entrepreneur_id").alias("profile_id"), "scheme_id", "ai_reasoning"),
         RANKED + "select profile_id, scheme_id, full_name || ' / ' || upper(name) || ' / ' || len(factors) ai_reasoning "

@@ -147,3 +147,20 @@ def test_updates_keep_dates_and_other_models_vectors(spark, store):
     assert third.stats["updated"] == 1 and after.created_at == before.created_at and after.updated_at > before.updated_at
     assert sorted(r.embedding_model for r in third.tables["scheme_embeddings"].collect()) == sorted(
         ["other", vectors.first().embedding_model])
+
+
+def test_a_refresh_leaves_out_repeats_and_late_fetches(spark, store, tmp_path):
+    landing, mark = str(tmp_path / "in"), str(tmp_path / "ck")
+
+    def land(minute, *rows):
+        at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr(f"interval {minute} minutes")
+        payloads(spark, *rows).withColumn("fetched_at", at).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(PAYLOAD + ", fetched_at timestamp").parquet(landing)
+        streaming.refresh(stream, store, mark, time="fetched_at").awaitTermination()
+
+    url = "https://a.example.org/7"
+    land(10, (url, 200, [record(7, benefits="first")]))
+    land(5, (url, 200, [record(7, benefits="late")]))
+    assert store.read("schemes").first().benefits_text == "first" and store.read("scheme_versions").count() == 1
+    land(20, (url, 200, [record(7, benefits="newer")]))
+    assert store.read("schemes").first().benefits_text == "newer" and store.read("schemes").first().data_version == 2

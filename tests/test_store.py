@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eligo.plans import ingest
-from eligo.operators import upsert
+from eligo.operators import stats, upsert
 from tests.test_ingest import A, B, payloads, record, store  # noqa: F401
 
 
@@ -33,6 +33,9 @@ def test_runs_write_what_they_change(spark, store):  # noqa: F811
         [(r.id, 1) for r in rows.values()] + [(rows["P2"].id, 2)])
     assert second.tables["scheme_embeddings"].count() == 3 and second.tables["fetch_log"].count() == 3
 
+    kept = store.read("schemes")
+    told, seen = ({tuple(r) for r in x.collect()} for x in (stats.overview_of(store.read("scheme_counts")), stats.overview(kept)))
+    assert told == seen
     files = {t: folders(store, t) for t in before}
     third = ingest.run(payloads(spark, both, B), store)
     assert third.stats["updated"] == third.stats["inserted"] == 0 and {t: folders(store, t) for t in before} == files
