@@ -5,7 +5,14 @@ Quality rules take out the documents they reject, line dedup takes repeated line
 document of each group, mixing gives each pass over a source a row per document with the words taken, and the last stage
 gives the ids of every text, with whether they decode to it.
 
-A lost executor costs the tasks it ran: stages read and write tables in the shared folder. Empty tables go through.
+A lost executor costs the tasks it ran: stages read and write tables in the shared folder.
+
+What every stage does with odd rows: null and empty texts fail the base rules and go in the first; in the stages after it,
+called on their own, they have no lines to lose, no links, nothing to mix (they are left out of the mix), and null or no ids.
+Null languages and sources are values like others. Null doc_ids stay documents of their own in the rules, the Jaccard join
+and the mix; line dedup takes them for one document, the last one of none. Repeated rows are judged, and may be taken, one by
+one; of equal texts the Jaccard join keeps the row with the smallest doc_id. Texts of any length are worked on whole.
+Columns beside doc_id, text, lang, source and n_chars pass through all stages but the last, whatever their names. Empty tables go through.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ exact counts; a filter's false positives end there.
 
 Keys are two 64-bit hashes. Shards hold a bounded number of keys, and a key that very many documents hold is split over
 salts before its shard's filter is asked. Null and empty texts are one empty line. A repeated doc_id is one document: its
-rows lose the same keys. Ties do not arise, since the largest doc_id keeps its lines. An empty table gives an empty table.
+rows lose the same keys. Rows with a null doc_id are one document, which loses no line. Ties do not arise, since the largest doc_id keeps its lines. An empty table gives an empty table.
 Only doc_id and text are read; filter_documents keeps further columns.
 """
 

@@ -4,14 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from eligo.llm import jaccard, lines, permutations
-from eligo.registry import REGISTRY
-from eligo.registry.common import Tables
-from eligo.registry.sources import all_payloads
-
-c = F.col
 
 
 def recall(spark, path, n, every, k=20):
@@ -34,29 +28,6 @@ def test_recall_holds_as_vectors_grow(spark, tmp_path, n):
     assert recall(spark, tmp_path, n, n // 40) >= 0.9
 
 
-def test_approximate_search_finds_nine_in_ten(spark):
-    for sf in ("sf0.01", "sf0.1"):
-        assert REGISTRY.queries["e08_recall"](Tables(spark, f"/root/testdata/{sf}")).first().recall >= 0.9
-
-
-def test_every_link_of_a_page_is_resolved(spark):
-    t = Tables(spark, "/root/testdata/sf0.001")
-    got = REGISTRY.queries["a21_absolute_urls"](t)
-    links = t.pages.select(F.size(F.split("html", 'href="[^"]*"')).alias("n")).agg(F.sum(c("n") - 1)).first()[0]
-    assert got.count() == links > t.pages.count() and got.filter("link like '/%'").count() == 0
-    first = got.filter("position = 0").select("page_id", "link")
-    assert first.exceptAll(REGISTRY.queries["a21_absolute_url"](t)).count() == 0
-
-
-def test_dispatch_takes_payloads_by_outcome(spark):
-    t = Tables(spark, "/root/testdata/sf0.01")
-    got = {r.tag: r.records for r in REGISTRY.queries["a13_dispatch"](t).collect()}
-    pages = t.f_fetches.filter("source_id in ('msme_ministry', 'mudra_portal', 'standupmitra', 'kvic')")
-    assert got["ministry"] == pages.filter("status between 200 and 299 and error is null").count() < pages.filter("status = 200").count()
-    assert all_payloads(t, unread=True).count() - all_payloads(t).count() == t.f_fetches.filter(
-        "source_id in ('myscheme_web', 'india_gov_schemes')").count()
-
-
 def test_repeated_rows_lose_no_neighbour(spark):
     rows = [(0, [1.0, 0.0])] + [(i, [2.0, 0.0]) for i in range(1, 11) for _ in range(3)] + [(i, [0.5, 0.5]) for i in range(11, 31)]
     rows += [(40, [1.0, 1.0]), (40, [1.0, -1.0])]  # two rows with one id and, for the query, one score

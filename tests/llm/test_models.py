@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from eligo.llm import bitplanes, queries, suffixtree
+from eligo.llm import bitplanes, langid, queries, suffixtree
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,3 +174,35 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     assert suffixtree.score(none, model, rare).count() == 0
     [r] = suffixtree.score(spark.createDataFrame([(1, "a b")], kind), model, rare).collect()
     assert (r.n_tokens, r.n_known, r.base_score, r.score) == (3, 0, 0.0, 0.0)
+
+
+# ---- language id
+
+def plain_language(model, text):
+    """Windows, filters, maxima and softmax of one text, place by place."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    total, windows = np.zeros(len(model.languages)), range(0, len(low), langid.WINDOW)
+    for at in windows:
+        seen = model.vectors[list(low[at:at + langid.WINDOW].ljust(langid.WINDOW))]
+        pooled = []
+        for width, filters in model.filters.items():
+            places = [sum(seen[i + j] @ filters[j] for j in range(width)) for i in range(langid.WINDOW - width + 1)]
+            pooled.append(np.max(places, axis=0))
+        total += np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.weights + model.offset
+    chance = np.exp(total / len(windows) - (total / len(windows)).max())
+    return model.languages[int(chance.argmax())], float(chance.max() / chance.sum())
+
+
+def test_languages_equal_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = [r for r in queries.op2_language_id(spark, SMALL).collect()]
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        if not text or not any(ch.isalpha() for ch in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif len(text) < 3000:  # the plain loop takes its time; length makes no difference to it
+            lang, score = plain_language(model, text)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-4
