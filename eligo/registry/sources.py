@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from eligo import constants as K
@@ -15,7 +17,7 @@ from eligo.registry import normalize as RN
 from eligo.registry.catalog import BENEFITS_SQL, DOCUMENTS_SQL, RULES_SQL, seeds, with_children
 from eligo.registry.common import Registry, big, c, contained, exact, joined, values_list
 from eligo.session import new_table_path
-from eligo.sources import dispatch, fetches, html_records, json_records, registry, seed
+from eligo.sources import dispatch, fetches, html_records, json_records, registry, seed, table_parser
 
 SOURCES_SQL = ("src(source_id, name, type, authority_level, terms_status, enabled, priority, ordinal) as "
                + values_list([(*row[:7], i) for i, row in enumerate(K.SOURCE_ROWS)]))
@@ -176,6 +178,23 @@ def register(r: Registry) -> None:
         """select 'https://api.example.org/p/' || p_partkey url, cast(i as bigint) i, p_name || ' feed' title, cast(p_size * 100000 as double) loan, p_size % 2 = 0 udyam_required,
         'Goa|Kerala' states, 'Credit line' benefits, 'women|men' genders from part, unnest(case when p_partkey % 4 = 0 then [0, 2] else [0] end) as u(i)
         where p_partkey % 3 = 2 and p_partkey % 4 in (0, 1)""")
+    def items_of(content: bytes, url: str):
+        """A user's parser: the objects of a JSON list, or one object."""
+        found = json.loads(content)
+        for item in found if isinstance(found, list) else [found]:
+            if isinstance(item, dict):
+                yield {"title": item.get("title"), "benefits": item.get("benefits"), "states": [x.strip() for x in item.get("state", [])]}
+
+    def table_parsed(t):
+        table_parser.register(t.spark, "partner_items", items_of)
+        parse = table_parser.parser("partner_items", "title string, benefits string, states array<string>", "partner_feed")
+        rows = dispatch.parse(binary(t.f_json.where("source_id = 'partner_feed'")), {"partner_feed": parse})
+        return rows.select(c("_source_url").alias("url"), big("ingest_ord.record").alias("i"), "title", "benefits", joined(c("states")).alias("states"))
+
+    r.add("j01_table_parser", table_parsed,
+          """select 'https://api.example.org/p/' || p_partkey url, cast(row_number() over (partition by p_partkey order by i) - 1 as bigint) i, p_name || ' feed' title,
+          'Credit line' benefits, 'Goa|Kerala' states from part, unnest(case when p_partkey % 4 = 0 then [0, 2] else [0] end) as u(i)
+          where p_partkey % 3 = 2 and p_partkey % 4 in (0, 1)""")
     odd = """concat('{"title":"first ', p_name, '","title":"', p_name, '","loan_amount_max":', case when p_partkey % 3 = 0 then '0' else '-250.5' end,
         ',"subsidy_percentage":NaN,"udyam_required":false,"benefits":""}')"""
     r.add("a17_odd_json", lambda t: json_records.generic(binary(t.part.selectExpr(
