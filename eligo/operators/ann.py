@@ -2,7 +2,8 @@
 
 Training takes a bounded sample (SAMPLE rows, those with the least hash of their id); every row is indexed. A vector goes
 to the cell of the nearest centroid, and what is left of it is kept as one byte per SUB components, the nearest entry of
-that part's codebook. Codes and vectors are filed by cell in two tables, so that a search reads the folders it probes.
+that part's codebook. Rows are filed by cell, so that a search reads the folders it probes, and of their columns first the
+codes alone.
 
 A search meets the codes first: per query and part one table of products with the codebook, so that a code costs as many
 look-ups as it has bytes. Only the best of these are compared by their vectors. Cells are gathered into shards of
@@ -33,7 +34,7 @@ ROUNDS = 8
 SHARD_ROWS = 262_144
 QUERY_BLOCK = 4096
 AT_ONCE = 128      # queries of a block worked on at a time
-TABLES = {"codes": "code binary", "vectors": "embedding array<double>"}
+COLUMNS = {"codes": "code binary", "vectors": "embedding array<double>"}
 SHORTLIST = 20     # vectors compared for each one asked for
 
 
@@ -47,7 +48,8 @@ class Index:
     spark: SparkSession
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"scheme_id string, {TABLES[name]}, cell int").parquet(f"{self.path}/{name}")
+        """``codes`` or ``vectors``: columns of one table."""
+        return self.spark.read.schema(f"scheme_id string, {COLUMNS[name]}, cell int").parquet(f"{self.path}/rows")
 
     @property
     def probes(self) -> int:
@@ -112,7 +114,7 @@ def build(corpus: DataFrame, path: str, dim: int, cells: int | None = None, seed
     sized = corpus.select(c("scheme_id").cast("string").alias("scheme_id"), c("embedding").cast("array<double>").alias("embedding")).where(
         (F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
     sized = cut_lineage(sized, "ann-corpus")
-    first = sized.orderBy(F.xxhash64("scheme_id"), "scheme_id").limit(SAMPLE).select("embedding").toArrow()
+    first = sized.orderBy(F.xxhash64("scheme_id"), "scheme_id").limit(SAMPLE).select("embedding").toArrow()  # a bound on what the driver gets
     sample = np.array(first.column(0).combine_chunks().flatten(), dtype=float).reshape(-1, dim)
     if not len(sample):
         sample = np.eye(1, dim)
@@ -128,8 +130,7 @@ def build(corpus: DataFrame, path: str, dim: int, cells: int | None = None, seed
 
     coded_rows = cut_lineage(sized.mapInPandas(coded, "scheme_id string, embedding array<double>, cell int, code binary"), "ann-coded")
     filed, rows = _dealt(coded_rows, len(centroids))
-    for name, column in TABLES.items():
-        filed.select("scheme_id", column.split()[0], "cell").write.partitionBy("cell").mode("overwrite").parquet(f"{path}/{name}")
+    filed.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
     spark.createDataFrame([(i, x.tolist(), int(n)) for i, (x, n) in enumerate(zip(centroids, rows))],
                           "cell int, centroid array<double>, rows long").write.mode("overwrite").parquet(f"{path}/cells")
     spark.createDataFrame([(m, i, x.tolist()) for m, book in enumerate(books) for i, x in enumerate(book)],
@@ -190,7 +191,7 @@ def _to_shards(asked: DataFrame, index: Index) -> DataFrame:
     return asked.withColumn("shard", F.explode(F.array_distinct(F.flatten(F.transform("cells", lambda x: F.get(lists, x))))))
 
 
-def _shortlist(asked: DataFrame, index: Index, size: int, blocks: int) -> DataFrame:
+def _shortlist(asked: DataFrame, index: Index, size: int, blocks: int, probed: Column) -> DataFrame:
     """query_id, block, embedding and the ``size`` nearest by their codes, as an array of (scheme_id, cell)."""
     centroids, books = index.centroids, index.books
 
@@ -217,7 +218,7 @@ def _shortlist(asked: DataFrame, index: Index, size: int, blocks: int) -> DataFr
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
             {"query_id": pd.Series(dtype=object), "far": 0.0, "scheme_id": pd.Series(dtype=object), "cell": pd.Series(dtype="int32")})
 
-    codes = index.table("codes").withColumn("shard", _shard_of(index)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    codes = index.table("codes").where(probed).withColumn("shard", _shard_of(index)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = _to_shards(asked, index).groupBy("shard", "block").cogroup(codes.groupBy("shard", "block")).applyInPandas(
         nearest, "query_id string, far double, scheme_id string, cell int")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "scheme_id", "cell"))), 1, size).alias("found"))
@@ -236,9 +237,10 @@ def top_k(queries: DataFrame, index: Index, k: int, probes: int | None = None, s
     asked = cut_lineage(_asked(queries, index, probes, blocks), "ann-queries")
     # only the folders of cells that some query probes are read; their number is bounded by the cells
     cells = [r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]
-    vectors = index.table("vectors").where(c("cell").isin(cells)).withColumn("shard", _shard_of(index))
+    probed = c("cell").isin(cells) if len(cells) < len(index.rows) else F.lit(True)
+    vectors = index.table("vectors").where(probed).withColumn("shard", _shard_of(index))
     if size:
-        few = cut_lineage(_shortlist(asked, index, size, blocks), "ann-shortlists")
+        few = _shortlist(asked, index, size, blocks, probed)
         pairs = few.select("query_id", "block", "embedding", F.explode("found").alias("f")).select(
             "query_id", "block", "embedding", c("f.scheme_id").alias("scheme_id"), c("f.cell").alias("cell"))
         listed = pairs.withColumn("shard", _shard_of(index)).groupBy("query_id", "block", "shard").agg(

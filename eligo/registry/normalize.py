@@ -29,7 +29,7 @@ def normal(t):
     """Canonical records, with the fixture's own arrival number alongside."""
     base = raw(t)
     cols = base.withColumn("ingest_ord", F.struct(
-        F.lit(0).alias("source"), F.lit("").alias("url"), c(ORD).cast("int").alias("record")))
+        F.lit(0).alias("source"), F.lit("").alias("url"), F.lit("").alias("fetch"), c(ORD).cast("int").alias("record")))
     return NZ.normalize(cols).withColumn("n", c("ingest_ord.record").cast("bigint"))
 
 
@@ -222,7 +222,7 @@ def register(r: Registry) -> None:
                  "nodal_ministry": "ministry", "max_funding_amount": "loan_amount_max", "applyLink": "application_url"}
         b = b.withColumns({alt: F.when(odd, c(own)) for alt, own in moved.items()})
         b = b.withColumns({own: F.when(~odd, c(own)).otherwise("") for own in moved.values()})
-        ord_ = F.struct(F.lit(0).alias("source"), F.lit("").alias("url"), c(ORD).cast("int").alias("record"))
+        ord_ = F.struct(F.lit(0).alias("source"), F.lit("").alias("url"), F.lit("").alias("fetch"), c(ORD).cast("int").alias("record"))
         return NZ.normalize(b.withColumn("ingest_ord", ord_)).withColumn("n", c("ingest_ord.record").cast("bigint"))
 
     fields = ["name", "scheme_code", "description", "ministry", "loan_amount_max", "application_url"]

@@ -21,7 +21,7 @@ BENEFIT = struct(benefit_type=_S, amount=_D, percentage=_D, unit=_S, description
 DOCUMENT = struct(
     document_name=_S, mandatory=_B, conditional=_B, condition=_S, issuing_authority=_S,
 )
-ORD = struct(source=_I, url=_S, record=_I)
+ORD = struct(source=_I, url=_S, fetch=_S, record=_I)  # ``fetch`` tells two payloads of one url apart
 
 # Landed payloads, one row per fetch.
 FETCHES = struct(

@@ -135,10 +135,13 @@ def objects(docs: DataFrame, blanks: bool = False) -> DataFrame:
 
 
 def with_ord(df: DataFrame) -> DataFrame:
-    """Arrival order: source, then url, then place in the payload."""
+    """Arrival order: source, then url, then payload (by its hash, should a url have been fetched twice), then place in it.
+
+    Only records that are equal in all of these can tie, and they say the same.
+    """
     rank = c("source_rank") if "source_rank" in df.columns else F.lit(0)
     return df.withColumn("ingest_ord", F.struct(
-        rank.cast("int").alias("source"), c("url"), c("record_index").cast("int").alias("record")))
+        rank.cast("int").alias("source"), c("url"), _hash_of(df).alias("fetch"), c("record_index").cast("int").alias("record")))
 
 
 def _hash_of(df: DataFrame) -> Column:
