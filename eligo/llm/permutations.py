@@ -114,8 +114,7 @@ def _search(k: int, n_pivots: int, m: int):
     return search
 
 
-def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    spark = vectors.sparkSession
+def _one_dimension(vectors: DataFrame, every: int, k: int, real: str) -> DataFrame:
     ranked = Window.partitionBy("embedding").orderBy("vec_id")
     few = vectors.distinct().withColumn("_n", F.row_number().over(ranked)).filter(c("_n") <= k + 1)  # one of them may be the query
     classes = cut_lineage(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn(
@@ -123,10 +122,10 @@ def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
     n = classes.count()
     n_pivots = 1 if n <= 256 else min(MAX_PIVOTS, math.ceil(math.sqrt(n)))
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(n_pivots).collect()
-    pivots = np.array([r[0] for r in sample], np.float32)
+    pivots = np.array([r[0] for r in sample], np.float32 if real == "float" else np.float64)
     m = min(ORDERED, len(pivots))
 
-    kind = "pivot int, ranks binary, embedding array<float>"
+    kind = f"pivot int, ranks binary, embedding array<{real}>"
     entries = classes.mapInArrow(_represent(pivots, m, POSTED), f"{kind}, members array<long>, cls long")
     asked = vectors.filter(c("vec_id") % every == 0).select("embedding", c("vec_id").alias("query_id")).distinct()
     queries = asked.mapInArrow(_represent(pivots, m, visited(len(pivots))), f"{kind}, query_id long")
@@ -151,10 +150,11 @@ def _one_dimension(vectors: DataFrame, every: int, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each row whose vec_id is divisible by ``every``."""
-    fine = vectors.select("vec_id", c("embedding").cast("array<float>").alias("embedding")).filter(
+    real = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"  # no digit is lost
+    fine = vectors.select("vec_id", c("embedding").cast(f"array<{real}>").alias("embedding")).filter(
         c("vec_id").isNotNull() & usable(c("embedding")))
     lengths = [r[0] for r in fine.select(F.size("embedding")).distinct().collect()]
-    parts = [_one_dimension(fine.filter(F.size("embedding") == d), every, k) for d in sorted(lengths)]
+    parts = [_one_dimension(fine.filter(F.size("embedding") == d), every, k, real) for d in sorted(lengths)]
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = parts[0]

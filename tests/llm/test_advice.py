@@ -36,6 +36,13 @@ def test_repeated_rows_lose_no_neighbour(spark):
     assert [r.vec_id for r in got] == [*range(1, 11), 40, 40, *range(11, 19)]
 
 
+def test_double_vectors_lose_no_digit(spark):
+    rows = [(0, [0.6, 0.3]), (1, [0.9, 0.4]), (2, [1e39, 1e39]), (3, [0.1, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in permutations.nearest(df, 1000, 20).collect()}
+    assert got == {1: 0.6 * 0.9 + 0.3 * 0.4, 2: 0.6 * 1e39 + 0.3 * 1e39, 3: 0.6 * 0.1 + 0.3 * 0.1}
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abd")
     rows = [(1, a), (2, a), (2, b), (3, d), (3, d), (None, " ".join(f"n{i}" for i in range(60))), (None, " ".join(f"n{i}" for i in range(60))), (None, d)]
