@@ -150,6 +150,7 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._manifests: dict[int, dict] = {}  # read ones; a generation does not change
 
     def generations(self) -> list[int]:
         return sorted(int(n[4:]) for n in self._names(self.path) if n.startswith("gen=")
@@ -160,10 +161,13 @@ class Store:
         return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def manifest(self, gen: int) -> dict:
+        if gen in self._manifests:
+            return self._manifests[gen]
         stream = self._fs.open(self._path(f"{self.path}/gen={gen}/{self.MARK}"))
         found = bytes(stream.readAllBytes()).decode()
         stream.close()
-        return json.loads(found)
+        self._manifests[gen] = json.loads(found)
+        return self._manifests[gen]
 
     def _newest(self, before: int | None = None) -> dict:
         gens = [g for g in self.generations() if before is None or g < before]
@@ -187,6 +191,7 @@ class Store:
     def write(self, gen: int, tables: dict[str, DataFrame], writer: str = "") -> None:
         """Writes whole tables as generation ``gen``, in place of one of that number."""
         self._fs.delete(self._path(f"{self.path}/gen={gen}/{self.MARK}"), False)
+        self._manifests.pop(gen, None)
         run, entries = f"run={uuid.uuid4().hex}", {}
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{run}/{name}")
@@ -310,13 +315,13 @@ def run(payloads: DataFrame, store: Store, source_ids: list[str] | None = None,
         rows = kept.join(same, ["scheme_id", "embedding_model"], "left_anti").unionByName(rows, allowMissingColumns=True)
     replaced[ONE_PER_MODEL] = some, rows
     landed = st.fetched.where("outcome = 'ok'").select(c("url").alias("source_url"), "content_hash", now.alias("checked_at"))
+    own = {"scheme_sources": upsert.provenance(written, now), "scheme_versions": upsert.versions(st.planned.drop("payload_hash"), now),
+           "scheme_counts": changes}
     added = {
-        "scheme_sources": upsert.provenance(written, now),
-        "scheme_versions": upsert.versions(st.planned.drop("payload_hash"), now),
+        **(own if touched or base is None else {}),
         "fetch_log": landed,
-        "scheme_counts": changes,
         "rejected_records": st.checked.where(~c("valid")).select("name", "scheme_code", "source_url", "errors", now.alias("rejected_at")),
         "rejected_payloads": dispatch.unreadable(st.fetched.where("outcome = 'ok'")).select("url", "source_id", now.alias("rejected_at")),
     }
     store.merge(base, replaced, added, writer)
-    return Result(counted, {n: store.read(n) for n in [*replaced, *added]})
+    return Result(counted, {n: store.read(n) for n in [*replaced, *own, *added]})
