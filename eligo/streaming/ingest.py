@@ -25,8 +25,9 @@ def first_sightings(fetches: DataFrame, time: str = "fetched_at", delay: str = "
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
-def newest_fetches(fetches: DataFrame, time: str = "fetched_at", delay: str = "24 hours", forget_days: int = 90) -> DataFrame:
-    """Of a stream of fetches with a ``time``, those that bring something new: per url and micro-batch the newest fetch, if
+def newest_fetches(fetches: DataFrame, time: str = "fetched_at", delay: str = "24 hours", forget_days: int = 90,
+                   key: str = "url") -> DataFrame:
+    """Of a stream of fetches with a ``time``, those that bring something new: per url (or other ``key``) and micro-batch the newest fetch, if
     it is newer than all before and its content is another than that of the newest before.
 
     Repeats and late arrivals are dropped, across batches too. State is one small row per url and goes when the watermark
@@ -55,7 +56,7 @@ def newest_fetches(fetches: DataFrame, time: str = "fetched_at", delay: str = "2
             if best[1] != seen[1]:
                 yield pd.DataFrame([row], columns=names)
 
-    return hashed.groupBy("url").applyInPandasWithState(
+    return hashed.groupBy(key).applyInPandasWithState(
         newest, hashed.schema, "at timestamp, hash string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

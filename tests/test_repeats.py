@@ -23,6 +23,6 @@ def twice(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["d15_error_messages"])
+@pytest.mark.parametrize("name", ["d15_error_messages", "i02_newest_fetches"])
 def test_pages_that_share_a_url(spark, twice, name):
     assert_same(REGISTRY.queries[name](Tables(spark, twice[0])), REGISTRY.sql[name], twice[1])
