@@ -2,12 +2,11 @@
 
 Training takes a bounded sample (SAMPLE rows, those with the least hash of their id); every row is indexed. A vector goes
 to the cell of the nearest centroid, and what is left of it is kept as one byte per SUB components, the nearest entry of
-that part's codebook. Rows are filed by cell, so that a search reads the folders it probes, and of their columns first the
-codes alone.
+that part's codebook. Rows are filed by cell, so that a search reads the folders it probes.
 
-A search meets the codes first: per query and part one table of products with the codebook, so that a code costs as many
-look-ups as it has bytes. Only the best of these are compared by their vectors. Cells are gathered into shards of
-SHARD_ROWS rows, a cell with more than that is cut by a hash of the ids; a shard and a block of queries are one task.
+A search meets the codes first: the vectors they stand for are multiplied with the queries that probe their cell. Only the
+best of these are compared by their own vectors. Cells are gathered into shards of SHARD_ROWS rows, a cell with more than that
+is cut by a hash of the ids; a shard and a block of queries are one task, which takes both steps.
 
 Cells follow the square root of the rows; the probed share of them falls slowly with their number. Vectors that are null, of
 another length or of length zero are not indexed and match nothing.
@@ -20,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eligo.operators.vectors import HITS, Best, matrix, rank_hits, unit
+from eligo.operators.vectors import HITS, dots, hits_frame, matrix, nearest, rank_hits, unit
 from eligo.session import cut_lineage
 
 c = F.col
@@ -32,9 +31,8 @@ SUB = 4            # components to a byte of code
 BOOK = 256
 ROUNDS = 8
 SHARD_ROWS = 262_144
-QUERY_BLOCK = 4096
-AT_ONCE = 128      # queries of a block worked on at a time
-COLUMNS = {"codes": "code binary", "vectors": "embedding array<double>"}
+QUERY_BLOCK = 16_384
+COLUMNS = {"codes": "code binary", "vectors": "embedding array<double>", "rows": "code binary, embedding array<double>"}
 SHORTLIST = 20     # vectors compared for each one asked for
 
 
@@ -48,7 +46,7 @@ class Index:
     spark: SparkSession
 
     def table(self, name: str) -> DataFrame:
-        """``codes`` or ``vectors``: columns of one table."""
+        """``codes``, ``vectors`` or both as ``rows``: columns of one table."""
         return self.spark.read.schema(f"scheme_id string, {COLUMNS[name]}, cell int").parquet(f"{self.path}/rows")
 
     @property
@@ -191,38 +189,10 @@ def _to_shards(asked: DataFrame, index: Index) -> DataFrame:
     return asked.withColumn("shard", F.explode(F.array_distinct(F.flatten(F.transform("cells", lambda x: F.get(lists, x))))))
 
 
-def _shortlist(asked: DataFrame, index: Index, size: int, blocks: int, probed: Column) -> DataFrame:
-    """query_id, block, embedding and the ``size`` nearest by their codes, as an array of (scheme_id, cell)."""
-    centroids, books = index.centroids, index.books
-
-    def nearest(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qs) and len(cs):
-            cs = cs.sort_values("scheme_id", ignore_index=True)
-            code = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
-            cell, ids = cs["cell"].to_numpy(), cs["scheme_id"].to_numpy()
-            for at in range(0, len(qs), AT_ONCE):
-                some = qs.iloc[at:at + AT_ONCE]
-                q = matrix(some["embedding"])
-                use = np.zeros((len(q), len(centroids)), bool)
-                np.put_along_axis(use, np.stack(some["cells"].tolist()), True, axis=1)
-                guess = (q @ centroids.T)[:, cell]
-                table = np.einsum("qms,mes->mqe", _parts(q), books)
-                for m in range(len(books)):
-                    guess += table[m][:, code[:, m]]
-                guess[~use[:, cell]] = -np.inf
-                for query_id, row in zip(some["query_id"], guess):
-                    top = np.argpartition(-row, size - 1)[:size] if size < len(row) else np.arange(len(row))
-                    top = top[row[top] > -np.inf]
-                    out.append(pd.DataFrame({"query_id": query_id, "far": -row[top], "scheme_id": ids[top], "cell": cell[top]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"query_id": pd.Series(dtype=object), "far": 0.0, "scheme_id": pd.Series(dtype=object), "cell": pd.Series(dtype="int32")})
-
-    codes = index.table("codes").where(probed).withColumn("shard", _shard_of(index)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = _to_shards(asked, index).groupBy("shard", "block").cogroup(codes.groupBy("shard", "block")).applyInPandas(
-        nearest, "query_id string, far double, scheme_id string, cell int")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "scheme_id", "cell"))), 1, size).alias("found"))
-    return best.join(asked.select("query_id", "block", "embedding"), "query_id")
+def decoded(cell: np.ndarray, code: np.ndarray, centroids: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for."""
+    left = np.concatenate([books[m][code[:, m]] for m in range(len(books))], axis=1)
+    return centroids[cell] + left[:, :centroids.shape[1]]
 
 
 def top_k(queries: DataFrame, index: Index, k: int, probes: int | None = None, shortlist: int | None = None) -> DataFrame:
@@ -238,27 +208,30 @@ def top_k(queries: DataFrame, index: Index, k: int, probes: int | None = None, s
     # only the folders of cells that some query probes are read; their number is bounded by the cells
     cells = [r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]
     probed = c("cell").isin(cells) if len(cells) < len(index.rows) else F.lit(True)
-    vectors = index.table("vectors").where(probed).withColumn("shard", _shard_of(index))
-    if size:
-        few = _shortlist(asked, index, size, blocks, probed)
-        pairs = few.select("query_id", "block", "embedding", F.explode("found").alias("f")).select(
-            "query_id", "block", "embedding", c("f.scheme_id").alias("scheme_id"), c("f.cell").alias("cell"))
-        listed = pairs.withColumn("shard", _shard_of(index)).groupBy("query_id", "block", "shard").agg(
-            F.first("embedding").alias("embedding"), F.collect_list("scheme_id").alias("ids"))
-    else:
-        listed = _to_shards(asked, index).withColumn("ids", F.lit(None).cast("array<string>"))
+    vectors = index.table("rows" if size else "vectors").where(probed).withColumn("shard", _shard_of(index))
+    centroids, books, some_cells = index.centroids, index.books, probes < len(index.rows)
 
     def compare(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        best = Best(len(qs), k)
-        if len(qs) and len(vs):
-            x, _ = unit(matrix(vs["embedding"]))
-            ids, cell = vs["scheme_id"].to_numpy().astype(str), vs["cell"].to_numpy()
-            places = pd.Index(ids)
-            for j, row in enumerate(qs.itertuples()):
-                at = np.flatnonzero(np.isin(cell, row.cells)) if size == 0 else places.get_indexer(np.asarray(row.ids, dtype=str))
-                best.add_to(j, np.round(x[at] @ np.asarray(row.embedding), 6), ids[at])
-        return best.frame(list(qs["query_id"]))
+        if not len(qs) or not len(vs):
+            return hits_frame(*[np.empty(0, object)] * 2, *[np.empty(0, int)] * 2, np.empty(0)).assign(far=0.0)
+        vs = vs.sort_values("scheme_id", ignore_index=True)
+        q, (x, _), cell, use = matrix(qs["embedding"]), unit(matrix(vs["embedding"])), vs["cell"].to_numpy(), None
+        if some_cells:
+            use = np.zeros((len(q), len(centroids)), bool)
+            np.put_along_axis(use, np.stack(qs["cells"].tolist()), True, axis=1)
+        if size:
+            code = np.frombuffer(b"".join(vs["code"]), np.uint8).reshape(len(vs), -1)
+            r, p, near = nearest(q, decoded(cell, code, centroids, books), size, cell, use, digits=None)
+            s = np.round(dots(q, x, r, p), 6)
+        else:
+            r, p, s = nearest(q, x, k, cell, use)
+            near = s
+        return hits_frame(qs["query_id"].to_numpy(), vs["scheme_id"].to_numpy(), r, p, s).assign(far=-near)
 
     spread = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = listed.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(compare, HITS)
+    hits = _to_shards(asked, index).groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(
+        compare, f"{HITS}, far double")
+    if size:  # a shard knows its own shortlist only
+        w = Window.partitionBy("query_id").orderBy("far", "scheme_id")
+        hits = hits.withColumn("_nth", F.row_number().over(w)).where(c("_nth") <= size)
     return rank_hits(hits, k)

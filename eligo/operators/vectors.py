@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,9 @@ from eligo.operators.dedup import best_per_key
 c = F.col
 TEXT_LIMIT = 2000      # fixed value: characters of embedding text stored
 QUERY_BLOCK = 4096     # query vectors sent to the tasks at a time
-CORPUS_BLOCK = 100_000  # vectors compared with a block of queries in one task, once there are more queries
+GRID_QUERIES = 16_384   # with more queries than that, at most so many of them
+GRID_VECTORS = 65_536   # and so many vectors meet in one task
+TILE, STRIP = 512, 4096  # queries and vectors multiplied at a time
 HASHED = "hashed-tf"   # model name of the default embedding
 
 
@@ -234,17 +237,98 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = K.SEARCH_LIMIT,
         return rank_hits(queries.sparkSession.createDataFrame([], HITS), k)
     if len(head) <= block:
         return rank_hits(_scan(corpus, [r.query_id for r in head], [r.embedding for r in head], k), k)
-    return rank_hits(_grid(asked, corpus, k, -(-asked.count() // block)), k)
+    return rank_hits(_grid(asked, corpus, k, asked.count()), k)
 
 
-def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int) -> DataFrame:
+def dots(q: np.ndarray, x: np.ndarray, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``r`` of ``q`` with rows ``p`` of ``x``, in bounded blocks."""
+    size = 1 << 16
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", q[r[a:a + size]], x[p[a:a + size]]) for a in range(0, len(r), size))])
+
+
+def nearest(q: np.ndarray, x: np.ndarray, k: int, cell: np.ndarray | None = None, use: np.ndarray | None = None,
+            digits: int | None = 6, thin: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``x``, inner product rounded to ``digits``) of the ``k`` nearest for every row of ``q``, equal
+    ones by their place in ``x``.
+
+    Products are taken in single precision first, a tile at a time; only what may be among the best, given that precision's
+    error, is taken again in double. What is worth a look is guessed from every ``thin``-th row; queries that the guess
+    leaves with too few are worked out without it. With ``use`` (row of ``q``, cell) a query meets the rows of its cells only.
+    """
+    error = 1.2e-7 * (x.shape[1] + 4) * np.linalg.norm(x, axis=1).max(initial=0) * np.linalg.norm(q, axis=1).max(initial=0)
+    margin = 2 * error + (10.0 ** -digits if digits is not None else 0)
+    if use is None:
+        place, starts = np.arange(len(x)), [(0, len(x), None)]
+    else:
+        place = np.argsort(cell, kind="stable")
+        own, first = np.unique(cell[place], return_index=True)
+        starts = list(zip(first.tolist(), [*first[1:].tolist(), len(x)], own.tolist()))
+    strips = [(a, min(a + STRIP, end), o) for begin, end, o in starts for a in range(begin, end, STRIP)]
+    met = np.full(len(q), len(x)) if use is None else use @ np.bincount(cell, minlength=use.shape[1])
+    nth_thin = math.ceil(k / thin + 4 * math.sqrt(k / thin) + 4) if thin else 0
+    sample = place[::thin] if thin and len(x) // thin > nth_thin else place[:0]
+    fast, fast_q = x[place].astype(np.float32), q.astype(np.float32)
+    out = []
+    for at in range(0, len(q), TILE):
+        tile = np.arange(at, min(at + TILE, len(q)))
+        floor = np.full(len(tile), -np.inf)
+        if len(sample):
+            some = fast_q[tile] @ fast[::thin].T
+            if use is not None:
+                some[~use[np.ix_(tile, cell[sample])]] = -np.inf
+            floor = np.partition(some, -nth_thin, axis=1)[:, -nth_thin].astype(float) - margin
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settled():
+            r, p = (np.concatenate([np.empty(0, np.int64), *(part[m] for part in new)]) for m in (0, 1))
+            s = dots(q, x, tile[r], p)
+            if digits is not None:
+                s = np.round(s, digits)
+            r, p, s = (np.concatenate([a, b]) for a, b in zip(kept, (r, p, s)))
+            order = np.lexsort((p, -s, r))
+            r, p, s = r[order], p[order], s[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, np.arange(len(tile)))[r]
+            full = nth == k - 1
+            floor[r[full]] = np.maximum(floor[r[full]], s[full] - margin)
+            return r[nth < k], p[nth < k], s[nth < k]
+
+        for begin, end, o in strips:
+            rows = np.arange(len(tile)) if o is None else np.flatnonzero(use[tile, o])
+            if not len(rows):
+                continue
+            some = fast_q[tile[rows]] @ fast[begin:end].T
+            bare = floor[rows] == -np.inf
+            if end - begin > k and bare.any():
+                floor[rows[bare]] = np.partition(some[bare], -k, axis=1)[:, -k] - margin
+            r, p = np.divmod(np.flatnonzero(some >= floor[rows, None].astype(np.float32)), end - begin)
+            new.append((rows[r], place[p + begin]))
+            if sum(len(r) for r, _ in new) > 2 * k * len(tile):
+                kept, new = settled(), []
+        r, p, s = settled()
+        short = np.flatnonzero(np.bincount(r, minlength=len(tile)) < np.minimum(k, met[tile])) if len(sample) else []
+        if len(short):
+            again = nearest(q[tile[short]], x, k, cell, None if use is None else use[tile[short]], digits, 0)
+            well = ~np.isin(r, short)
+            r, p, s = (np.concatenate([a[well], b]) for a, b in zip((r, p, s), (short[again[0]], *again[1:])))
+        out.append((tile[r], p, s))
+    return tuple(np.concatenate([np.empty(0, t), *(part[m] for part in out)]) for m, t in enumerate((np.int64, np.int64, float)))
+
+
+def hits_frame(query_ids: np.ndarray, ids: np.ndarray, r: np.ndarray, p: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": query_ids[r], "scheme_id": ids[p], "similarity": s})
+
+
+def _grid(asked: DataFrame, corpus: DataFrame, k: int, queries: int) -> DataFrame:
     """Blocks of queries against blocks of the corpus, a pair of blocks per task.
 
-    Both sides are cut by a hash of their ids, so blocks are even however the
-    data is skewed, and a block has about CORPUS_BLOCK rows at most. A pair of
-    blocks returns at most k rows per query.
+    Both sides are cut by a hash of their ids, so blocks are even however the data is skewed. Blocks are as large as a task
+    may hold, since each side is sent once per block of the other, and smaller only if that leaves fewer pairs of blocks
+    than partitions. A pair returns at most k rows per query.
     """
-    cuts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_BLOCK))
+    vectors = corpus.count()
+    edge = max(1, math.ceil(math.sqrt(queries * vectors / int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    query_blocks, cuts = -(-queries // min(edge, GRID_QUERIES)), max(1, -(-vectors // min(edge, GRID_VECTORS)))
 
     def block_of(col: str, n: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
@@ -257,14 +341,15 @@ def _grid(asked: DataFrame, corpus: DataFrame, k: int, query_blocks: int) -> Dat
         "scheme_id", "embedding", block_of("scheme_id", cuts).alias("cb")).withColumn("qb", every(query_blocks))
 
     def pair(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        best = Best(len(qs), k)
-        if len(qs) and len(vs):
-            m, _ = unit(matrix(qs["embedding"]))
-            vs = vs[vs["embedding"].map(len) == m.shape[1]]
-            if len(vs):
-                x, ok = unit(matrix(vs["embedding"]))
-                best.add(np.round(x @ m.T, 6), vs["scheme_id"].to_numpy()[ok].astype(str))
-        return best.frame(list(qs["query_id"]))
+        found = []
+        vs, width = vs.sort_values("scheme_id", ignore_index=True), qs["embedding"].map(len)
+        for dim in width.unique():
+            some, near = qs[width == dim], vs[vs["embedding"].map(len) == dim]
+            if len(near):
+                m, asks = unit(matrix(some["embedding"]))
+                x, ok = unit(matrix(near["embedding"]))
+                found.append(hits_frame(some["query_id"].to_numpy()[asks], near["scheme_id"].to_numpy()[ok], *nearest(m, x, k)))
+        return pd.concat(found, ignore_index=True) if found else hits_frame(*[np.empty(0, object)] * 2, *[np.empty(0, int)] * 2, np.empty(0))
 
     return q.groupBy("qb", "cb").cogroup(v.groupBy("qb", "cb")).applyInPandas(pair, HITS)
 
