@@ -1,7 +1,8 @@
 """A positional trigram index over text columns, and keyword search with queries as a table.
 
-Every place of a text has a trigram, the last two filled up with END, so that shorter texts and ends are found too. A
-posting is a trigram, a row, a column and all places there.
+Texts that are equal, of whatever row and column, are one text of the index; the rows that hold it are filed apart and met by
+the texts found. Every place of a text has a trigram, the last two filled up with END, so that shorter texts and ends are found
+too. A posting is a trigram, a text and all places there.
 
 A query text is a case-free pattern: % and _ are wildcards, what lies between them are its runs. The two rarest trigrams of
 the run that has the rarest one are looked up by an equi-join; where both lie at the distance they have in the run, the text
@@ -38,15 +39,16 @@ def _grams(text: Column, last: Column) -> Column:
 
 
 def build(rows: DataFrame, path: str, fields=FIELDS, key: str = "id") -> Index:
-    """Files texts, postings and the number of postings of each trigram under ``path``."""
+    """Files texts, their rows, postings and the number of postings of each trigram under ``path``."""
     index = Index(rows.sparkSession, path)
-    texts = rows.select(c(key).cast("string").alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lower(c(f)).alias("low")) for f in fields])).alias("t")).select("id", "t.*")
-    texts.where(F.length("low") > 0).write.mode("overwrite").parquet(f"{path}/texts")
+    held = rows.select(c(key).cast("string").alias("id"), F.explode(F.array_distinct(F.array(*[F.lower(c(f)) for f in fields]))).alias("low"))
+    held = held.where(F.length("low") > 0).withColumn("text", F.sha2("low", 256))
+    held.select("text", "id").write.mode("overwrite").parquet(f"{path}/rows")
+    held.groupBy("text").agg(F.first("low").alias("low")).write.mode("overwrite").parquet(f"{path}/texts")
     padded = F.concat("low", F.lit(END * 2))
-    places = index.table("texts").select("id", "field", F.explode(_grams(padded, F.length("low"))).alias("g"))
-    # the places of a row's trigram meet in its own task: a common trigram is no hot key here
-    postings = places.groupBy("id", "field", c("g.tri").alias("tri")).agg(F.sort_array(F.collect_list("g.at")).alias("places"))
+    places = index.table("texts").select("text", F.explode(_grams(padded, F.length("low"))).alias("g"))
+    # the places of a text's trigram meet in its own task: a common trigram is no hot key here
+    postings = places.groupBy("text", c("g.tri").alias("tri")).agg(F.sort_array(F.collect_list("g.at")).alias("places"))
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.table("postings").groupBy("tri").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     return index
@@ -80,18 +82,18 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, id), once each, of all rows that have a text with the query's pattern in it."""
     asked = patterns(queries)
     picks = _picks(asked, index.table("counts"))
-    met = picks.join(index.table("postings"), "tri").select(
-        "query_id", "need", "id", "field", "at", F.explode("places").alias("place"))
-    together = met.groupBy("query_id", "id", "field", (c("place") - c("at")).alias("start")).agg(
+    met = picks.join(index.table("postings"), "tri").select("query_id", "need", "text", "at", F.explode("places").alias("place"))
+    together = met.groupBy("query_id", "text", (c("place") - c("at")).alias("start")).agg(
         F.count_distinct("at").alias("n"), F.first("need").alias("need")).where("n = need")
-    candidates = together.select("query_id", "id", "field").distinct()
+    candidates = together.select("query_id", "text").distinct()
     texts = index.table("texts")
-    compared = candidates.join(texts, ["id", "field"]).join(asked.withColumnRenamed("low", "pattern"), "query_id")
-    found = compared.where(F.expr(f"low like concat('%', pattern, '%') escape '{ESCAPE}'")).select("query_id", "id").distinct()
-    # patterns without a run: by the length they ask for, each row goes to those it is long enough for
+    compared = candidates.join(texts, "text").join(asked.withColumnRenamed("low", "pattern"), "query_id")
+    found = compared.where(F.expr(f"low like concat('%', pattern, '%') escape '{ESCAPE}'")).select("query_id", "text")
+    # patterns without a run: by the length they ask for, each text goes to those it is long enough for
     bare = asked.where(F.length(F.regexp_replace("low", "[%_]", "")) == 0).select(
         "query_id", F.length(F.replace("low", F.lit("%"), F.lit(""))).alias("least"))
     sizes = bare.agg(F.sort_array(F.collect_set("least")).alias("s"))
-    longest = texts.groupBy("id").agg(F.max(F.length("low")).alias("size"))
-    enough = longest.withColumn("s", sizes.scalar()).select("id", "size", F.explode("s").alias("least")).where("least <= size").drop("size")
-    return found.unionByName(bare.join(enough, "least").select("query_id", "id"))
+    enough = texts.select("text", F.length("low").alias("size")).withColumn("s", sizes.scalar()).select(
+        "text", "size", F.explode("s").alias("least")).where("least <= size")
+    every = found.unionByName(bare.join(enough, "least").select("query_id", "text"))
+    return every.join(index.table("rows"), "text").select("query_id", "id").distinct()

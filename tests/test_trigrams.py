@@ -74,3 +74,13 @@ def test_hybrid_search_falls_back_by_query(spark, tmp_path):
     got = found(out)
     assert got["a"] == got["f"] == ["29", "28", "27", "26"] and got["b"] == ["1", "2", "3", "4"]
     assert got["c"] == ["19", "18", "17", "16"] and got["d"] == ["29", "28", "27", "26"]
+
+
+def test_equal_texts_are_indexed_once(spark, tmp_path):
+    """The index's texts and postings do not grow with the rows that hold the same."""
+    kind = "id string, name string, description string, ministry string, scheme_code string"
+    rows = spark.createDataFrame([(str(i), "Loan for Women", "loan FOR women", "M", "") for i in range(40)], kind)
+    index = trigrams.build(rows, str(tmp_path))
+    assert index.table("texts").count() == 2 and index.table("postings").count() == len("loan for women") + 1
+    got = trigrams.matches(spark.createDataFrame([("1", "women"), ("2", "m")], "query_id string, text string"), index)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == sorted((q, str(i)) for q in "12" for i in range(40))
