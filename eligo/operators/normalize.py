@@ -277,6 +277,16 @@ def matches_category(word: str) -> Column:
     return F.lower(text).contains(word.lower())
 
 
+def in_category(df: DataFrame, word: str) -> DataFrame:
+    """The records that match a category.
+
+    They come out of a generator: a filter would be pushed below the pass and work out its columns a second time, over and
+    over where they build on each other.
+    """
+    hit = F.struct(matches_category(word).alias("_hit"))
+    return df.select("*", F.inline(F.filter(F.array(hit), lambda r: r["_hit"]))).drop("_hit")
+
+
 def snapshot(df: DataFrame) -> Column:
     """A record as JSON, without its in-flight columns."""
     inner = {"_raw", "_source_id", "ingest_ord", "dedup_key", "errors", "warnings", "valid"}

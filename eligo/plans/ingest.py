@@ -69,7 +69,7 @@ def stages(payloads: DataFrame, catalog: DataFrame | None = None, dim: DataFrame
         parsed = cut_lineage(parsed, "parsed")
     normalized = normalize.normalize(parsed)
     if category:
-        normalized = normalized.where(normalize.matches_category(category))
+        normalized = normalize.in_category(normalized, category)
     normalized = run_order(normalized, limit)
     checked = validate.validate(normalized, min_quality)
     if cut:

@@ -264,7 +264,7 @@ def register(r: Registry) -> None:
         c("age_max").cast("double").alias("age_max"), big("data_quality_score").alias("data_quality_score")),
         CANON + f"select n, {', '.join(scalars)}, " + ", ".join(f"array_to_string({x}, '|') {x}" for x in lists)
         + ", age_min, age_max, data_quality_score from nk", USES)
-    r.add("b27_category_filter", lambda t: normal(t).where(NZ.matches_category("MEDIUM")).select("n"),
+    r.add("b27_category_filter", lambda t: NZ.in_category(normal(t), "MEDIUM").select("n"),
           CANON + "select n from nk where contains(lower(concat_ws(' ', name, ministry, left(description, 200), "
           "array_to_string(business_types,' '), array_to_string(social_categories,' '))), 'medium')", USES)
     r.add("b28_unique_slug", lambda t: normal(t).select(
