@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eligo.session import ROWS_PER_TASK, spread
+
 FIXTURES = {
     "f_profiles": """
 select c_custkey as profile_id, c_name as full_name,
@@ -148,6 +150,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _spell(FIXTURES[name], _SPARK)
     used = {t: table(spark, sf_dir, t) for t in _TABLES if re.search(rf"\b(?:from|join) {t}\b", sql)}
+    # records and payloads are made of a part's few bytes; a page of some kilobytes is parsed
+    for t, key, rows in (("part", "p_partkey", ROWS_PER_TASK), ("pages", "page_id", ROWS_PER_TASK // 10)):
+        if t in used:
+            used[t] = spread(used[t], key, rows)
     used |= {f: fixture(spark, sf_dir, f) for f in FIXTURES if re.search(rf"\bfrom {f}\b", sql)}
     sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(rf"\b(from|join) ({'|'.join(used)})\b", r"\1 {\2}", sql), **used)
