@@ -16,7 +16,7 @@ from eligo.plans.ingest import Store
 from eligo.registry import normalize as RN
 from eligo.registry.catalog import BENEFITS_SQL, DOCUMENTS_SQL, RULES_SQL, seeds, with_children
 from eligo.registry.common import Registry, big, c, contained, exact, joined, values_list
-from eligo.session import new_table_path
+from eligo.session import new_table_path, spread
 from eligo.sources import dispatch, fetches, html_records, json_records, registry, seed, table_parser
 
 SOURCES_SQL = ("src(source_id, name, type, authority_level, terms_status, enabled, priority, ordinal) as "
@@ -197,7 +197,7 @@ def register(r: Registry) -> None:
           where p_partkey % 3 = 2 and p_partkey % 4 in (0, 1)""")
     odd = """concat('{"title":"first ', p_name, '","title":"', p_name, '","loan_amount_max":', case when p_partkey % 3 = 0 then '0' else '-250.5' end,
         ',"subsidy_percentage":NaN,"udyam_required":false,"benefits":""}')"""
-    r.add("a17_odd_json", lambda t: json_records.generic(binary(t.part.selectExpr(
+    r.add("a17_odd_json", lambda t: json_records.generic(binary(spread(t.part, "p_partkey").selectExpr(
         "concat('https://odd.example.org/', p_partkey) as url", "'partner_feed' as source_id", "200 as status", "cast(null as string) as error",
         f"{odd} as content"))).select(
         c("_source_url").alias("url"), "title", "loan_amount_max", c("subsidy_percentage").isNull().alias("no_subsidy"), "udyam_required", "benefits"),

@@ -48,6 +48,10 @@ def test_filters_stay_above_the_shuffle(spark, many):
     assert "Filter" not in below
 
 
-@pytest.mark.parametrize("name", ["b25_documents", "b26_normalize", "b29_snapshot", "d10_versions", "d15_stats"])
+def test_odd_json_is_read_in_many_tasks(spark, many):
+    assert REGISTRY.queries["a17_odd_json"](Tables(spark, many[0])).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("name", ["a17_odd_json", "b25_documents", "b26_normalize", "b29_snapshot", "d10_versions", "d15_stats"])
 def test_results_of_many_tasks(spark, many, name):
     assert_same(REGISTRY.queries[name](Tables(spark, many[0])), REGISTRY.sql[name], many[1])
