@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eligo import constants as K
 from eligo.operators import dedup, normalize, upsert, validate, vectors
 from eligo.operators import stats as stats_of
-from eligo.session import cut_lineage
+from eligo.session import cut_lineage, spread
 from eligo.sources import dispatch, fetches, registry
 
 c = F.col
@@ -74,7 +74,8 @@ def stages(payloads: DataFrame, catalog: DataFrame | None = None, dim: DataFrame
     checked = validate.validate(normalized, min_quality)
     if cut:
         checked = cut_lineage(checked, "checked")
-    unique = dedup.dedup(checked.where("valid"))
+    valid = checked.where("valid")
+    unique = dedup.dedup(spread(valid, "ingest_ord") if cut else valid)  # or tasks sort what files of 128 MB unpack to
     planned = None
     if catalog is not None:
         records = unique.withColumns({"payload_hash": c("content_hash"), "content_hash": upsert.record_hash(unique)})
