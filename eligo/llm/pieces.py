@@ -383,35 +383,54 @@ def decode_batch(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
 _encoders: dict[str, Encoder] = {}  # of this Python worker, by vocabulary
 
 
-def _with_column(docs: DataFrame, name: str, kind, column: str, limit: int, make) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField(name, kind)])
+def _with_columns(docs: DataFrame, added: dict, column: str, limit: int, make) -> DataFrame:
+    schema = StructType([*docs.schema.fields, *(StructField(n, kind) for n, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, column, limit):
-            yield pa.RecordBatch.from_arrays([*chunk.columns, make(chunk.column(column))], names=[*chunk.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*chunk.columns, *make(chunk.column(column))], names=[*chunk.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` as one more column ``to``, an array of int."""
+_IDS = ArrayType(IntegerType(), False)
+
+
+def _encoder(vocabulary: Vocabulary):
     name = f"{hash(vocabulary.keys.tobytes())}-{hash(vocabulary.scores.tobytes())}"
 
-    def make(texts):
+    def of(texts: pa.Array) -> pa.Array:
         if name not in _encoders:
             _encoders[name] = Encoder(vocabulary)
         return _encoders[name](texts)
 
-    return _with_column(docs, to, ArrayType(IntegerType(), False), text, CHUNK, make)
+    return of
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "ids") -> DataFrame:
+    """``docs`` with the ids of ``text`` as one more column ``to``, an array of int."""
+    ids_of = _encoder(vocabulary)
+    return _with_columns(docs, {to: _IDS}, text, CHUNK, lambda x: [ids_of(x)])
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "text") -> DataFrame:
     """``docs`` with the text of ``ids`` as one more column ``to``."""
-    return _with_column(docs, to, StringType(), ids, CHUNK // 4, lambda x: decode_batch(x, vocabulary))
+    return _with_columns(docs, {to: StringType()}, ids, CHUNK // 4, lambda x: [decode_batch(x, vocabulary)])
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "ids", back: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of ``text`` and the text that these give again, in one pass: one Python worker a task, not two."""
+    ids_of = _encoder(vocabulary)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = ids_of(texts)
+        return [ids, decode_batch(ids, vocabulary)]
+
+    return _with_columns(docs, {to: _IDS, back: StringType()}, text, CHUNK, both)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding gives the text back, for every document."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary, to="decoded")
+    both = encode_and_decode(docs.select("doc_id", "text"), vocabulary)
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
                        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
