@@ -390,6 +390,18 @@ def segments(profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return segs, asks, links.unionByName(segs.select("seg", c("seg").alias("ask")))
 
 
+def coded(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles with the number of their segment in place of its attributes, and the written segments (seg, attributes).
+
+    For joins that deal many links of a profile: a link carries one number, and gets the attributes where it is judged. There
+    are as many segments as combinations of the attributes, so that they are few and mostly broadcast.
+    """
+    segs = cut_lineage(profiles.select(*SEGMENT).distinct().withColumn("seg", F.monotonically_increasing_id()), "segments")
+    by_attributes = segs.withColumnsRenamed({x: f"_{x}" for x in SEGMENT})
+    same = reduce(lambda x, y: x & y, [c(x).eqNullSafe(c(f"_{x}")) for x in SEGMENT])
+    return profiles.join(by_attributes, same).drop(*SEGMENT, *(f"_{x}" for x in SEGMENT)), segs
+
+
 def scheme_classes(schemes: DataFrame, k: int) -> DataFrame:
     """(list_key, s, members) of all active schemes: those of a list that no rule and no score can tell apart are one class.
 
