@@ -79,6 +79,8 @@ INCOME = (
     r"(?:not\s+exceeding|up\s+to|below|less\s+than)?\s*"
     r"(?:rs\.?|₹)?\s*(\d+(?:\.\d+)?)\s*(lakh|lakhs|lac|lacs|crore|crores)?"
 )
+# words of which a text must hold one, in any letter case, for the pattern of that name to match
+NUMBER_WORDS = {"age_min": ["above", "min"], "age_max": ["below", "max", "up"], "income": ["income"]}
 URL = (
     r"(?i)^https?://(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,}"
     r"(?::\d+)?(?:[/?#]\S*)?$"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eligo import constants as K
-from eligo.functions.text import has_any, strip
+from eligo.functions.text import has_any, lowered, strip
 
 EMPTY = "array<string>"
 
@@ -41,9 +41,9 @@ def _mapped(items: Column, mapping: dict[str, str]) -> Column:
     return F.array_compact(F.transform(trim_items(items), lambda x: F.try_element_at(table, F.lower(x))))
 
 
-def _scan(text: Column, mapping: dict[str, str], whole_words: bool) -> Column:
+def _scan(text: Column, mapping: dict[str, str], whole_words: bool, low: Column | None = None) -> Column:
     """Values of all keys that occur in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lowered(text) if low is None else low
 
     def hit(k: str) -> Column:
         return low.rlike(rf"(?U)\b{k}\b") if whole_words else low.contains(k)
@@ -55,25 +55,25 @@ def _sorted_set(*lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*lists)))
 
 
-def genders(items: Column, text: Column) -> Column:
-    """Genders named in a list or a text; none named means any."""
-    female = has_any(text, K.FEMALE_WORDS)
-    male = has_any(text, ["male"]) & ~has_any(text, ["female"])
+def genders(items: Column, text: Column, low: Column | None = None) -> Column:
+    """Genders named in a list or a text; none named means any. ``low``, here and below: the text lowered, where a column holds it."""
+    female = has_any(text, K.FEMALE_WORDS, low)
+    male = has_any(text, ["male"], low) & ~has_any(text, ["female"], low)
     scanned = F.array_compact(F.array(F.when(female, F.lit("Female")), F.when(male, F.lit("Male"))))
     found = _sorted_set(_mapped(items, K.GENDERS), scanned)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Any")))
 
 
-def social_categories(items: Column, text: Column, whole_words: bool = False) -> Column:
+def social_categories(items: Column, text: Column, whole_words: bool = False, low: Column | None = None) -> Column:
     """Categories named in a list, or by a key that occurs in a text.
 
     A key counts wherever its letters stand ("sc" in "scheme"); with
     ``whole_words`` only as a word of its own.
     """
     return _sorted_set(
-        _mapped(items, K.SOCIAL_CATEGORIES), _scan(text, K.SOCIAL_CATEGORIES, whole_words)
+        _mapped(items, K.SOCIAL_CATEGORIES), _scan(text, K.SOCIAL_CATEGORIES, whole_words, low)
     )
 
 
-def business_types(items: Column, text: Column, whole_words: bool = False) -> Column:
-    return _sorted_set(_mapped(items, K.BUSINESS_TYPES), _scan(text, K.BUSINESS_TYPES, whole_words))
+def business_types(items: Column, text: Column, whole_words: bool = False, low: Column | None = None) -> Column:
+    return _sorted_set(_mapped(items, K.BUSINESS_TYPES), _scan(text, K.BUSINESS_TYPES, whole_words, low))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eligo import constants as K
-from eligo.functions.text import strip
+from eligo.functions.text import has_any, strip
 
 
 def nonzero(c: Column) -> Column:
@@ -38,6 +38,14 @@ def income_limit(text: Column) -> Column:
     return _scaled(text, K.INCOME, small_units=False)
 
 
+def number_texts(text: Column, low: Column) -> dict[str, Column]:
+    """The text where it can hold an age from, an age up to, or an income, else ''; ``low`` is the text lowered.
+
+    Patterns look at every place of a text; the words they cannot do without are found much faster.
+    """
+    return {name: F.when(has_any(text, words, low), text).otherwise("") for name, words in K.NUMBER_WORDS.items()}
+
+
 def parse_float(text: Column) -> Column:
     return strip(text).try_cast("double")
 

@@ -94,9 +94,16 @@ def _first_match(cases, default: str) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def has_any(text: Column, words: list[str]) -> Column:
-    """True where any word occurs in the text, letter case aside."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def has_any(text: Column, words: list[str], low: Column | None = None) -> Column:
+    """True where any word occurs in the text, letter case aside.
+
+    ``low`` is the text lowered, where a column holds it: else each word may lower the text again.
+    """
+    low = lowered(text) if low is None else low
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
@@ -113,8 +120,8 @@ def api_level(raw: Column) -> Column:
     return map_contained(raw, K.API_LEVELS, "central")
 
 
-def rural_urban(text: Column) -> Column:
-    rural, urban = has_any(text, ["rural"]), has_any(text, ["urban"])
+def rural_urban(text: Column, low: Column | None = None) -> Column:
+    rural, urban = has_any(text, ["rural"], low), has_any(text, ["urban"], low)
     return F.when(rural & ~urban, "rural").when(urban & ~rural, "urban").otherwise("both")
 
 

@@ -215,7 +215,12 @@ def normalize(raw: DataFrame, whole_words: bool = False) -> DataFrame:
     :func:`quarantine`. A pure projection: it adds no shuffle to its input.
     """
     df = resolve_aliases(raw).where(X.filled(c("name")) & ~_bad_age())
-    df = df.withColumn("elig", F.coalesce(c("raw_eligibility"), c("description")))
+    # texts of some thousand characters are looked through for many words: each is lowered once, in a projection of its own
+    df = df.withColumn("elig", F.coalesce(c("raw_eligibility"), c("description"))).withColumns({
+        "low_description": X.lowered(c("description")), "low_raw": X.lowered(c("raw_eligibility"))})
+    df = df.withColumn("low", F.when(c("raw_eligibility").isNotNull(), c("low_raw")).otherwise(c("low_description")))
+    df = df.withColumns({f"{name}_text": text for name, text in N.number_texts(c("elig"), c("low")).items()})
+    low, low_description = c("low"), c("low_description")
     df = df.select(
         "ingest_ord", "content_hash", "_source_id", "elig",
         "name",
@@ -227,27 +232,29 @@ def normalize(raw: DataFrame, whole_words: bool = False) -> DataFrame:
         X.map_contained(c("raw_funding_type"), K.FUNDING_TYPES, "").alias("funding_type"),
         X.map_contained(c("raw_level"), K.GOVERNMENT_LEVELS, "central").alias("government_level"),
         L.trim_items(c("raw_states")).alias("states"),
-        X.rural_urban(F.coalesce(c("raw_scope"), c("description"))).alias("rural_urban_scope"),
-        L.genders(c("raw_genders"), c("elig")).alias("gender_eligibility"),
-        L.social_categories(c("raw_categories"), c("elig"), whole_words).alias("social_categories"),
-        (c("raw_disability") | X.has_any(c("raw_eligibility"), K.DISABILITY_WORDS))
+        F.when(c("raw_scope").isNotNull(), X.rural_urban(c("raw_scope")))
+        .otherwise(X.rural_urban(c("description"), low_description)).alias("rural_urban_scope"),
+        L.genders(c("raw_genders"), c("elig"), low).alias("gender_eligibility"),
+        L.social_categories(c("raw_categories"), c("elig"), whole_words, low).alias("social_categories"),
+        (c("raw_disability") | X.has_any(c("raw_eligibility"), K.DISABILITY_WORDS, c("low_raw")))
         .alias("disability_eligibility"),
         L.trim_items(c("raw_beneficiaries")).alias("beneficiary_types"),
         F.when(c("raw_age_min").isNotNull(), N.parse_int(c("raw_age_min")))
-        .otherwise(N.age_min(c("elig"))).alias("age_min"),
+        .otherwise(N.age_min(c("age_min_text"))).alias("age_min"),
         F.when(c("raw_age_max").isNotNull(), N.parse_int(c("raw_age_max")))
-        .otherwise(N.age_max(c("elig"))).alias("age_max"),
+        .otherwise(N.age_max(c("age_max_text"))).alias("age_max"),
         *[N.parse_amount(c(a)).alias(a)
           for a in ("loan_amount_min", "loan_amount_max", "subsidy_amount", "grant_amount")],
         *[N.parse_float(c(p)).alias(p) for p in ("subsidy_percentage", "interest_subvention")],
         N.parse_bool(c("collateral_requirement")).alias("collateral_requirement"),
-        F.coalesce(F.nullif(N.parse_amount(c("raw_income")), F.lit(0.0)), N.income_limit(c("elig")))
+        F.coalesce(F.nullif(N.parse_amount(c("raw_income")), F.lit(0.0)), N.income_limit(c("income_text")))
         .alias("income_limit"),
         F.lit("annual").alias("income_limit_period"),
-        L.business_types(c("raw_business"), c("description"), whole_words).alias("business_types"),
-        *[(c(f) | X.has_any(c("elig"), words)).alias(f) for f, words in K.FLAG_WORDS.items()],
+        L.business_types(c("raw_business"), c("description"), whole_words, low_description).alias("business_types"),
+        *[(c(f) | X.has_any(c("elig"), words, low)).alias(f) for f, words in K.FLAG_WORDS.items()],
         "enterprise_size",
-        X.clean(c("elig")).alias("eligibility_text"),
+        F.when(c("raw_eligibility").isNotNull(), X.clean(c("raw_eligibility"))).otherwise(c("description"))  # that is clean
+        .alias("eligibility_text"),
         "benefits_text", "application_url",
         X.clean(F.coalesce(c("raw_official_application_url"), c("application_url")))
         .alias("official_application_url"),

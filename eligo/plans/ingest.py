@@ -217,8 +217,11 @@ class Store:
             entries[name] = {"schema": df.schema.jsonValue(), "folders": [x for x in old if x[0] is not None and x[0] not in touched] + new}
         for name, df in added.items():
             old = entries.get(name, {"folders": []})["folders"]
-            if not df.isEmpty():
-                df.write.parquet(f"{self.path}/{run}/{name}")
+            folder = f"{self.path}/{run}/{name}"
+            df.write.parquet(folder)  # and not asked for a row before: that may work all of it out once more
+            if self.spark.read.schema(df.schema).parquet(folder).isEmpty():
+                self._fs.delete(self._path(folder), True)
+            else:
                 old = [*old, [None, f"{run}/{name}"]]
             entries[name] = {"schema": df.schema.jsonValue(), "folders": old}
         gen = 1 if base is None else base + 1

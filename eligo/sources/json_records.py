@@ -46,17 +46,19 @@ def given(members: Column, blanks: bool = False) -> Column:
     whether it was a quoted text. Worked out once per object; the fields below
     are look-ups in this map.
     """
-    def spell(_, x: Column) -> Column:
-        js, text = F.to_json(x), x.cast("string")
+    def spell(_, m: Column) -> Column:
+        x, js = m["v"], m["js"]
         number = js.rlike("^-?[0-9]") & js.contains("E")
         return F.struct(
-            F.when(number, x.cast("double").cast("decimal(38,6)").cast("string")).otherwise(text).alias("text"),
+            F.when(number, x.cast("double").cast("decimal(38,6)").cast("string")).otherwise(x.cast("string")).alias("text"),
             F.when(js.startswith("["), F.try_variant_get(x, "$", "array<string>")).alias("items"),
             js.startswith('"').alias("quoted"),
-            _holds(x).alias("holds"),
+            (~js.isin(FALSY)).alias("holds"),
         )
 
-    return F.transform_values(F.map_filter(members, lambda _, x: F.to_json(x) != "null" if blanks else _holds(x)), spell)
+    # inside a lambda nothing that comes twice is worked out once, so each value's JSON is kept beside it
+    told = F.transform_values(members, lambda _, x: F.struct(x.alias("v"), F.to_json(x).alias("js")))
+    return F.transform_values(F.map_filter(told, lambda _, m: m["js"] != "null" if blanks else ~m["js"].isin(FALSY)), spell)
 
 
 # Field readers: SQL over ``rec``, the map of given values.
