@@ -176,6 +176,40 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     assert (r.n_tokens, r.n_known, r.base_score, r.score) == (3, 0, 0.0, 0.0)
 
 
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    """Seen five times among a million words: candidates once had to be seen more often the larger the corpus was."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(x) for x in rng.choice([f"w{i}" for i in range(500)], (20, 60_000))] + ["zebra quagga"] * 5
+    model, rest = suffixtree.learn(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    [r] = suffixtree.score(spark.createDataFrame([(1, "zebra quagga")], "doc_id long, text string"), model, rest).collect()
+    all_ = 20 * 60_001 + 5 * 3 + 503 + 1
+    word, end = 6 / all_, 26 / all_
+    assert model.tokens == 20 * 60_001 + 5 * 3 and suffixtree.least(10**15) == 2
+    assert math.isclose(r.base_score, math.log10(word * word * end), rel_tol=1e-9)
+    assert math.isclose(r.score, math.log10(word * (5 + word) / 6 * (5 + end) / 6), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [2, 10**9])
+def test_scores_do_not_depend_on_how_it_is_dealt(spark, monkeypatch, most):
+    """Hot contexts in many parts, sieves that let nearly all through, values that every or no task holds."""
+    for name, x in (("HOT", 20), ("SIEVE", 10), ("PART_TOKENS", 50), ("held", lambda tokens: most)):
+        monkeypatch.setattr(suffixtree, name, x)
+    rng = np.random.default_rng(4)
+    line = [[f"a{i}", f"b{i}", *rng.choice(list("uvwxyz"), 5), f"c{i % 3}", "d"] for i in range(8)]
+    texts = [" ".join(np.concatenate([line[j] for j in rng.integers(0, 8, 12)])) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    model, rest = suffixtree.learn(df)
+    plain = check_scores(suffixtree.score(df, model, rest).collect(), dict(enumerate(texts)), [tokens(t) for t in texts], suffixtree.DEPTH)
+    assert {len(x) for x in plain.tree} == {1, 2, 3} and (model.held.size == 0) == (most > 2)
+
+
+def test_order_of_pairs_whose_leading_bits_are_the_same():
+    prefix, following = np.array([9, 5, 9], np.uint64), np.array([3, 1, 2])
+    after = np.array([3, 2, 3, 1, 2, 3], np.uint64)
+    before, order = suffixtree._by_pair(prefix, following, after)
+    assert [*zip(before[order].tolist(), after[order].tolist())] == [(5, 1), (9, 2), (9, 2), (9, 3), (9, 3), (9, 3)]
+
+
 # ---- language id
 
 def plain_language(model, text):
